@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,24 +24,46 @@ def _axis(points: Column, axis: int) -> Column:
     return F.transform(points, lambda p: p[axis])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """*body* of *value*, with the value computed once per row.
+
+    A lambda variable cannot be inlined, whereas a plain column is copied to
+    every place it is used in when the optimizer merges projections.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scale(landmarks: Column) -> Column:
+    xs, ys = _axis(landmarks, 0), _axis(landmarks, 1)
+    diagonal = F.hypot(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
+    return let(diagonal, lambda d: F.when(d < 1e-6, F.lit(1.0)).otherwise(d))
+
+
 def normalize_landmarks(landmarks: Column) -> Column:
     """xy points relative to the wrist, divided by the bounding-box diagonal.
 
     Points are structs (x, y), so that later expressions read plain fields. A
-    diagonal below 1e-6 counts as 1; another number of points is an error.
+    diagonal below 1e-6 counts as 1; another number of points is an error, and no
+    landmarks give null.
     """
-    xs, ys = _axis(landmarks, 0), _axis(landmarks, 1)
-    diagonal = F.hypot(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
-    scale = F.when(diagonal < 1e-6, F.lit(1.0)).otherwise(diagonal)
-    wrist = landmarks[vocab.WRIST]
-    points = F.transform(
-        landmarks,
-        lambda p: F.struct(
-            ((p[0] - wrist[0]) / scale).alias("x"), ((p[1] - wrist[1]) / scale).alias("y")
-        ),
-    )
-    error = F.raise_error(F.lit(f"expected {N} landmarks")).cast("array<struct<x:double,y:double>>")
-    return F.when(F.size(landmarks) == N, points).otherwise(error)
+
+    def moved(pts: Column, scale: Column, wrist: Column) -> Column:
+        return F.transform(
+            pts,
+            lambda p: F.struct(
+                ((p[0] - wrist[0]) / scale).alias("x"), ((p[1] - wrist[1]) / scale).alias("y")
+            ),
+        )
+
+    def points(pts: Column) -> Column:
+        inner = let(
+            F.struct(_scale(pts).alias("scale"), F.get(pts, F.lit(vocab.WRIST)).alias("wrist")),
+            lambda b: moved(pts, b["scale"], b["wrist"]),
+        )
+        error = F.raise_error(F.lit(f"expected {N} landmarks")).cast("array<struct<x:double,y:double>>")
+        return F.when(pts.isNull(), F.lit(None)).when(F.size(pts) == N, inner).otherwise(error)
+
+    return let(landmarks, points)
 
 
 def flat_points(points: Column) -> Column:
@@ -89,14 +113,8 @@ def with_geometric_vector(
     output: str = "vector_inline",
     include_angles: bool = True,
 ) -> DataFrame:
-    """Add the geometric vector; rows without landmarks get null.
-
-    The normalised points travel through a one-element `transform`, which makes
-    them a lambda variable: they are evaluated once per row instead of once per
-    pair when the optimizer merges projections.
-    """
-    holder = F.array(normalize_landmarks(F.col(landmarks)))
-    computed = F.element_at(F.transform(holder, lambda pts: geometric_vector(pts, include_angles)), 1)
+    """Add the geometric vector; rows without landmarks get null."""
+    computed = let(normalize_landmarks(F.col(landmarks)), lambda pts: geometric_vector(pts, include_angles))
     return df.withColumn(output, F.when(F.col(landmarks).isNotNull(), computed))
 
 

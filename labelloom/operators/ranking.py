@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,8 +52,7 @@ def hash_order(seed: int, key: Column) -> Column:
 
 def assign_by_quota(
     df: DataFrame,
-    quotas: DataFrame,
-    n_strata: int,
+    cuts: Mapping[str, Sequence[int]],
     *,
     key: str = "sample_id",
     stratum: str = "stratum",
@@ -63,46 +62,44 @@ def assign_by_quota(
 ) -> DataFrame:
     """Give each row a part number by its hash rank inside its stratum.
 
-    *quotas* has one row per stratum with `cuts array<bigint>`: ascending ranks
-    at which the next part begins (part 0 starts at rank 0).
+    *cuts* maps each stratum to the ascending ranks at which the next part
+    begins (part 0 starts at rank 0); like a label vocabulary it is small.
 
     Rows are never sorted per stratum. Hash prefixes form 16**digits even
     buckets; counting rows per (stratum, bucket) tells in which bucket each cut
     falls. Rows of all other buckets are decided by comparing bucket numbers,
     and only the rows of the buckets hit by a cut are ranked.
     """
-    hashed = df.withColumn("_h", hash_order(seed, F.col(key))).withColumn(
-        "_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int")
+    spark = df.sparkSession
+    hashed = df.select(
+        "*",
+        hash_order(seed, F.col(key)).alias("_h"),
+        F.conv(F.substring(hash_order(seed, F.col(key)), 1, digits), 16, 10).cast("int").alias("_b"),
     )
-    by_bucket = Window.partitionBy(stratum).orderBy("_b")
-    buckets = (
-        hashed.groupBy(stratum, "_b")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_end", F.sum("_n").over(by_bucket))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-    )
-    # One cut = (bucket it falls in, rows of that bucket before the cut).
-    last = 16**digits
-    located = (
-        buckets.join(small(quotas, n_strata), stratum)
-        .withColumn("_cut", F.explode("cuts"))
-        .filter((F.col("_cut") >= F.col("_start")) & (F.col("_cut") < F.col("_end")))
-        .groupBy(stratum)
-        .agg(F.collect_list(F.struct(F.col("_b").alias("b"), (F.col("_cut") - F.col("_start")).alias("r"))).alias("_c"))
-    )
-    # Cuts at or beyond the last row fall in no bucket: nothing lies after them.
-    cuts = quotas.select(stratum).join(located, stratum, "left").withColumn(
-        "_c", F.coalesce("_c", F.expr("cast(array() as array<struct<b:int,r:bigint>>)"))
+    running = Window.partitionBy(stratum).orderBy("_b")
+    buckets = hashed.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = spark.createDataFrame(
+        [(name, int(c)) for name, ranks in cuts.items() for c in ranks], f"{stratum} string, _cut bigint"
     )
-    tagged = hashed.join(small(cuts, n_strata), stratum)
-    on_cut = F.exists("_c", lambda c: c["b"] == F.col("_b"))
-    passed = F.size(
-        F.filter("_c", lambda c: (c["b"] < F.col("_b")) | ((c["b"] == F.col("_b")) & (c["r"] <= F.col("_r"))))
+    # A cut lies in the bucket whose rows span its rank; one row per cut comes back.
+    found = (
+        buckets.select(stratum, "_b", "_n", F.sum("_n").over(running).alias("_end"))
+        .join(small(wanted, sum(map(len, cuts.values()))), stratum)
+        .filter("_cut >= _end - _n and _cut < _end")
+        .select(stratum, "_b", F.expr("_cut - (_end - _n)").alias("_r"))
+        .collect()
     )
+    located: dict[str, list[tuple[int, int]]] = {name: [] for name in cuts}
+    for name, bucket, rest in found:
+        located[name].append((bucket, rest))
+    places = spark.createDataFrame(list(located.items()), f"{stratum} string, _c array<struct<b:int,r:bigint>>")
+    tagged = hashed.join(small(places, len(located)), stratum)
+    on_cut = F.expr("exists(_c, c -> c.b = _b)")
     in_bucket = Window.partitionBy(stratum, "_b").orderBy("_h", key)
-    clear = tagged.filter(~on_cut).withColumn("_r", F.lit(last).cast("bigint"))
-    ranked = tagged.filter(on_cut).withColumn("_r", (F.row_number().over(in_bucket) - 1).cast("bigint"))
-    return clear.unionByName(ranked).withColumn(output, passed).drop("_h", "_b", "_c", "_r")
+    clear = tagged.filter(~on_cut).select("*", F.lit(0).cast("bigint").alias("_r"))
+    ranked = tagged.filter(on_cut).select("*", (F.row_number().over(in_bucket) - 1).cast("bigint").alias("_r"))
+    passed = F.expr("size(filter(_c, c -> c.b < _b or (c.b = _b and c.r <= _r)))")
+    return clear.unionByName(ranked).select(*df.columns, passed.alias(output))
 
 
 def exact_quantile(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.operators.ranking import assign_by_quota, hash_order, top_n
@@ -34,55 +34,39 @@ def _ids(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("sample_id").agg(F.max("gesture_label").alias("gesture_label"))
 
 
-def _class_sizes(ids: DataFrame) -> DataFrame:
-    return ids.groupBy(F.col("gesture_label").alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+def _class_sizes(ids: DataFrame) -> dict[str, int]:
+    """Rows per label: one number per word of the label vocabulary."""
+    rows = ids.groupBy("gesture_label").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r["gesture_label"]: r["n"] for r in sorted(rows, key=lambda r: r["gesture_label"])}
 
 
-def _facts(sizes: DataFrame) -> tuple[int, int, int]:
-    row = sizes.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.count(F.lit(1)).alias("classes"),
-        F.coalesce(F.min("n"), F.lit(0)).alias("least"),
-    ).first()
-    return int(row["n"]), int(row["classes"]), int(row["least"])
+def apportion(sizes: Mapping[str, int], seats: int) -> dict[str, int]:
+    """Share *seats* among classes in proportion to their size, by largest remainder.
 
-
-def apportion(sizes: DataFrame, total: Column | int, seats: int, output: str) -> DataFrame:
-    """Share *seats* among strata in proportion to `n`, by largest remainder.
-
-    Integer arithmetic only; equal remainders go to the first stratum by name.
-    *sizes* has one row per class, so one window over it is small.
+    Integer arithmetic only; equal remainders go to the first class by name.
     """
-    exact = F.col("n") * F.lit(seats)
-    everything = Window.partitionBy(F.lit(0))
-    order = everything.orderBy(F.desc("_rest"), "stratum")
-    return (
-        sizes.withColumn("_floor", F.expr(f"n * {seats}L div {total}L"))
-        .withColumn("_rest", F.pmod(exact, F.lit(total)))
-        .withColumn("_left", F.lit(seats) - F.sum("_floor").over(everything))
-        .withColumn("_extra", (F.row_number().over(order) <= F.col("_left")).cast("bigint"))
-        .withColumn(output, F.col("_floor") + F.col("_extra"))
-        .drop("_floor", "_rest", "_left", "_extra")
-    )
+    total = sum(sizes.values())
+    shares = {name: divmod(n * seats, total) for name, n in sizes.items()}
+    left = seats - sum(share for share, _ in shares.values())
+    favoured = sorted(shares, key=lambda name: (-shares[name][1], name))[:left]
+    return {name: share + (name in favoured) for name, (share, _) in shares.items()}
 
 
-def _halve(ids: DataFrame, n_second: int, facts: tuple[int, int, int], sizes: DataFrame, seed: int) -> DataFrame:
-    """Tag rows with `part` 0 or 1, *n_second* rows in part 1.
+def _can_stratify(sizes: Mapping[str, int], n_second: int) -> bool:
+    """Every class needs two rows, and both parts a row for each class."""
+    n_first = sum(sizes.values()) - n_second
+    return min(sizes.values()) >= 2 and min(n_first, n_second) >= len(sizes)
 
-    Stratified by class when each class and both parts are large enough,
-    otherwise over all rows as one stratum.
-    """
-    n, classes, least = facts
-    stratified = least >= 2 and n_second >= classes and n - n_second >= classes
-    if stratified:
-        rows, n_strata = ids.withColumn("stratum", F.col("gesture_label")), classes
-    else:
-        rows, n_strata = ids.withColumn("stratum", F.lit("")), 1
-        sizes = sizes.agg(F.sum("n").alias("n")).withColumn("stratum", F.lit(""))
-    quotas = apportion(sizes, n, n_second, "second").select(
-        "stratum", F.array(F.col("n") - F.col("second")).alias("cuts")
-    )
-    return assign_by_quota(rows, quotas, n_strata, seed=seed).drop("stratum")
+
+def _halve(ids: DataFrame, n_second: int, sizes: Mapping[str, int], seed: int) -> DataFrame:
+    """Tag rows with `part` 0 or 1, *n_second* rows in part 1, by class where possible."""
+    n = sum(sizes.values())
+    if not _can_stratify(sizes, n_second):
+        whole = ids.withColumn("stratum", F.lit(""))
+        return assign_by_quota(whole, {"": [n - n_second]}, seed=seed).drop("stratum")
+    seats = apportion(sizes, n_second)
+    cuts = {name: [size - seats[name]] for name, size in sizes.items()}
+    return assign_by_quota(ids, cuts, stratum="gesture_label", seed=seed)
 
 
 def stratified_split(
@@ -93,34 +77,45 @@ def stratified_split(
     The holdout takes ceil((1 - train) * n) samples, its test share is rounded up
     too, and both are spread over the classes in proportion. Fewer than three
     samples, or no holdout, put everything into train; a holdout of one goes to
-    val. A train ratio of zero is allowed.
+    val. A train ratio of zero is allowed. Where classes are too small, the split
+    is random over all rows instead.
+
+    The table is narrow and read again by every later step, so it is written to
+    the shared folder.
     """
     train, val, test = split_ratios(strategy)
-    # Several passes follow: write the narrow id table once instead of redoing it.
     ids = materialize(_ids(manifest), "split-ids")
     sizes = _class_sizes(ids)
-    facts = _facts(sizes)
-    n = facts[0]
+    n = sum(sizes.values())
     n_holdout = min(n, _ceil((1.0 - train) * n))
     if n < 3 or n_holdout == 0:
         return ids.withColumn("split", F.lit("train"))
-
-    if n_holdout == n:
-        train_rows, holdout = None, ids
-    else:
-        halves = materialize(_halve(ids, n_holdout, facts, sizes, seed), "split-halves")
-        train_rows = halves.filter("part = 0").drop("part").withColumn("split", F.lit("train"))
-        holdout = halves.filter("part = 1").drop("part")
-
     n_test = 0 if n_holdout < 2 else min(n_holdout, _ceil((1.0 - val / (val + test)) * n_holdout))
+
+    name = lambda *parts: F.element_at(F.array(*map(F.lit, parts)), F.col("part") + 1).alias("split")
+    columns = ["sample_id", "gesture_label"]
+    rest = "test" if n_test == n_holdout else "val"
     if n_test in (0, n_holdout):
-        rest = holdout.withColumn("split", F.lit("test" if n_test else "val"))
+        if n_holdout == n:
+            return ids.withColumn("split", F.lit(rest))
+        split = _halve(ids, n_holdout, sizes, seed).select(*columns, name("train", rest))
+    elif n_holdout == n:
+        split = _halve(ids, n_test, sizes, seed).select(*columns, name("val", "test"))
     else:
-        held_sizes = _class_sizes(holdout)
-        rest = _halve(holdout, n_test, _facts(held_sizes), held_sizes, seed + 1).withColumn(
-            "split", F.when(F.col("part") == 1, "test").otherwise("val")
-        ).drop("part")
-    return rest if train_rows is None else train_rows.unionByName(rest)
+        seats = apportion(sizes, n_holdout)
+        if _can_stratify(sizes, n_holdout) and _can_stratify(seats, n_test):
+            # Both steps go by class: one pass with two cuts per class.
+            tests = apportion(seats, n_test)
+            cuts = {c: [size - seats[c], size - tests[c]] for c, size in sizes.items()}
+            parts = assign_by_quota(ids, cuts, stratum="gesture_label", seed=seed)
+            split = parts.select(*columns, name("train", "val", "test"))
+        else:
+            halves = materialize(_halve(ids, n_holdout, sizes, seed), "split-halves")
+            held = halves.filter("part = 1").drop("part")
+            inner = _halve(held, n_test, _class_sizes(held), seed + 1).select(*columns, name("val", "test"))
+            kept = halves.filter("part = 0").select(*columns, F.lit("train").alias("split"))
+            split = kept.unionByName(inner)
+    return materialize(split, "split")
 
 
 def stratified_folds(
@@ -142,32 +137,17 @@ def stratified_folds(
         ids = manifest
     ids = materialize(_ids(ids), "fold-ids")
     sizes = _class_sizes(ids)
-    n, classes, _ = _facts(sizes)
-    k = min(n_folds, n, classes)
+    n = sum(sizes.values())
+    k = min(n_folds, n, len(sizes))
     if k < 2:
         return ids.limit(0).withColumn("fold", F.lit(0))
-    ahead = Window.partitionBy(F.lit(0)).orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)
-    # Seats of fold f in a class at positions [start, start + n): positions p with p % k = f.
-    seats = F.transform(
-        F.sequence(F.lit(0), F.lit(k - 1)),
-        lambda f: F.floor((F.col("n") + F.pmod(F.col("start") - f - 1, F.lit(k))) / k).cast("bigint"),
-    )
-    quotas = (
-        sizes.withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-        .withColumn("seats", seats)
-        .withColumn(
-            "cuts",
-            F.transform(
-                F.sequence(F.lit(1), F.lit(k - 1)),
-                lambda i: F.aggregate(
-                    F.slice(F.col("seats"), 1, i), F.lit(0).cast("bigint"), lambda acc, s: acc + s
-                ),
-            ),
-        )
-        .select("stratum", "cuts")
-    )
-    rows = ids.withColumn("stratum", F.col("gesture_label"))
-    return assign_by_quota(rows, quotas, classes, output="fold", seed=seed).drop("stratum")
+    cuts, start = {}, 0
+    for label, size in sizes.items():
+        # Seats of fold f: positions p in [start, start + size) with p % k == f.
+        seats = [len(range(start + (f - start) % k, start + size, k)) for f in range(k)]
+        cuts[label] = [sum(seats[: f + 1]) for f in range(k - 1)]
+        start += size
+    return assign_by_quota(ids, cuts, stratum="gesture_label", output="fold", seed=seed)
 
 
 def fold_members(folds: DataFrame, fold: int) -> DataFrame:

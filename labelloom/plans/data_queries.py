@@ -370,7 +370,7 @@ def manifest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _long(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    return df.select(*keys, F.posexplode(column).alias("pos", "v")).select(*keys, big("pos"), r6("v", "value"))
+    return df.select(*keys, F.posexplode_outer(column).alias("pos", "v")).select(*keys, big("pos"), r6("v", "value"))
 
 
 @query(
@@ -404,16 +404,14 @@ _ANGLE_ROWS = f"""(SELECT sample_id, pos, {_ANGLE_SQL} AS angle FROM (
 )
 def pairwise_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = given.landmarks(spark, sf_dir).filter("landmarks is not null")
-    holder = F.array(geometry.normalize_landmarks(F.col("landmarks")))
-    distances = F.element_at(F.transform(holder, geometry.pairwise_distances), 1)
+    distances = geometry.let(geometry.normalize_landmarks(F.col("landmarks")), geometry.pairwise_distances)
     return _long(rows.select("sample_id", distances.alias("d")), "d", "sample_id")
 
 
 @query("joint_angles", f"WITH {LANDMARKS} SELECT sample_id, pos::BIGINT AS pos, round(angle, 6) AS value FROM {_ANGLE_ROWS}")
 def joint_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = given.landmarks(spark, sf_dir).filter("landmarks is not null")
-    holder = F.array(geometry.normalize_landmarks(F.col("landmarks")))
-    angles = F.element_at(F.transform(holder, geometry.joint_angles), 1)
+    angles = geometry.let(geometry.normalize_landmarks(F.col("landmarks")), geometry.joint_angles)
     return _long(rows.select("sample_id", angles.alias("a")), "a", "sample_id")
 
 

@@ -46,8 +46,8 @@ def frame_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_id", "frame_id", r6("frame_interval_ms"), r6("fps"))
 
 
-@query("stage_timings", """SELECT event_id AS frame_id, round(value, 3) AS capture_to_prediction_ms, round(value / 2, 3) AS prediction_ms,
-        round(value / 4, 3) AS prediction_to_dispatch_ms, round(value * 1.75, 3) AS end_to_end_ms FROM events""")
+@query("stage_timings", """SELECT event_id AS frame_id, round(value, 6) AS capture_to_prediction_ms, round(value / 2, 6) AS prediction_ms,
+        round(value / 4, 6) AS prediction_to_dispatch_ms, round(value * 1.75, 6) AS end_to_end_ms FROM events""")
 def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage durations from clock readings derived from the event values."""
     value = F.col("value") / 1000.0
@@ -59,7 +59,7 @@ def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (value * 1.75).alias("dispatch_end"),
     )
     names = ("capture_to_prediction_ms", "prediction_ms", "prediction_to_dispatch_ms", "end_to_end_ms")
-    return sessions.stage_timings(clock).select("frame_id", *[F.round(c, 3).alias(c) for c in names])
+    return sessions.stage_timings(clock).select("frame_id", *[r6(c) for c in names])
 
 
 def _session_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -167,7 +167,7 @@ tsize AS (
 ),
 {apportion("b", "holdout", "(SELECT h FROM tsize)", "(SELECT t FROM tsize)")},
 second_rank AS (
-  SELECT *, row_number() OVER (PARTITION BY gesture_label ORDER BY sha256('43:' || sample_id), sample_id) - 1 AS r
+  SELECT *, row_number() OVER (PARTITION BY gesture_label ORDER BY sha256('42:' || sample_id), sample_id) - 1 AS r
   FROM holdout
 ),
 split AS (

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
 # Settings every labelloom job profits from. Partition counts are left to AQE:
 # it starts from `initialPartitionNum` and coalesces or splits at run time.
 RECOMMENDED_CONF = {
@@ -17,9 +19,7 @@ RECOMMENDED_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Vectors have thousands of doubles: keep one Arrow batch in the tens of MB.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    ),
+    STATE_STORE: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"

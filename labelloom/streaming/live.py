@@ -22,7 +22,7 @@ from labelloom import vocab
 from labelloom.operators.classifiers import Trained
 from labelloom.operators.telemetry import tumbling_fps
 from labelloom.plans.jobs import extract_features
-from labelloom.session import scratch_path
+from labelloom.session import RECOMMENDED_CONF, STATE_STORE, scratch_path
 
 OUTPUT = (
     "session_id string, frame_id bigint, us bigint, label string, confidence double, stable_label string, "
@@ -43,8 +43,9 @@ class LiveSettings:
     aliases: Mapping[str, str] = field(default_factory=lambda: dict(vocab.RUNTIME_LABEL_ALIASES))
     dry_run: bool = True
     enable_dispatch: bool = False
-    # A session without frames for this long is forgotten.
-    idle_ms: int = 24 * 3_600_000
+    # A session without frames for this long is forgotten; for continuous queries
+    # only, since clean-up by the clock never lets a query over fixed input end.
+    idle_ms: int | None = None
 
 
 class SessionProcessor(StatefulProcessor):
@@ -106,19 +107,26 @@ class SessionProcessor(StatefulProcessor):
 def live_sessions(frames: DataFrame, settings: LiveSettings = LiveSettings()) -> DataFrame:
     """Smoothed, debounced action rows of a stream of classified frames.
 
-    Frames have session_id, frame_id, us, label and confidence.
+    Frames have session_id, frame_id, us, label and confidence. The state of this
+    operator needs the RocksDB state store, so the session is set to it.
     """
+    frames.sparkSession.conf.set(STATE_STORE, RECOMMENDED_CONF[STATE_STORE])
     narrow = frames.select("session_id", "frame_id", "us", "label", "confidence")
     return narrow.groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=SessionProcessor(settings),
         outputStructType=OUTPUT,
         outputMode="append",
-        timeMode="processingTime",
+        timeMode="none" if settings.idle_ms is None else "processingTime",
     )
 
 
 def frame_stream(spark: SparkSession, path: str, schema: Any, fmt: str = "parquet", **options: Any) -> DataFrame:
-    """Frames arriving as files of a folder (or image files with `binaryFile`)."""
+    """Frames arriving as files of a folder (or image files with `binaryFile`).
+
+    *path* is read as a pattern, which lets it also name a single file.
+    """
+    path = path.rstrip("/")
+    path = f"{path[:-1]}[{path[-1]}]"
     reader = spark.readStream.format(fmt).options(**options)
     return (reader if fmt == "binaryFile" else reader.schema(schema)).load(path)
 
