@@ -22,6 +22,10 @@ LUMA = np.array([0.2125, 0.7154, 0.0721])
 CLIP = 0.2
 NORM_EPS = 1e-5
 
+# Images are large: at most this many of them share an Arrow batch.
+IMAGE_BATCH_ROWS = 256
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 @dataclass(frozen=True)
 class HogSettings:
@@ -138,12 +142,21 @@ def hog(luma: np.ndarray, settings: HogSettings) -> np.ndarray:
     return blocks.ravel()
 
 
+def bound_batches(images: DataFrame) -> None:
+    """Lower the session's Arrow batch size to one that suits images."""
+    conf = images.sparkSession.conf
+    rows = int(conf.get(BATCH_CONF))
+    if rows <= 0 or rows > IMAGE_BATCH_ROWS:
+        conf.set(BATCH_CONF, str(IMAGE_BATCH_ROWS))
+
+
 def with_hog(images: DataFrame, settings: HogSettings = HogSettings(), output: str = "vector_inline") -> DataFrame:
     """Add the descriptor of each image's hand crop and the crop box.
 
     *images* may have a `landmarks` column; the box is computed by column
     expressions, and only the pixels go through Arrow.
     """
+    bound_batches(images)
     if "landmarks" in images.columns:
         landmarks = F.col("landmarks")
     else:
@@ -167,6 +180,7 @@ def prepare_frames(
     images: DataFrame, size: tuple[int, int] | None = None, region: str = "none"
 ) -> DataFrame:
     """Images as three channels in RGB order, cut to a half and resized (width, height)."""
+    bound_batches(images)
     schema = images.schema
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

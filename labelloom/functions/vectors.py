@@ -69,15 +69,13 @@ def block_channels(inline: Column, grid: tuple[int, int, int]) -> Column:
     )
 
 
-def feature_layout(dim: int, grid: tuple[int, int, int], families: Sequence[str] = ()) -> tuple[str, int]:
-    """Layout of a vector: (`grid`|`hybrid`|`flat`, length of the flat head)."""
+def feature_layout(dim: int, grid: tuple[int, int, int], family: str = "", head: int = 260) -> tuple[str, int]:
+    """Layout of a vector: kind (`hybrid`, `hog`, `flat`) and length of its geometric head."""
     rows, cols, width = grid
-    grid_dim = rows * cols * width
-    if dim == grid_dim:
-        return "grid", 0
-    if dim > grid_dim and (not families or "hog" in families):
-        return "hybrid", dim - grid_dim
-    return "flat", dim
+    blocks = rows * cols * width
+    if dim == head + blocks or "hybrid" in family:
+        return "hybrid", head
+    return ("hog" if dim == blocks or family == "hog" else "flat"), 0
 
 
 def argmax(scores: Column) -> Column:

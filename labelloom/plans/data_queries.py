@@ -513,7 +513,7 @@ def block_reshape(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def vector_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector accessor with its length, and the layout of 64 = 28 + 3*3*4 values."""
-    layout, flat = vectors.feature_layout(64, (3, 3, 4))
+    layout, flat = vectors.feature_layout(64, (3, 3, 4), head=28)
     v = vectors.vector(F.col("vector_inline"))
     return given.vectors(spark, sf_dir).select(
         "sample_id", big(F.size(v), "dim"), F.lit(layout).alias("layout"), big(F.lit(flat), "flat")
