@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.geometry import crop_box
+from labelloom.session import spread
 
 # Luma weights, clipping and regularisation of the block norm.
 LUMA = np.array([0.2125, 0.7154, 0.0721])
@@ -157,6 +158,7 @@ def with_hog(images: DataFrame, settings: HogSettings = HogSettings(), output: s
     expressions, and only the pixels go through Arrow.
     """
     bound_batches(images)
+    images = images if images.isStreaming else spread(images)
     if "landmarks" in images.columns:
         landmarks = F.col("landmarks")
     else:

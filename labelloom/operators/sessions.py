@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.labels import label_key
-from labelloom.operators.ranking import top_n
 from labelloom.session import materialize
 
 HOUR_US = 3_600_000_000
+# One chunk per session unless `fit_chunk` finds sessions too dense for that.
+WHOLE_SESSION_US = 24 * 3650 * HOUR_US
 
 
 def in_chunk() -> Window:
@@ -28,11 +29,11 @@ def in_chunk() -> Window:
 
 
 def fit_chunk(
-    frames: DataFrame, chunk_us: int = 24 * HOUR_US, least_us: int = 1_000_000, max_frames: int = 100_000
+    frames: DataFrame, chunk_us: int = WHOLE_SESSION_US, least_us: int = 1_000_000, max_frames: int = 100_000
 ) -> int:
     """Chunk length at which no (session, chunk) holds more than *max_frames* frames.
 
-    One counting pass over two columns per try; dense sessions get shorter chunks.
+    One counting pass over two columns per try; dense sessions shorten the chunks.
     Results do not depend on the chunk length, only the size of tasks does.
     """
     while chunk_us > least_us:
@@ -57,8 +58,12 @@ def with_carried_frames(frames: DataFrame, depth: int, chunk_us: int = 24 * HOUR
     """
     columns = frames.columns
     chunked = frames.withColumn("chunk", F.expr(f"us div {int(chunk_us)}L"))
+    # Chunks are of bounded size, and Spark keeps *depth* frames of each per task
+    # before it shuffles them.
+    latest = Window.partitionBy("session_id", "chunk").orderBy(F.desc("us"), F.desc("frame_id"))
     tails = (
-        top_n(chunked, ["session_id", "chunk"], [F.desc("us"), F.desc("frame_id")], depth, salts=8)
+        chunked.withColumn("_rank", F.row_number().over(latest))
+        .filter(F.col("_rank") <= depth)
         .groupBy("session_id", "chunk")
         .agg(F.array_sort(F.collect_list(F.struct("us", "frame_id", *_rest(columns)))).alias("tail"))
     )

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from labelloom.operators.ranking import exact_quantile
 
+# Up to this many rows per session, percentiles are computed in one aggregation.
+IN_MEMORY_ROWS = 100_000
+
 LATENCIES = ("capture_to_prediction", "prediction_to_dispatch", "end_to_end")
 
 
@@ -20,7 +23,7 @@ def runtime_summary(samples: DataFrame, keys: Sequence[str] = ("session_id",)) -
     keys = list(keys)
     zero = F.lit(0.0)
     flag = lambda name: F.count_if(F.coalesce(F.col(name), F.lit(False)))
-    totals = samples.groupBy(*keys).agg(
+    aggregates = [
         F.count(F.lit(1)).alias("frame_count"),
         F.coalesce(F.avg("fps"), zero).alias("avg_fps"),
         F.when(F.count("frame_interval_ms") >= 2, F.stddev_pop("frame_interval_ms"))
@@ -30,30 +33,29 @@ def runtime_summary(samples: DataFrame, keys: Sequence[str] = ("session_id",)) -
         flag("action_emitted").alias("actions_emitted"),
         flag("action_suppressed").alias("actions_suppressed"),
         flag("detection_ok").alias("detections_ok"),
-    )
-    long = samples.select(
-        *keys,
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(name).alias("stage"), F.col(f"{name}_ms").alias("ms")) for name in LATENCIES]
-            )
-        ),
-    )
-    p95 = exact_quantile(long, [*keys, "stage"], "ms", 0.95)
-    wide = p95.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("stage") == name, F.col("quantile"))).alias(f"{name}_p95") for name in LATENCIES]
-    )
-    joined = totals.join(wide, keys, "left")
-    return joined.select(
+    ]
+    p95 = [f"{name}_p95" for name in LATENCIES]
+    largest = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= IN_MEMORY_ROWS:
+        # Every session's values fit into the buffer of the built-in percentile.
+        exact = [F.percentile(f"{name}_ms", 0.95).alias(f"{name}_p95") for name in LATENCIES]
+        summary = samples.groupBy(*keys).agg(*aggregates, *exact)
+    else:
+        stages = [
+            F.struct(F.lit(name).alias("stage"), F.col(f"{name}_ms").alias("ms")) for name in LATENCIES
+        ]
+        long = samples.select(*keys, F.inline(F.array(*stages)))
+        wide = exact_quantile(long, [*keys, "stage"], "ms", 0.95).groupBy(*keys).agg(
+            *[F.max(F.when(F.col("stage") == name, F.col("quantile"))).alias(f"{name}_p95") for name in LATENCIES]
+        )
+        summary = samples.groupBy(*keys).agg(*aggregates).join(wide, keys, "left")
+    means = [c for name in LATENCIES for c in (f"{name}_avg", f"{name}_p95")]
+    return summary.select(
         *keys,
         "frame_count",
         "avg_fps",
         "fps_jitter_ms",
-        *[
-            c
-            for name in LATENCIES
-            for c in (F.col(f"{name}_avg"), F.coalesce(f"{name}_p95", zero).alias(f"{name}_p95"))
-        ],
+        *[F.coalesce(c, zero).alias(c) if c in p95 else F.col(c) for c in means],
         "actions_emitted",
         "actions_suppressed",
         "detections_ok",

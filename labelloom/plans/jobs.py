@@ -369,7 +369,7 @@ def session_tables(
     enable_dispatch: bool = False,
 ) -> dict[str, DataFrame]:
     """Votes, actions and label changes of stored sessions."""
-    chunk = sessions.fit_chunk(frames, max(24 * sessions.HOUR_US, int(debounce_ms * 4000)))
+    chunk = sessions.fit_chunk(frames, least_us=max(1_000_000, int(debounce_ms * 1000)))
     voted = sessions.rolling_vote(frames, chunk_us=chunk, **dict(vote or {}))
     acted = sessions.actions(
         voted,
@@ -378,7 +378,7 @@ def session_tables(
         debounce_ms=debounce_ms,
         dry_run=dry_run,
         enable_dispatch=enable_dispatch,
-        chunk_us=max(chunk, int(debounce_ms * 1000)),
+        chunk_us=chunk,
     )
     return {"votes": voted, "actions": acted, "changes": sessions.label_changes(voted)}
 

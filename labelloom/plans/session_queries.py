@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.clock import with_micros
 from labelloom.operators import sessions
-from labelloom.operators.telemetry import runtime_summary, tumbling_fps
+from labelloom.operators.telemetry import tumbling_fps
 from labelloom.plans import jobs, stand_ins as given
 from labelloom.plans.registry import big, query, r6
 from labelloom.plans.sql_views import ACTIONS, FRAMES, VOTES
@@ -20,7 +20,7 @@ _INTERVALS = f"""{FRAMES}, gaps AS (
 
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = given.frames(spark, sf_dir)
-    return sessions.rolling_vote(frames, chunk_us=sessions.fit_chunk(frames, 4 * given.DAY_US), **given.VOTE)
+    return sessions.rolling_vote(frames, chunk_us=sessions.fit_chunk(frames), **given.VOTE)
 
 
 @query("rolling_vote", f"""WITH {VOTES} SELECT session_id, frame_id, stable_label, window_size, round(consensus_ratio, 6) AS consensus_ratio,
@@ -42,7 +42,7 @@ def label_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN frame_interval_ms > 0 THEN round(1000.0 / frame_interval_ms, 6) END AS fps FROM gaps""")
 def frame_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = given.frames(spark, sf_dir)
-    rows = sessions.frame_intervals(frames, sessions.fit_chunk(frames, 4 * given.DAY_US))
+    rows = sessions.frame_intervals(frames, sessions.fit_chunk(frames))
     return rows.select("session_id", "frame_id", r6("frame_interval_ms"), r6("fps"))
 
 
@@ -74,7 +74,7 @@ def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emission flags of the eligible frames with a mapped key."""
     _, key = sessions.mapped_key(F.col("stable_label"), given.KEYMAP, given.KEY_ALIASES)
     candidates = _votes(spark, sf_dir).filter(F.col("meets_confidence") & F.col("meets_consensus") & key.isNotNull())
-    rows = sessions.debounce(candidates, given.DEBOUNCE_MS, chunk_us=4 * given.DAY_US)
+    rows = sessions.debounce(candidates, given.DEBOUNCE_MS, chunk_us=sessions.fit_chunk(given.frames(spark, sf_dir)))
     return rows.select("session_id", "frame_id", F.col("emitted").alias("would_emit"))
 
 
@@ -123,8 +123,8 @@ def runtime_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session summaries appended as run records and loaded again."""
     path = scratch_path(spark, "session-runs")
-    tables.append_runs(jobs.session_run_record(runtime_summary(
-        sessions.frame_intervals(given.telemetry(spark, sf_dir), 4 * given.DAY_US))), path)
+    summary = jobs.telemetry_tables(given.telemetry(spark, sf_dir))["summary"]
+    tables.append_runs(jobs.session_run_record(summary), path)
     m = F.col("metrics")
     return tables.read_runs(spark, path).select(
         "run_id", F.round(m["primary"], 4).alias("primary_ms"),

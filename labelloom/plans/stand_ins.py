@@ -14,6 +14,7 @@ from labelloom.functions.geometry import N
 from labelloom.functions.labels import sample_id
 from labelloom.functions.quality import flag_when, merge_flags
 from labelloom.functions.vectors import zeros
+from labelloom.session import materialize, spread
 
 # Debounce and vote settings for `events`, whose frames are hours apart.
 VOTE = {"window_size": 5, "min_consensus_ratio": 0.4, "confidence_threshold": 0.4}
@@ -137,15 +138,16 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` as predictions of their language from letter counts.
 
     Texts of 2000 characters or more are the second domain; those of more than
-    10000 form classes of their own there.
+    10000 form classes of their own there. Scoring reads every text in full, so
+    the narrow result is written once for all that evaluates it.
     """
     scores = letter_scores()
     total = F.aggregate("_scores", F.lit(0.0), lambda acc, x: acc + x)
     names = F.array(*[F.lit(c) for c in CLASSES])
     position = F.array_position("_scores", F.array_max("_scores")).cast("int")
     long = F.col("n_chars") > 10_000
-    return (
-        table(spark, sf_dir, "documents")
+    scored = (
+        spread(table(spark, sf_dir, "documents"))
         .select("doc_id", "lang", "source", "n_chars", scores.alias("_scores"))
         .select(
             F.col("doc_id").cast("string").alias("sample_id"),
@@ -163,6 +165,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("correct", F.col("true_label") == F.col("predicted_label"))
         .withColumn("confidence", F.array_max("probability"))
     )
+    return materialize(scored, "predictions")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,10 @@ OUTPUT = (
     "consensus_ratio double, avg_confidence double, window_size bigint, label_changed boolean, "
     "normalized_gesture_label string, mapped_key string, would_emit boolean, emitted boolean, reason string"
 )
+STATE = (
+    "recent_labels array<string>, recent_confidences array<double>, "
+    "emitted_label string, emitted_us bigint, stable_label string"
+)
 
 
 @dataclass(frozen=True)
@@ -55,17 +59,15 @@ class SessionProcessor(StatefulProcessor):
         self.settings = settings
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = self.settings.idle_ms
-        self.recent = handle.getListState("recent", "label string, confidence double", ttl)
-        self.emission = handle.getValueState("emission", "label string, us bigint", ttl)
-        self.stable = handle.getValueState("stable", "label string", ttl)
+        # One value per session: one read and one write per micro-batch.
+        self.state = handle.getValueState("session", STATE, self.settings.idle_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         s = self.settings
         frames = pd.concat(list(rows), ignore_index=True).sort_values(["us", "frame_id"], kind="stable")
-        recent = [(r[0], r[1]) for r in self.recent.get()] if self.recent.exists() else []
-        last = tuple(self.emission.get()) if self.emission.exists() else None
-        stable = self.stable.get()[0] if self.stable.exists() else None
+        labels, confidences, last_label, last_us, stable = self.state.get() or ([], [], None, None, None)
+        recent = list(zip(labels, confidences))
+        last = None if last_us is None else (last_label, last_us)
         live = s.enable_dispatch and not s.dry_run
         sent = "dispatched" if live else ("dry_run" if s.dry_run else "dispatch_disabled")
         out = []
@@ -93,10 +95,7 @@ class SessionProcessor(StatefulProcessor):
                 )
             )
             stable = winner
-        self.recent.put(recent)
-        self.stable.update((stable,))
-        if last is not None:
-            self.emission.update(last)
+        self.state.update(([r[0] for r in recent], [r[1] for r in recent], *(last or (None, None)), stable))
         names = [part.split()[0] for part in OUTPUT.split(", ")]
         yield pd.DataFrame(out, columns=names)
 

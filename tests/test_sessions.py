@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom import vocab
-from labelloom.operators import sessions
+from labelloom.operators import sessions, telemetry
 from labelloom.operators.telemetry import runtime_summary, tumbling_fps
 from labelloom.streaming import live
 
@@ -129,7 +129,9 @@ def test_action_reasons(spark):
 SAMPLES = "session_id string, end_to_end_ms double, capture_to_prediction_ms double, prediction_to_dispatch_ms double, frame_interval_ms double, fps double, action_emitted boolean, action_suppressed boolean, detection_ok boolean"
 
 
-def test_runtime_summary(spark):
+@pytest.mark.parametrize("in_memory", [100_000, 0])
+def test_runtime_summary(spark, monkeypatch, in_memory):
+    monkeypatch.setattr(telemetry, "IN_MEMORY_ROWS", in_memory)
     rows = [
         ("s", e, None, 1.0, i, f, e == 10.0, e != 10.0, True)
         for e, i, f in [(10.0, 33.0, 30.0), (20.0, 40.0, 25.0), (30.0, 50.0, 20.0), (40.0, 66.0, 15.0)]
