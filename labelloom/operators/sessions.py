@@ -195,7 +195,8 @@ def _summarize(us: np.ndarray, labels: np.ndarray, wait: int) -> dict:
 
     With a reset inside, the state after the chunk is fixed. Without, it depends
     on where the chain begins: `starts` lists the times at which it may begin and
-    `ends` the emission each beginning leads to.
+    `ends` the emission each beginning leads to. Chains soon meet, so neighbouring
+    beginnings with the same end are kept as one, under the latest of them.
     """
     first = _last_reset(us, labels, wait)
     ends = _chain_ends(us[first:], wait)
@@ -203,7 +204,9 @@ def _summarize(us: np.ndarray, labels: np.ndarray, wait: int) -> dict:
     if first > 0:
         return {**facts, "starts": [], "ends": [int(us[first:][ends[0]])]}
     n_starts = min(len(us), int(np.searchsorted(us, us[0] + wait, side="left")) + 1)
-    return {**facts, "starts": us[:n_starts].tolist(), "ends": us[ends[:n_starts]].tolist()}
+    last_emission = us[ends[:n_starts]]
+    kept = np.append(np.flatnonzero(np.diff(last_emission)), n_starts - 1)
+    return {**facts, "starts": us[kept].tolist(), "ends": last_emission[kept].tolist()}
 
 
 def _advance(state: tuple | None, chunk: dict, wait: int) -> tuple:
@@ -211,7 +214,7 @@ def _advance(state: tuple | None, chunk: dict, wait: int) -> tuple:
     if chunk["fixed"]:
         return chunk["label"], int(chunk["ends"][0])
     starts = np.asarray(chunk["starts"])
-    earliest = starts[0]
+    earliest = chunk["first_us"]
     if state is not None and state[0] == chunk["first_label"]:
         earliest = max(earliest, state[1] + wait)
     begin = int(np.searchsorted(starts, earliest, side="left"))

@@ -108,7 +108,6 @@ def write_sidecar(matrix: DataFrame, path: str, config: Mapping[str, Any], stats
         sidecar(matrix, config_fingerprint(config))
         .withColumn("extraction_stats", F.lit(json.dumps(dict(stats or {}), sort_keys=True, default=str)))
         .withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"))
-        .coalesce(1)
         .write.mode("append")
         .parquet(path)
     )
@@ -231,8 +230,8 @@ def write_predictions_csv(predictions: DataFrame, path: str) -> None:
 
 
 def write_confusion_csv(matrix: DataFrame, path: str) -> None:
-    """Square confusion matrix (first column: true label) as one CSV file."""
-    matrix.orderBy("true_label").coalesce(1).write.csv(path, header=True)
+    """Square confusion matrix as CSV; the first column is the true label."""
+    matrix.orderBy("true_label").write.csv(path, header=True)
 
 
 def read_confusion_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -248,12 +247,11 @@ def read_confusion_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(table: DataFrame, path: str, fmt: str = "json") -> None:
-    """A small report table (leaderboard, summary, coverage) as one JSON or CSV file."""
-    one = table.coalesce(1)
+    """A report table (leaderboard, summary, coverage) as JSON or CSV, in its order."""
     if fmt == "csv":
-        one.write.csv(path, header=True)
+        table.write.csv(path, header=True)
     else:
-        one.write.json(path)
+        table.write.json(path)
 
 
 def append_events(events: DataFrame, path: str) -> None:

@@ -167,6 +167,11 @@ def test_stream_scoring_equals_batch(spark, tmp_path):
     batch = {r["sample_id"]: r["predicted_label"] for r in model.transform(jobs.extract_features(df, "geometric")).collect()}
     assert {r["sample_id"]: r["label"] for r in got} == batch
     assert {r["session_id"] for r in got} == {"s"} and all(r["extraction_ok"] for r in got)
+    # The whole live pipeline as one query: features, score, vote, debounce, action.
+    settings = live.LiveSettings(window_size=1, confidence_threshold=0.0, keymap={"a": "up"}, aliases={})
+    acted = live.drained(live.live_sessions(live.score_stream(stream, model, "geometric"), settings), "acted").collect()
+    assert len(acted) == 24 and {r["reason"] for r in acted} == {"dry_run", "unmapped_gesture", "not_eligible"}
+    assert sum(r["would_emit"] for r in acted) == 1
     with pytest.raises(ValueError):
         live.score_stream(stream, classifiers.Trained("knn", [], {}), "geometric")
 
