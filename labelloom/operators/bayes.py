@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from labelloom.operators.arrow_scores import with_scores
 from labelloom.operators.scaling import moments
 
 
@@ -30,38 +28,8 @@ class GaussianBayes:
         return constant - 0.5 * np.column_stack(distance)
 
     def transform(self, df: DataFrame, vector: str = "vector_inline") -> DataFrame:
-        """Add predicted_label and probability (in class order).
-
-        Arrow batches pass through with two columns appended.
-        """
-        model = self
-        schema = T.StructType(
-            [
-                *df.schema.fields,
-                T.StructField("predicted_label", T.StringType()),
-                T.StructField("probability", T.ArrayType(T.DoubleType())),
-            ]
-        )
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = np.array(model.classes, dtype=object)
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                flat = batch.column(vector).flatten().to_numpy(zero_copy_only=False)
-                joint = model.log_likelihood(flat.astype(np.float64).reshape(batch.num_rows, -1))
-                powers = np.exp(joint - joint.max(axis=1, keepdims=True))
-                share = powers / powers.sum(axis=1, keepdims=True)
-                offsets = pa.array(np.arange(batch.num_rows + 1) * len(names), pa.int32())
-                added = {
-                    "predicted_label": pa.array(names[joint.argmax(axis=1)].tolist(), pa.string()),
-                    "probability": pa.ListArray.from_arrays(offsets, pa.array(share.ravel())),
-                }
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, *added.values()], names=[*batch.schema.names, *added]
-                )
-
-        return df.mapInArrow(score, schema)
+        """Add predicted_label and probability (in class order)."""
+        return with_scores(df, vector, self.classes, self.log_likelihood)
 
 
 def fit_parameters(df: DataFrame, vector: str = "vector_inline", label: str = "gesture_label", var_smoothing: float = 1e-9) -> DataFrame:

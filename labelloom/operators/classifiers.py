@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
@@ -25,52 +25,65 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom import vocab
 from labelloom.functions.names import algorithm_name
 from labelloom.functions.vectors import softmax
 from labelloom.operators import bayes, neighbours
+from labelloom.operators.arrow_scores import with_scores
 from labelloom.operators.scaling import fit_scaler, scaled
 
 VECTOR, LABEL = "vector_inline", "gesture_label"
+PARAMETERS = "label string, offset double, first array<double>, second array<double>"
 
 
-class FourierFeatures(
-    Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable
-):
+@dataclass(frozen=True)
+class FourierKernel:
     """Random Fourier features approximating the RBF kernel exp(-gamma |x - y|^2)."""
 
-    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
-    inputDim = Param(Params._dummy(), "inputDim", "input length", TypeConverters.toInt)
-    numFeatures = Param(Params._dummy(), "numFeatures", "output length", TypeConverters.toInt)
+    gamma: float
+    dim: int
+    width: int = 512
+    seed: int = 42
 
-    def __init__(self) -> None:
-        super().__init__()
-        self._setDefault(gamma=1.0, numFeatures=512, seed=42)
+    def features(self, x: np.ndarray) -> np.ndarray:
+        """Features of the rows of *x*, the same for the same seed."""
+        rng = np.random.default_rng(self.seed)
+        weights = rng.normal(0.0, np.sqrt(2.0 * self.gamma), (self.dim, self.width))
+        shift = rng.uniform(0.0, 2.0 * np.pi, self.width)
+        return np.sqrt(2.0 / self.width) * np.cos(x @ weights + shift)
 
-    def configure(self, **values: Any) -> FourierFeatures:
-        return self._set(**values)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        rng = np.random.default_rng(self.getSeed())
-        width = self.getOrDefault(self.numFeatures)
-        gamma = self.getOrDefault(self.gamma)
-        weights = rng.normal(0.0, np.sqrt(2.0 * gamma), (self.getOrDefault(self.inputDim), width))
-        shift = rng.uniform(0.0, 2.0 * np.pi, width)
+    def column(self, vector: Column) -> Column:
+        """Features of an array column."""
+        kernel = self
 
         @F.pandas_udf("array<double>")
         def features(vectors: pd.Series) -> pd.Series:
-            x = np.vstack(vectors.to_numpy())
-            return pd.Series(list(np.sqrt(2.0 / width) * np.cos(x @ weights + shift)))
+            return pd.Series(list(kernel.features(np.vstack(vectors.to_numpy()))))
+
+        return features(vector)
+
+
+@dataclass(frozen=True)
+class LinearScores:
+    """One linear score per class, on the vector or on its kernel features."""
 
-        source = vector_to_array(F.col(self.getInputCol()))
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(features(source)))
+    classes: tuple[str, ...]
+    weights: np.ndarray
+    bias: np.ndarray
+    kernel: FourierKernel | None = None
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Scores of the rows of *x*."""
+        inputs = self.kernel.features(x) if self.kernel else x
+        return inputs @ self.weights.T + self.bias
+
+    def transform(self, df: DataFrame, vector: str = VECTOR) -> DataFrame:
+        """Add predicted_label and probability (in class order)."""
+        return with_scores(df, vector, self.classes, self.scores)
 
 
 @dataclass
@@ -83,7 +96,6 @@ class Trained:
     stages: PipelineModel | None = None
     own: Any = None
     scaler: tuple[list[float], list[float]] | None = None
-    extra: dict[str, Any] = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Score every row; needs sample_id for nearest neighbours."""
@@ -93,7 +105,7 @@ class Trained:
         vector = F.col(VECTOR).cast("array<double>")
         if self.scaler:
             vector = scaled(vector, *self.scaler)
-        if self.algorithm == "naive_bayes":
+        if self.own is not None:
             scored = self.own.transform(df.withColumn("_x", vector), "_x")
             return scored.select(*columns, "predicted_label", "probability")
         rows = self.stages.transform(df.withColumn("features", array_to_vector(vector)))
@@ -124,22 +136,22 @@ class Trained:
             "classes": self.classes,
             "hyperparameters": self.hyperparameters,
             "scaler": self.scaler,
+            "kernel": asdict(self.own.kernel) if self.algorithm == "svm" and self.own.kernel else None,
             "metadata": dict(metadata or {}),
         }
         row = spark.createDataFrame([(json.dumps(meta, default=str),)], "meta string")
         if self.stages is not None:
             self.stages.write().overwrite().save(f"{path}/stages")
-        elif self.algorithm == "naive_bayes":
+        elif self.algorithm == "knn":
+            self.own.write.mode("overwrite").parquet(f"{path}/train")
+        else:
             m = self.own
+            numbers = (m.bias, m.weights, m.weights) if self.algorithm == "svm" else (m.log_prior, m.mean, m.var)
             rows = [
-                (c, float(p), list(map(float, a)), list(map(float, v)))
-                for c, p, a, v in zip(m.classes, m.log_prior, m.mean, m.var)
+                (c, float(p), list(map(float, a)), list(map(float, b)))
+                for c, p, a, b in zip(m.classes, *numbers)
             ]
-            spark.createDataFrame(
-                rows, "label string, log_prior double, mean array<double>, var array<double>"
-            ).write.mode("overwrite").parquet(f"{path}/parameters")
-        else:
-            self.own.write.mode("overwrite").parquet(f"{path}/train")
+            spark.createDataFrame(rows, PARAMETERS).write.mode("overwrite").parquet(f"{path}/parameters")
         row.write.mode("overwrite").text(f"{path}/meta")
 
 
@@ -152,14 +164,15 @@ def load(spark: SparkSession, path: str) -> tuple[Trained, dict[str, Any]]:
         meta["hyperparameters"],
         scaler=tuple(meta["scaler"]) if meta["scaler"] else None,
     )
-    if trained.algorithm == "naive_bayes":
+    if trained.algorithm in ("naive_bayes", "svm"):
         rows = sorted(spark.read.parquet(f"{path}/parameters").collect(), key=lambda r: r["label"])
-        trained.own = bayes.GaussianBayes(
-            tuple(r["label"] for r in rows),
-            np.array([r["log_prior"] for r in rows]),
-            np.array([r["mean"] for r in rows]),
-            np.array([r["var"] for r in rows]),
-        )
+        names = tuple(r["label"] for r in rows)
+        first, second, third = (np.array([r[c] for r in rows]) for c in ("offset", "first", "second"))
+        if trained.algorithm == "svm":
+            kernel = FourierKernel(**meta["kernel"]) if meta["kernel"] else None
+            trained.own = LinearScores(names, second, first, kernel)
+        else:
+            trained.own = bayes.GaussianBayes(names, first, second, third)
     elif trained.algorithm == "knn":
         trained.own = spark.read.parquet(f"{path}/train")
     else:
@@ -296,19 +309,30 @@ def train(
     indexer = StringIndexer(inputCol=LABEL, outputCol="label", stringOrderType="alphabetAsc").fit(table)
     classes = list(indexer.labels)
     indexed = indexer.transform(table)
-    stages: list[Any] = []
-    features = "features"
     dim = len(table.select(VECTOR).first()[0])
-    if name == "svm" and str(hp.get("kernel", "rbf")) == "rbf":
-        kernel = FourierFeatures().configure(
-            inputCol="features", outputCol="kernel", inputDim=dim, seed=seed,
-            gamma=_kernel_width(table, hp.get("gamma", "scale"), dim),
-            numFeatures=int(hp.get("num_features", 512)),
-        )
-        stages.append(kernel)
-        features = "kernel"
+    if name == "svm":
+        return _train_svm(indexed, classes, hp, dim, params, seed)
     if name == "mlp":
         hp = {**hp, "layers": [dim, *hp.get("hidden_dims", [128, 64]), len(classes)]}
-    estimator = build_estimator(name, hp, seed).setFeaturesCol(features)
-    model = Pipeline(stages=[*stages, estimator]).fit(indexed)
+    estimator = build_estimator(name, hp, seed).setFeaturesCol("features")
+    model = Pipeline(stages=[estimator]).fit(indexed)
     return Trained(name, classes, hp, stages=model, scaler=params)
+
+
+def _train_svm(
+    indexed: DataFrame, classes: list[str], hp: Mapping[str, Any], dim: int, scaler: Any, seed: int
+) -> Trained:
+    """One linear machine per class; scored by one matrix product for all of them."""
+    kernel = None
+    if str(hp.get("kernel", "rbf")) == "rbf":
+        gamma = _kernel_width(indexed, hp.get("gamma", "scale"), dim)
+        kernel = FourierKernel(gamma, dim, int(hp.get("num_features", 512)), seed)
+        indexed = indexed.withColumn("features", array_to_vector(kernel.column(F.col(VECTOR))))
+    # The optimizer passes over the rows many times per class.
+    rows = indexed.select("features", "label").persist()
+    fitted = build_estimator("svm", hp, seed).setFeaturesCol("features").fit(rows)
+    rows.unpersist()
+    weights = np.array([m.coefficients.toArray() for m in fitted.models])
+    bias = np.array([m.intercept for m in fitted.models])
+    own = LinearScores(tuple(classes), weights, bias, kernel)
+    return Trained("svm", classes, dict(hp), own=own, scaler=scaler)

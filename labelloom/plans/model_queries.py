@@ -134,6 +134,11 @@ def logistic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir, "logistic_regression", C=100.0, max_iter=100)
 
 
+@query("svm_scores")
+def svm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir, "svm", max_iter=20)
+
+
 @query("perceptron_scores")
 def perceptron_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir, "mlp")

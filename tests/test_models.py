@@ -98,6 +98,12 @@ def test_every_algorithm_learns_saves_and_loads(spark, data, tmp_path, name):
     assert pick(jobs.predict(again, data[1])) == pick(scored)
 
 
+def test_linear_svm(spark, data):
+    model = classifiers.train(data[0], "svm", {"kernel": "linear", "max_iter": 10})
+    assert model.own.kernel is None and model.own.weights.shape == (3, 6)
+    assert jobs.predict(model, data[1]).filter("true_label = predicted_label").count() >= 27
+
+
 def test_registry():
     assert "knn" in classifiers.algorithms() and len(classifiers.algorithms()) == 7
     with pytest.raises(KeyError):
