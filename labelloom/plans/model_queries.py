@@ -136,7 +136,7 @@ def logistic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("svm_scores")
 def svm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, "svm", max_iter=20)
+    return _scores(spark, sf_dir, "svm", max_iter=8)
 
 
 @query("perceptron_scores")

@@ -95,6 +95,11 @@ _SUMMARY_COLUMNS = (
     "avg_fps", "fps_jitter_ms", "capture_to_prediction_avg", "capture_to_prediction_p95", "prediction_to_dispatch_avg",
     "prediction_to_dispatch_p95", "end_to_end_avg", "end_to_end_p95",
 )
+# Means of short decimals often end in an exact 5; a small offset before rounding
+# keeps the order of summation from deciding such ties. Intervals are of the order
+# of 1e7 ms, so their deviation is compared to fewer digits.
+_TIE = 1e-9
+_DIGITS = {c: 3 if c == "fps_jitter_ms" else 6 for c in _SUMMARY_COLUMNS}
 _SUMMARY = f"""WITH {_INTERVALS}, s AS (
   SELECT g.session_id, frame_interval_ms AS gap, value * 0.6::DOUBLE AS c, value * 0.4::DOUBLE AS d, value AS e, event_type AS kind
   FROM gaps g JOIN events ON event_id = frame_id),
@@ -107,19 +112,19 @@ t AS (SELECT session_id, count(*) AS frame_count, coalesce(avg(CASE WHEN gap > 0
   count(*) FILTER (kind <> 'error') AS detections_ok FROM s GROUP BY 1)"""
 
 
-@query("runtime_summary", f"""{_SUMMARY} SELECT session_id, frame_count, {', '.join(f'round({c}, 4) AS {c}' for c in _SUMMARY_COLUMNS)},
+@query("runtime_summary", f"""{_SUMMARY} SELECT session_id, frame_count, {', '.join(f'round({c} + 1e-9, {d}) AS {c}' for c, d in _DIGITS.items())},
         actions_emitted, actions_suppressed, detections_ok FROM t""")
 def runtime_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = given.telemetry(spark, sf_dir)
     rows = jobs.telemetry_tables(samples)["summary"]
     return rows.select(
-        "session_id", "frame_count", *[F.round(c, 4).alias(c) for c in _SUMMARY_COLUMNS],
+        "session_id", "frame_count", *[F.round(F.col(c) + _TIE, d).alias(c) for c, d in _DIGITS.items()],
         "actions_emitted", "actions_suppressed", "detections_ok",
     )
 
 
-@query("session_run_records", f"""{_SUMMARY} SELECT sha256('EXP-04:' || session_id) AS run_id, round(end_to_end_avg, 4) AS primary_ms,
-        round(end_to_end_p95, 4) AS end_to_end_p95_ms, frame_count::DOUBLE AS frames_processed FROM t""")
+@query("session_run_records", f"""{_SUMMARY} SELECT sha256('EXP-04:' || session_id) AS run_id, round(end_to_end_avg + 1e-9, 6) AS primary_ms,
+        round(end_to_end_p95 + 1e-9, 6) AS end_to_end_p95_ms, frame_count::DOUBLE AS frames_processed FROM t""")
 def session_run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session summaries appended as run records and loaded again."""
     path = scratch_path(spark, "session-runs")
@@ -127,12 +132,12 @@ def session_run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.append_runs(jobs.session_run_record(summary), path)
     m = F.col("metrics")
     return tables.read_runs(spark, path).select(
-        "run_id", F.round(m["primary"], 4).alias("primary_ms"),
-        F.round(m["end_to_end_p95_ms"], 4).alias("end_to_end_p95_ms"), m["frames_processed"].alias("frames_processed"),
+        "run_id", F.round(m["primary"] + _TIE, 6).alias("primary_ms"),
+        F.round(m["end_to_end_p95_ms"] + _TIE, 6).alias("end_to_end_p95_ms"), m["frames_processed"].alias("frames_processed"),
     )
 
 
-@query("session_log", """SELECT user_id::VARCHAR AS session_id, count(*) AS event_count, round(avg(value), 4) AS end_to_end_avg
+@query("session_log", """SELECT user_id::VARCHAR AS session_id, count(*) AS event_count, round(avg(value) + 1e-9, 6) AS end_to_end_avg
         FROM events GROUP BY 1""")
 def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event log appended as JSON lines, and the session documents made from it."""
@@ -143,7 +148,7 @@ def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = events.groupBy("session_id").agg(F.avg("end_to_end_ms").alias("end_to_end_avg"))
     rows = tables.session_document(events, summary, path)
     mean = F.get_json_object("summary", "$.end_to_end_avg").cast("double")
-    return rows.select("session_id", "event_count", F.round(mean, 4).alias("end_to_end_avg"))
+    return rows.select("session_id", "event_count", F.round(mean + _TIE, 6).alias("end_to_end_avg"))
 
 
 @query("fps_tumbling", """SELECT user_id::VARCHAR AS session_id, (epoch_us(ts) // 3600000000) * 3600000000 AS window_us, count(*) AS frames,
