@@ -7,11 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelloom.llm.bpe import bpe_encode
 from labelloom.llm.common import documents
 from labelloom.llm.exact_dedup import exact_duplicates
 from labelloom.llm.mixing import mix_sources, word_count
+from labelloom.llm.quality_rules import quality_rules
 from labelloom.session import materialize
 
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
@@ -28,6 +38,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_bpe_encode")
+def op1_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of all documents."""
+    return bpe_encode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), with_ids=False)
+
+
 @query("op5_mix_sources")
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
@@ -35,6 +51,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(sized, size_col="size").select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict for all documents."""
+    return quality_rules(documents(spark, sf_dir))
+
+
 @query(
     "op9_exact_dedup",
     r"""SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
