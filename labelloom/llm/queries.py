@@ -12,6 +12,7 @@ from labelloom.llm.common import documents
 from labelloom.llm.exact_dedup import exact_duplicates
 from labelloom.llm.mixing import mix_sources, word_count
 from labelloom.llm.quality_rules import quality_rules
+from labelloom.llm.token_files import read_token_files, token_folder, write_token_files
 from labelloom.session import materialize
 
 
@@ -67,3 +68,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document that stays for each document."""
     return exact_duplicates(documents(spark, sf_dir))
+
+
+@query("op10_token_files")
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as stored in token files, read back from them."""
+    index = write_token_files(documents(spark, sf_dir), token_folder(spark), vocabulary("word_bpe_49k.json"))
+    return read_token_files(index).select("doc_id", "start", "n_tokens", "ids_crc32")
