@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm.bpe import bpe_encode
 from labelloom.llm.common import documents
 from labelloom.llm.exact_dedup import exact_duplicates
+from labelloom.llm.language_id import identify, train
 from labelloom.llm.mixing import mix_sources, word_count
 from labelloom.llm.quality_rules import quality_rules
 from labelloom.llm.token_files import read_token_files, token_folder, write_token_files
 from labelloom.session import materialize
 
 
+def fold(parts: int) -> Column:
+    """Part of a row by the checksum of its id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's vocabulary file."""
     import public_tokenizers
@@ -58,6 +64,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from four fifths of them."""
+    docs = documents(spark, sf_dir)
+    model = train(docs.where(fold(5) != 0))
+    return identify(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 @query(
     "op9_exact_dedup",
     r"""SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
