@@ -14,6 +14,7 @@ from labelloom.llm.language_id import identify, train
 from labelloom.llm.mixing import mix_sources, word_count
 from labelloom.llm.quality_rules import quality_rules
 from labelloom.llm.token_files import read_token_files, token_folder, write_token_files
+from labelloom.llm.toxicity import score_toxicity
 from labelloom.session import materialize
 
 
@@ -51,6 +52,15 @@ def op1_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from three quarters of the labels."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    known = docs.select("doc_id", "text").join(labels.where(fold(4) != 2), "doc_id")
+    return score_toxicity(docs, known).select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")
+
+
 @query("op5_mix_sources")
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
