@@ -20,7 +20,8 @@ SAMPLE_ROWS = 20_000
 MOST_TERMS = 3_000
 #: A term must be in this many labelled rows, and this many times as often in toxic ones as overall.
 LEAST_ROWS = 8
-LEAST_LIFT = 2.5
+LEAST_LIFT = 3.0
+LEAST_CHI = 30.0
 PART = 5
 NEIGHBOURS = 31
 BLOCK = 64
@@ -69,7 +70,11 @@ def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def choose_terms(sample: DataFrame) -> list[str]:
-    """At most MOST_TERMS terms of a labelled sample (label, text), by their chi-square with the label."""
+    """At most MOST_TERMS terms of a labelled sample (label, text), by their chi-square with the label.
+
+    Copies of a text count once, as all their words would look alike.
+    """
+    sample = sample.select("label", "text").distinct()
     total = sample.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     if not total["n"] or not total["toxic"]:
         return []
@@ -79,7 +84,7 @@ def choose_terms(sample: DataFrame) -> list[str]:
         .where((F.col("n") >= min(LEAST_ROWS, max(2, total["n"] // 200))) & (F.col("toxic") / F.col("n") >= min(LEAST_LIFT * base, (1 + base) / 2)))
     )
     excess = F.col("toxic") - F.col("n") * base
-    ranked = counted.withColumn("chi", excess * excess / (F.col("n") * base * (1 - base))).where("chi >= 20")
+    ranked = counted.withColumn("chi", excess * excess / (F.col("n") * base * (1 - base))).where(F.col("chi") >= LEAST_CHI)
     return [r["term"] for r in ranked.orderBy(F.desc("chi"), "term").limit(MOST_TERMS).collect()]
 
 
@@ -178,8 +183,6 @@ class ToxicityModel:
             at, weights = self.weigh([t for t, _ in key], [c for _, c in key])
             vectors.append(list(zip(at.tolist(), weights.tolist(), strict=True)))
         self.index = BlockMaxIndex(vectors, len(terms))
-        filled = self.votes.sum()
-        self.filled_rate = (self.toxic.sum() + PRIOR_VOTES * self.rate) / (filled + PRIOR_VOTES)
 
     def weigh(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Unit TF-IDF vector with logarithmic counts."""
@@ -193,10 +196,11 @@ class ToxicityModel:
             return float(self.plain_rate), []
         at, cosine = self.index.nearest(*self.weigh(terms, counts), NEIGHBOURS)
         weight = cosine**2
-        # merged examples vote with the logarithm of their number
-        number = 1 + np.log(self.votes[at])
+        # merged examples fill as many of the places as they are
+        before = np.cumsum(self.votes[at]) - self.votes[at]
+        number = np.clip(NEIGHBOURS - before, 0, self.votes[at])
         share = self.toxic[at] / self.votes[at]
-        value = ((weight * number * share).sum() + PRIOR_VOTES * self.filled_rate) / ((weight * number).sum() + PRIOR_VOTES)
+        value = ((weight * number * share).sum() + PRIOR_VOTES * self.rate) / ((weight * number).sum() + PRIOR_VOTES)
         return float(min(max(value, 0.0), 1.0)), [(self.evidence[i], float(c), float(s)) for i, c, s in zip(at[:5], cosine[:5], share[:5], strict=True)]
 
 
@@ -208,7 +212,7 @@ def score_toxicity(
     *labelled* holds ids, texts and labels (1: toxic). Terms and examples come from at
     most *sample_rows* of its rows, the bound of everything that reaches the driver;
     document frequencies come from all documents. A score is the share of toxic votes
-    of the NEIGHBOURS nearest distinct examples by exact cosine, weighted by its
+    of the NEIGHBOURS nearest examples by exact cosine, weighted by its
     square, with the base rate as a further vote; evidence lists the nearest (id,
     cosine, share of toxic votes). A text without any term of the model (null and empty
     ones too) gets the rate of such examples. Rows with a null label or id are not
