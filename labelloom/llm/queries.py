@@ -11,6 +11,7 @@ from labelloom.llm.bpe import bpe_encode
 from labelloom.llm.common import documents
 from labelloom.llm.exact_dedup import exact_duplicates
 from labelloom.llm.language_id import identify, train
+from labelloom.llm.lm_scoring import score_texts
 from labelloom.llm.mixing import mix_sources, word_count
 from labelloom.llm.quality_rules import quality_rules
 from labelloom.llm.token_files import read_token_files, token_folder, write_token_files
@@ -82,6 +83,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+@query("op8_lm_scoring")
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from four fifths of them."""
+    scored = score_texts(documents(spark, sf_dir), fold(5) != 1, vocabulary("piece_bpe_32k.model"))
+    return scored.withColumn("held_out", fold(5) == 1)
+
+
 @query(
     "op9_exact_dedup",
     r"""SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
