@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labelloom.llm.bpe import bpe_encode
 from labelloom.llm.common import documents
 from labelloom.llm.exact_dedup import exact_duplicates
+from labelloom.llm.jaccard_join import near_duplicates
 from labelloom.llm.language_id import identify, train
 from labelloom.llm.lm_scoring import score_texts
 from labelloom.llm.mixing import mix_sources, word_count
@@ -53,6 +54,12 @@ def op1_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
+@query("op2_jaccard_join")
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of all documents."""
+    return near_duplicates(documents(spark, sf_dir)).drop("k1", "k2")
+
+
 @query("op4_toxicity")
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from three quarters of the labels."""
