@@ -15,6 +15,7 @@ from labelloom.llm.language_id import identify, train
 from labelloom.llm.lm_scoring import score_texts
 from labelloom.llm.mixing import mix_sources, word_count
 from labelloom.llm.quality_rules import quality_rules
+from labelloom.llm.suffix_dedup import repeated_spans
 from labelloom.llm.token_files import read_token_files, token_folder, write_token_files
 from labelloom.llm.toxicity import score_toxicity
 from labelloom.session import materialize
@@ -60,6 +61,12 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).drop("k1", "k2")
 
 
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without strings of 400 bytes that occur twice."""
+    return repeated_spans(documents(spark, sf_dir)).drop("spans")
+
+
 @query("op4_toxicity")
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from three quarters of the labels."""
