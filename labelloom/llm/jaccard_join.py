@@ -159,7 +159,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def compare(bucket: int, sids: list[int], sets: list[np.ndarray], others: list[list[int]]) -> tuple[list[int], list[int], list[int]] | None:
-    """Links within a bucket: for each linked set its id, the smallest id linked in here, and its links first met here.
+    """Links within a bucket: for each linked set its id, the smallest id connected to it here, and its links first met here.
 
     A pair that shares several buckets is counted in the one with the smallest number.
     """
@@ -177,10 +177,13 @@ def compare(bucket: int, sids: list[int], sets: list[np.ndarray], others: list[l
         seen = np.zeros((len(sids), column.max() + 1), dtype=np.float32)
         seen[np.repeat(np.arange(len(sids)), [len(o) for o in earlier]), column] = 1
         new = linked & ~(seen @ seen.T > 0)
-    ids = np.array(sids, dtype=np.int64)
     at = np.flatnonzero(linked.any(axis=1))
-    nearest = np.where(linked[at], ids[None, :], np.iinfo(np.int64).max).min(axis=1)
-    return ids[at].tolist(), np.minimum(nearest, ids[at]).tolist(), new[at].sum(axis=1).tolist()
+    within = linked[np.ix_(at, at)]
+    root, before = np.array(sids, dtype=np.int64)[at], None
+    while before is None or (root != before).any():
+        before = root
+        root = np.minimum(root, np.where(within, root[None, :], np.iinfo(np.int64).max).min(axis=1))
+    return [sids[i] for i in at], root.tolist(), new[at].sum(axis=1).tolist()
 
 
 def compare_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
