@@ -23,7 +23,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +34,8 @@ from labelloom.functions.names import algorithm_name
 from labelloom.functions.vectors import softmax
 from labelloom.operators import bayes, neighbours
 from labelloom.operators.arrow_scores import with_scores
-from labelloom.operators.scaling import fit_scaler, scaled
+from labelloom.operators.scaling import scale_parameters, scaled
+from labelloom.session import materialize
 
 VECTOR, LABEL = "vector_inline", "gesture_label"
 PARAMETERS = "label string, offset double, first array<double>, second array<double>"
@@ -188,7 +189,7 @@ def model_path(folder: str, experiment_id: str, algorithm: str, family: str) ->
 # --- factories ---------------------------------------------------------------
 
 
-def _tree(hp: Mapping[str, Any], seed: int) -> Estimator:
+def _tree(hp: Mapping[str, Any], seed: int, n_train: int) -> Estimator:
     return DecisionTreeClassifier(
         impurity="gini", maxBins=32, seed=seed, maxDepth=_depth(hp),
         minInstancesPerNode=int(hp.get("min_samples_leaf", 1)),
@@ -201,7 +202,7 @@ def _depth(hp: Mapping[str, Any]) -> int:
     return 30 if depth is None else int(depth)
 
 
-def _forest(hp: Mapping[str, Any], seed: int) -> Estimator:
+def _forest(hp: Mapping[str, Any], seed: int, n_train: int) -> Estimator:
     return RandomForestClassifier(
         numTrees=int(hp.get("n_estimators", 100)), maxDepth=_depth(hp), seed=seed,
         featureSubsetStrategy=str(hp.get("max_features", "sqrt")),
@@ -209,29 +210,31 @@ def _forest(hp: Mapping[str, Any], seed: int) -> Estimator:
     )
 
 
-def _logistic(hp: Mapping[str, Any], seed: int) -> Estimator:
+def _strength(hp: Mapping[str, Any], n_train: int) -> float:
+    """Spark weighs the mean of the losses; the C of vector machines their sum, so it is spread over the rows."""
+    return 1.0 / max(float(hp.get("C", 1.0)) * n_train, 1e-8)
+
+
+def _logistic(hp: Mapping[str, Any], seed: int, n_train: int) -> Estimator:
     return LogisticRegression(
-        family="multinomial", regParam=1.0 / max(float(hp.get("C", 1.0)), 1e-8),
-        maxIter=int(hp.get("max_iter", 500)), standardization=False,
+        family="multinomial", regParam=1.0 / max(float(hp.get("C", 1.0)), 1e-8), maxIter=int(hp.get("max_iter", 500)), standardization=False,
     )
 
 
-def _svm(hp: Mapping[str, Any], seed: int) -> Estimator:
+def _svm(hp: Mapping[str, Any], seed: int, n_train: int) -> Estimator:
     binary = LinearSVC(
-        regParam=1.0 / max(float(hp.get("C", 1.0)) * 1000.0, 1e-8),
-        maxIter=min(int(hp.get("max_iter", 100)), 100), tol=float(hp.get("tol", 1e-3)),
-        standardization=False,
+        regParam=_strength(hp, n_train), maxIter=int(hp.get("max_iter", 100)), tol=float(hp.get("tol", 1e-3)), standardization=False,
     )
     return OneVsRest(classifier=binary, parallelism=8)
 
 
-def _perceptron(hp: Mapping[str, Any], seed: int) -> Estimator:
+def _perceptron(hp: Mapping[str, Any], seed: int, n_train: int) -> Estimator:
     return MultilayerPerceptronClassifier(
-        layers=[int(x) for x in hp["layers"]], maxIter=int(hp.get("epochs", 20)) * 5, seed=seed,
+        layers=[int(x) for x in hp["layers"]], maxIter=int(hp.get("epochs", 100)), seed=seed,
     )
 
 
-FACTORIES: dict[str, Callable[[Mapping[str, Any], int], Estimator]] = {
+FACTORIES: dict[str, Callable[[Mapping[str, Any], int, int], Estimator]] = {
     "decision_tree": _tree,
     "random_forest": _forest,
     "logistic_regression": _logistic,
@@ -240,17 +243,29 @@ FACTORIES: dict[str, Callable[[Mapping[str, Any], int], Estimator]] = {
 }
 
 
+# What each algorithm takes; anything else is refused rather than ignored.
+KNOWN = {
+    "knn": {"n_neighbors"},
+    "naive_bayes": {"var_smoothing"},
+    "decision_tree": {"max_depth", "min_samples_leaf"},
+    "random_forest": {"n_estimators", "max_depth", "max_features", "min_samples_leaf"},
+    "logistic_regression": {"C", "max_iter"},
+    "svm": {"C", "kernel", "gamma", "max_iter", "tol", "num_features"},
+    "mlp": {"hidden_dims", "epochs", "layers"},
+}
+
+
 def algorithms() -> list[str]:
     """Names `train` accepts."""
     return sorted([*FACTORIES, "knn", "naive_bayes"])
 
 
-def build_estimator(name: str, hyperparameters: Mapping[str, Any] | None = None, seed: int = 42) -> Estimator:
-    """Spark estimator of an algorithm (label column `label`, input `inputs`)."""
+def build_estimator(name: str, hyperparameters: Mapping[str, Any] | None = None, seed: int = 42, n_train: int = 1) -> Estimator:
+    """Spark estimator of an algorithm (label column `label`, input `inputs`) for *n_train* rows."""
     key = algorithm_name(name)
     if key not in FACTORIES:
         raise KeyError(f"unknown algorithm '{name}', known: {sorted(FACTORIES)}")
-    estimator = FACTORIES[key](hyperparameters or {}, seed)
+    estimator = FACTORIES[key](hyperparameters or {}, seed, n_train)
     return estimator.setFeaturesCol("inputs").setLabelCol("label")
 
 
@@ -276,51 +291,54 @@ def train(
 ) -> Trained:
     """Train on rows with sample_id, gesture_label and vector_inline.
 
-    The usual algorithms scale their input by the training rows' statistics.
+    The usual algorithms scale their input by the training rows' statistics. The
+    rows are read twice, for the statistics and to write the (scaled) training table
+    that all passes of the estimator read. An unknown hyper-parameter is an error.
     """
     name = algorithm_name(algorithm)
     if name not in algorithms():
         raise KeyError(f"unknown algorithm '{algorithm}', known: {algorithms()}")
     hp = {**vocab.DEFAULT_HYPERPARAMETERS.get(name, {}), **(hyperparameters or {})}
+    if odd := set(hp) - KNOWN[name]:
+        raise ValueError(f"{name} has no hyper-parameter {sorted(odd)}")
     scale = name in vocab.SCALED_ALGORITHMS if scale is None else scale
     table = rows.select(
-        "sample_id",
-        F.col(LABEL).cast("string").alias(LABEL),
-        F.col(VECTOR).cast("array<double>").alias(VECTOR),
-    ).withColumn("features", array_to_vector(F.col(VECTOR)))
-
+        "sample_id", F.col(LABEL).cast("string").alias(LABEL), F.col(VECTOR).cast("array<double>").alias(VECTOR)
+    )
     params = None
     if scale:
-        stages = fit_scaler(table).stages
-        params = (list(map(float, stages[0].mean)), [1.0 / float(x) for x in stages[1].getScalingVec()])
-        table = table.withColumn(VECTOR, scaled(F.col(VECTOR), *params)).withColumn(
-            "features", array_to_vector(F.col(VECTOR))
-        )
-
-    if name in ("knn", "naive_bayes"):
-        if name == "knn":
-            classes = sorted(r[0] for r in table.select(LABEL).distinct().collect())
-            own: Any = table.select("sample_id", F.col(LABEL).alias("label"), F.col(VECTOR).alias("vector"))
-        else:
-            own = bayes.fit(table, VECTOR, LABEL, float(hp.get("var_smoothing", 1e-9)))
-            classes = list(own.classes)
+        params = scale_parameters(table, VECTOR)
+        table = table.withColumn(VECTOR, scaled(F.col(VECTOR), *params))
+
+    if name == "naive_bayes":
+        own: Any = bayes.fit(table, VECTOR, LABEL, float(hp.get("var_smoothing", 1e-9)))
+        return Trained(name, list(own.classes), hp, own=own, scaler=params)
+    table = materialize(table, "training-rows")
+    facts = table.groupBy(LABEL).agg(F.count("*").alias("n"), F.max(F.size(VECTOR)).alias("dim")).collect()
+    classes = sorted(r[LABEL] for r in facts)
+    if name == "knn":
+        own = table.select("sample_id", F.col(LABEL).alias("label"), F.col(VECTOR).alias("vector"))
         return Trained(name, classes, hp, own=own, scaler=params)
 
-    indexer = StringIndexer(inputCol=LABEL, outputCol="label", stringOrderType="alphabetAsc").fit(table)
-    classes = list(indexer.labels)
-    indexed = indexer.transform(table)
-    dim = len(table.select(VECTOR).first()[0])
+    indexed = _indexed(table, classes)
+    dim, n_train = max(r["dim"] for r in facts), sum(r["n"] for r in facts)
     if name == "svm":
-        return _train_svm(indexed, classes, hp, dim, params, seed)
+        return _train_svm(indexed, classes, hp, dim, params, seed, n_train)
     if name == "mlp":
         hp = {**hp, "layers": [dim, *hp.get("hidden_dims", [128, 64]), len(classes)]}
-    estimator = build_estimator(name, hp, seed).setFeaturesCol("features")
+    estimator = build_estimator(name, hp, seed, n_train).setFeaturesCol("features")
     model = Pipeline(stages=[estimator]).fit(indexed)
     return Trained(name, classes, hp, stages=model, scaler=params)
 
 
+def _indexed(table: DataFrame, classes: list[str]) -> DataFrame:
+    """Rows with vector and label as the estimators read them; the classes are known already."""
+    indexer = StringIndexerModel.from_labels(classes, inputCol=LABEL, outputCol="label")
+    return indexer.transform(table.withColumn("features", array_to_vector(F.col(VECTOR))))
+
+
 def _train_svm(
-    indexed: DataFrame, classes: list[str], hp: Mapping[str, Any], dim: int, scaler: Any, seed: int
+    indexed: DataFrame, classes: list[str], hp: Mapping[str, Any], dim: int, scaler: Any, seed: int, n_train: int
 ) -> Trained:
     """One linear machine per class; scored by one matrix product for all of them."""
     kernel = None
@@ -330,7 +348,7 @@ def _train_svm(
         indexed = indexed.withColumn("features", array_to_vector(kernel.column(F.col(VECTOR))))
     # The optimizer passes over the rows many times per class.
     rows = indexed.select("features", "label").persist()
-    fitted = build_estimator("svm", hp, seed).setFeaturesCol("features").fit(rows)
+    fitted = build_estimator("svm", hp, seed, n_train).setFeaturesCol("features").fit(rows)
     rows.unpersist()
     weights = np.array([m.coefficients.toArray() for m in fitted.models])
     bias = np.array([m.intercept for m in fitted.models])

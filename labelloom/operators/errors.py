@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.operators.ranking import top_n
@@ -24,12 +24,20 @@ def errors_of(predictions: DataFrame, domain: str | None = None) -> DataFrame:
 
 
 def misclassified_pairs(predictions: DataFrame) -> DataFrame:
-    """Confused label pairs with counts and shares of all errors of the true label."""
-    return (
+    """Confused label pairs, most frequent first, with their shares of all errors and of those of the true label."""
+    counts = (
         errors_of(predictions)
         .groupBy(F.col("true_label").cast("string"), F.col("predicted_label").cast("string"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    # one row per pair of labels
+    every, same = Window.partitionBy(), Window.partitionBy("true_label")
+    return counts.select(
+        "true_label", "predicted_label", "n",
+        F.sum("n").over(every).alias("total_errors"),
+        (F.col("n") / F.sum("n").over(every)).alias("share"),
+        (F.col("n") / F.sum("n").over(same)).alias("share_of_label"),
+    ).orderBy(F.desc("n"), "true_label", "predicted_label")
 
 
 def errors_by_context(predictions: DataFrame) -> DataFrame:
@@ -86,7 +94,11 @@ def with_metadata(predictions: DataFrame, manifest: DataFrame, domain: str, data
     Samples the manifest lacks keep defaults; a repeated id takes one of its rows.
     """
     wanted = ("dataset_name", "image_path", "subject_id", "capture_context")
-    meta = manifest.groupBy("sample_id").agg(*[F.any_value(c).alias(f"_{c}") for c in wanted])
+    # maps have no order, so the row is chosen by the other columns and the map's text
+    order = F.struct(*[F.col(c) for c in wanted[:-1]], F.to_json("capture_context"))
+    meta = manifest.groupBy("sample_id").agg(F.max_by(F.struct(*wanted), order).alias("_m")).select(
+        "sample_id", *[F.col("_m")[c].alias(f"_{c}") for c in wanted]
+    )
     return _prediction_columns(predictions.join(meta, "sample_id", "left"), domain, dataset_name)
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -63,9 +67,21 @@ def fit_scaler(df: DataFrame, input_col: str = "features", output_col: str = "sc
     ).fit(df)
 
 
+def scale_parameters(df: DataFrame, vector: str = "vector_inline") -> tuple[list[float], list[float]]:
+    """Means and scales of the dimensions, from one pass over the rows."""
+    row = moments(df, vector).first()
+    deviations = [math.sqrt(v) for v in row["var_pop"]]
+    return list(row["mean"]), [1.0 if d < EPS else d for d in deviations]
+
+
 def scaled(vector: Column, mean: list[float], scale: list[float]) -> Column:
-    """Array vector scaled by known parameters."""
-    centre = F.array(*[F.lit(float(m)) for m in mean])
-    width = F.array(*[F.lit(float(s)) for s in scale])
-    centred = F.zip_with(vector, centre, lambda x, m: x - m)
-    return F.zip_with(centred, width, lambda x, s: x / s)
+    """Array vector scaled by known parameters, by numpy over Arrow batches."""
+    centre, width = np.asarray(mean, dtype=np.float64), np.asarray(scale, dtype=np.float64)
+
+    @F.pandas_udf("array<double>")
+    def scale_batch(vectors: pd.Series) -> pd.Series:
+        known = [v for v in vectors if v is not None]
+        done = iter((np.stack(known) - centre) / width) if known else iter(())
+        return pd.Series([None if v is None else next(done) for v in vectors], dtype=object)
+
+    return scale_batch(vector)

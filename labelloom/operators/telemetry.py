@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from labelloom.operators.ranking import exact_quantile
 
-# Up to this many rows per session, percentiles are computed in one aggregation.
-IN_MEMORY_ROWS = 100_000
-
 LATENCIES = ("capture_to_prediction", "prediction_to_dispatch", "end_to_end")
 
 
@@ -35,20 +32,12 @@ def runtime_summary(samples: DataFrame, keys: Sequence[str] = ("session_id",)) -
         flag("detection_ok").alias("detections_ok"),
     ]
     p95 = [f"{name}_p95" for name in LATENCIES]
-    largest = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if (largest or 0) <= IN_MEMORY_ROWS:
-        # Every session's values fit into the buffer of the built-in percentile.
-        exact = [F.percentile(f"{name}_ms", 0.95).alias(f"{name}_p95") for name in LATENCIES]
-        summary = samples.groupBy(*keys).agg(*aggregates, *exact)
-    else:
-        stages = [
-            F.struct(F.lit(name).alias("stage"), F.col(f"{name}_ms").alias("ms")) for name in LATENCIES
-        ]
-        long = samples.select(*keys, F.inline(F.array(*stages)))
-        wide = exact_quantile(long, [*keys, "stage"], "ms", 0.95).groupBy(*keys).agg(
-            *[F.max(F.when(F.col("stage") == name, F.col("quantile"))).alias(f"{name}_p95") for name in LATENCIES]
-        )
-        summary = samples.groupBy(*keys).agg(*aggregates).join(wide, keys, "left")
+    stages = [F.struct(F.lit(name).alias("stage"), F.col(f"{name}_ms").alias("ms")) for name in LATENCIES]
+    long = samples.select(*keys, F.inline(F.array(*stages)))
+    wide = exact_quantile(long, [*keys, "stage"], "ms", 0.95).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("stage") == name, F.col("quantile"))).alias(f"{name}_p95") for name in LATENCIES]
+    )
+    summary = samples.groupBy(*keys).agg(*aggregates).join(wide, keys, "left")
     means = [c for name in LATENCIES for c in (f"{name}_avg", f"{name}_p95")]
     return summary.select(
         *keys,

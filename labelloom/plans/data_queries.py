@@ -522,13 +522,12 @@ def vector_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "softmax_argmax",
-    """WITH e AS (SELECT vec_id::VARCHAR AS sample_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS v FROM embeddings),
+    """WITH e AS (SELECT vec_id::VARCHAR AS sample_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
        p AS (SELECT sample_id, v, list_transform(v, lambda x: exp(x - list_max(v))) AS w FROM e)
        SELECT sample_id, list_position(v, list_max(v))::BIGINT AS best, round(1 / list_sum(w), 6) AS confidence FROM p""",
 )
 def softmax_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = F.slice("vector_inline", 1, 8)
-    rows = given.vectors(spark, sf_dir).select("sample_id", scores.alias("s"))
+    rows = given.vectors(spark, sf_dir).select("sample_id", F.col("vector_inline").alias("s"))
     share = vectors.as_probabilities(F.col("s"))
     return rows.select("sample_id", big(vectors.argmax(F.col("s")), "best"), r6(F.array_max(share), "confidence"))
 

@@ -296,10 +296,15 @@ def schema_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("misclassified_pairs", f"""WITH {PREDICTIONS} SELECT true_label, predicted_label, count(*) AS n FROM pred
-        WHERE true_label <> predicted_label GROUP BY 1, 2""")
+_PAIRS = f"""WITH {PREDICTIONS}, e AS (SELECT true_label, predicted_label, count(*) AS n FROM pred WHERE true_label <> predicted_label GROUP BY 1, 2)
+        SELECT true_label, predicted_label, n, (sum(n) OVER ())::BIGINT AS total_errors, round(n / sum(n) OVER (), 6) AS share,
+               round(n / sum(n) OVER (PARTITION BY true_label), 6) AS share_of_label FROM e"""
+
+
+@query("misclassified_pairs", _PAIRS)
 def misclassified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return errors.misclassified_pairs(given.predictions(spark, sf_dir))
+    rows = errors.misclassified_pairs(given.predictions(spark, sf_dir))
+    return rows.select("true_label", "predicted_label", "n", big("total_errors"), r6("share"), r6("share_of_label"))
 
 
 @query("errors_by_context", f"""WITH {PREDICTIONS}, e AS (SELECT * FROM pred WHERE true_label <> predicted_label)

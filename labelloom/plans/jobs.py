@@ -35,7 +35,7 @@ def manifest_tables(manifest: DataFrame, config: Mapping[str, Any]) -> dict[str,
         manifest,
         label_aliases=config.get("label_aliases"),
         canonical_labels=reference,
-        align_to_canonical=bool(config.get("align_to")),
+        align_to_canonical=config.get("align_to") in ("canonical", vocab.TREE_DATASET),
     )
     return {
         "manifest": rows,

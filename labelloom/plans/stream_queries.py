@@ -57,15 +57,13 @@ def stream_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts[0].unionByName(counts[1])
 
 
-@query("stream_fps", """WITH w AS (SELECT user_id::VARCHAR AS session_id, epoch_us(ts) // 86400000000 AS d, count(*) AS frames FROM events GROUP BY 1, 2),
-        top AS (SELECT max(epoch_us(ts)) - 600000000 AS mark FROM events)
-        SELECT session_id, d * 86400000000 AS window_us, frames, round(frames / 86400.0, 6) AS fps FROM w, top
-        WHERE (d + 1) * 86400000000 <= mark""")
+@query("stream_fps", """WITH w AS (SELECT user_id::VARCHAR AS session_id, epoch_us(ts) // 86400000000 AS d, count(*) AS frames FROM events GROUP BY 1, 2)
+        SELECT session_id, d * 86400000000 AS window_us, frames, round(frames / 86400.0, 6) AS fps FROM w""")
 def stream_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily frame rate with a watermark of ten minutes; the open day is held back."""
+    """Daily frame rate of all days, the last one included."""
     events = with_micros(_event_stream(spark, sf_dir))
     frames = events.select(
         F.col("user_id").cast("string").alias("session_id"), F.timestamp_micros("us").alias("ts")
     )
-    rows = live.drained(live.fps_stream(frames, 86_400, "10 minutes"), "stream-fps")
+    rows = live.drained_totals(live.tumbling_fps(frames, 86_400), "stream-fps")
     return rows.select("session_id", F.unix_micros("window_start").alias("window_us"), big("frames"), r6("fps"))

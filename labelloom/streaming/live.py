@@ -182,8 +182,10 @@ def write_per_batch(events: DataFrame, path: str, checkpoint: str) -> StreamingQ
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # else the stateful operator runs once for each of the two writes
         for name, rows in (("events", batch), ("actions", batch.filter("would_emit"))):
             rows.write.mode("overwrite").json(f"{path}/{name}/batch_id={batch_id}")
+        batch.unpersist()
 
     return (
         events.writeStream.foreachBatch(write)
@@ -200,7 +202,7 @@ def run_to_end(query: StreamingQuery) -> None:
 
 def run_for(query: StreamingQuery, seconds: float) -> None:
     """Let a continuous query run for a limited time."""
-    query.awaitTermination(int(seconds))
+    query.awaitTermination(seconds)
     query.stop()
 
 
@@ -210,3 +212,21 @@ def drained(events: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     run_to_end(write_events(events, path, scratch_path(spark, f"{name}-checkpoint"), "parquet"))
     return spark.read.schema(events.schema).parquet(path)
+
+
+def drained_totals(totals: DataFrame, name: str) -> DataFrame:
+    """Run an aggregating stream over the input at hand; read its last complete result.
+
+    Every micro-batch replaces the whole result, so no window is held back at the end.
+    """
+    spark = totals.sparkSession
+    path = scratch_path(spark, name)
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    run_to_end(
+        totals.writeStream.foreachBatch(replace).outputMode("complete")
+        .option("checkpointLocation", scratch_path(spark, f"{name}-checkpoint")).trigger(availableNow=True).start()
+    )
+    return spark.read.schema(totals.schema).parquet(path)

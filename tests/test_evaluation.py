@@ -169,10 +169,8 @@ def test_plans_and_specs():
     assert leaderboards.grid({}) == [{}]
     with pytest.raises(KeyError):
         leaderboards.search_space("nope")
-    plan = leaderboards.search_plan(
-        {"algorithms": ["svm_rbf", "knn"], "algorithm_registry": {"knn": {"tuning": {"enabled": True}}, "svm": {"hyperparameters": {"C": 2}}}}
-    )
-    assert [(p["algorithm"], p["plan_index"]) for p in plan] == [("svm", 0)] + [("knn", i) for i in range(4)]
+    assert leaderboards.candidates("svm_rbf", {"C": [2]}) == [{"C": 2}]
+    assert len(leaderboards.candidates("knn")) == 3
     specs = leaderboards.suite_specs(["svm", "svm_rbf", "knn"], ["hog_only", "hybrid"])
     assert specs == [("svm", "hog_only"), ("knn", "hog_only"), ("svm", "hybrid"), ("knn", "hybrid")]
     assert leaderboards.suite_specs([], [], [{"algorithm": "knn", "feature_family": "hybrid"}]) == [("knn", "hybrid")]
