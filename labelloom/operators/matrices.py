@@ -255,13 +255,18 @@ def sync_labels(matrix: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def sidecar(matrix: DataFrame, fingerprint: str = "") -> DataFrame:
-    """Row count and vector length of each (dataset, family, version)."""
+    """Row count, vector length and source families of each (dataset, family, version).
+
+    vector_dim is the longest vector; more than one of vector_dims tells of a mixed matrix.
+    """
     size = F.col("vector_inline")
     return (
         matrix.groupBy("dataset_name", "feature_family", "feature_version")
         .agg(
             F.count(F.lit(1)).alias("n_samples"),
             F.coalesce(F.max(F.when(F.size(size) > 0, F.size(size))), F.lit(0)).alias("vector_dim"),
+            F.count_distinct(F.when(F.size(size) > 0, F.size(size))).alias("vector_dims"),
+            F.max("source_families").alias("source_families"),
         )
         .withColumn("config_fingerprint", F.lit(fingerprint))
     )

@@ -16,7 +16,7 @@ from labelloom.functions.pixels import HogSettings, with_hog
 from labelloom.functions.quality import apply_quality_flags
 from labelloom.functions.scoring import prediction_confidence
 from labelloom.operators import classifiers, coverage, domains, errors, leaderboards, metrics, sessions, splits
-from labelloom.operators.matrices import extracted, repaired_labels, rows_of_family, sidecar
+from labelloom.operators.matrices import extracted, hybrid_join, repaired_labels, rows_of_family, sidecar, sync_labels
 from labelloom.operators.telemetry import runtime_summary
 from labelloom.session import materialize
 from labelloom.sources import tables
@@ -29,7 +29,7 @@ IN_DOMAIN, OOD = domains.IN_DOMAIN, domains.OOD
 
 
 def manifest_tables(manifest: DataFrame, config: Mapping[str, Any]) -> dict[str, DataFrame]:
-    """Normalised manifest with label coverage, dataset summary and label overlap."""
+    """Normalised manifest with label coverage and dataset summary."""
     reference = list(config.get("label_vocabulary") or [])
     rows = repaired_labels(
         manifest,
@@ -44,20 +44,53 @@ def manifest_tables(manifest: DataFrame, config: Mapping[str, Any]) -> dict[str,
     }
 
 
-def manifest_job(spark: SparkSession, config: Mapping[str, Any], output: str) -> dict[str, DataFrame]:
+def dataset_report(
+    manifest: DataFrame, reference: DataFrame | None = None, listing: DataFrame | None = None, vocabulary: Sequence[str] = ()
+) -> dict[str, DataFrame]:
+    """Summary, label coverage, share of aligned rows, label overlap with a second manifest and missing files.
+
+    Tables whose input isn't given are left out.
+    """
+    covered = coverage.label_coverage(manifest, list(vocabulary))
+    report = {
+        "dataset_summary": coverage.dataset_summary(manifest),
+        "label_coverage": covered,
+        "aligned_ratio": coverage.aligned_ratio(covered),
+    }
+    if reference is not None:
+        report["label_overlap"] = domains.label_overlap(manifest, reference)
+    if listing is not None:
+        report["missing_files"] = coverage.missing_files(manifest, listing)
+    return report
+
+
+def manifest_job(
+    spark: SparkSession, config: Mapping[str, Any], output: str, reference: DataFrame | None = None, listing: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """Index a dataset, normalise its labels, write manifest and reports below *output*."""
     result = manifest_tables(index_dataset(spark, config), config)
-    tables.write_manifest(result["manifest"], f"{output}/manifest.parquet")
-    written = tables.read_manifest(spark, f"{output}/manifest.parquet")
-    reports = {
-        "label_coverage": coverage.label_coverage(written, list(config.get("label_vocabulary") or [])),
-        "dataset_summary": coverage.dataset_summary(written),
-    }
+    return write_manifest_reports(result["manifest"], config, output, reference, listing)
+
+
+def write_manifest_reports(
+    manifest: DataFrame, config: Mapping[str, Any], output: str, reference: DataFrame | None = None, listing: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Write a manifest and the reports on what was written."""
+    tables.write_manifest(manifest, f"{output}/manifest.parquet", mode="overwrite")
+    written = tables.read_manifest(manifest.sparkSession, f"{output}/manifest.parquet")
+    reports = dataset_report(written, reference, listing, config.get("label_vocabulary") or [])
     for name, report in reports.items():
         tables.write_report(report, f"{output}/{name}")
     return {"manifest": written, **reports}
 
 
+def sync_labels_job(spark: SparkSession, matrix_path: str, manifest: DataFrame) -> int:
+    """Bring the labels of a stored matrix up to its manifest; returns how many rows it knew."""
+    synced = materialize(sync_labels(tables.read_matrix(spark, matrix_path, valid_only=False), manifest), "synced-labels")
+    tables.replace_table(synced.drop("updated"), matrix_path)
+    return synced.where("updated").count()
+
+
 def split_job(
     manifest: DataFrame, output: str, seed: int = 42, strategy: Mapping[str, Any] | None = None, n_folds: int = 5
 ) -> dict[str, DataFrame]:
@@ -96,6 +129,13 @@ def extract_features(
     if family == "geometric":
         rows = with_geometric_vector(pixels, output="_vector", include_angles=include_angles)
         return extracted(rows, family, F.col("_vector"), geometric_dim(include_angles), **options)
+    if family == vocab.HYBRID_FAMILY:
+        # Both blocks come from the same detection of the same row.
+        rows = with_geometric_vector(pixels, output="_keypoints", include_angles=include_angles)
+        described = with_hog(rows.filter(readable), hog, "_appearance").unionByName(rows.filter(~readable), allowMissingColumns=True)
+        dim = geometric_dim(include_angles) + hog.dim()
+        vector = F.concat("_keypoints", "_appearance")
+        return extracted(described, family, vector, dim, **options).withColumn("source_families", F.array(F.lit("geometric"), F.lit("hog")))
     if family == "hog":
         # Unreadable images never reach the pixel stage.
         described = with_hog(pixels.filter(readable), hog, "_vector")
@@ -125,28 +165,47 @@ def quality_tables(
 def extraction_job(
     samples: DataFrame, family: str, output: str, config: Mapping[str, Any] | None = None
 ) -> dict[str, DataFrame]:
-    """Extract one family, append matrix and sidecar, write the quality report."""
+    """Extract one family, write matrix, sidecar and quality reports.
+
+    What the table holds of the same dataset, family and version is replaced, so a run
+    can be repeated; reports lie below quality/family/version.
+    """
     spark, config = samples.sparkSession, dict(config or {})
     quality = config.get("quality_flags") or {}
     threshold = float(quality.get("min_detection_confidence", 0.5))
-    rows = extract_features(samples, family, min_confidence=threshold)
+    version = str(config.get("feature_version", "v1"))
+    rows = extract_features(samples, family, min_confidence=threshold, version=version)
     flagged = rows.withColumn(
         "quality_flags", apply_quality_flags(F.col("quality_flags"), F.col("confidence"), threshold)
     )
-    tables.append_matrix(flagged, f"{output}/matrix")
-    written = tables.read_matrix(spark, f"{output}/matrix", family=family, valid_only=False)
+    written = store_matrix(flagged, output, family, version, config)
     reports = quality_tables(
         written,
         min_confidence=threshold,
         min_samples=quality.get("min_samples_per_class"),
         min_success_rate=quality.get("min_class_success_rate"),
     )
-    tables.write_sidecar(written, f"{output}/sidecars", config)
-    tables.write_report(reports["overall"], f"{output}/quality/{family}/overall")
-    tables.write_report(reports["by_label"], f"{output}/quality/{family}/by_label")
+    for name, report in reports.items():
+        tables.write_report(report, f"{output}/quality/{family}/{version}/{name}")
     return {"matrix": written, **reports}
 
 
+def store_matrix(rows: DataFrame, output: str, family: str, version: str, config: Mapping[str, Any]) -> DataFrame:
+    """Write matrix and sidecar of one family and version; returns the rows of the datasets just written."""
+    spark = rows.sparkSession
+    rows = materialize(rows, "extracted")
+    tables.replace_parts(rows, f"{output}/matrix")
+    stored = tables.read_matrix(spark, f"{output}/matrix", family=family, version=version, valid_only=False)
+    written = stored.join(rows.select("dataset_name").distinct(), "dataset_name", "left_semi").select(*stored.columns)
+    tables.write_sidecar(written, f"{output}/sidecars", config)
+    return written
+
+
+def hybrid_job(keypoints: DataFrame, appearance: DataFrame, output: str, config: Mapping[str, Any] | None = None, version: str = "v1") -> DataFrame:
+    """Join two matrices after their guards, write the hybrid matrix and its sidecar."""
+    return store_matrix(hybrid_join(keypoints, appearance, version), output, vocab.HYBRID_FAMILY, version, dict(config or {}))
+
+
 # --- training ----------------------------------------------------------------
 
 
@@ -160,9 +219,14 @@ def run_experiment(
     config: Mapping[str, Any] | None = None,
     hyperparameters: Mapping[str, Any] | None = None,
     models: str | None = None,
+    output: str | None = None,
     dry_run: bool = False,
 ) -> tuple[DataFrame, DataFrame | None, classifiers.Trained | None]:
-    """Train on the train rows, score the val rows: (run record, predictions, model)."""
+    """Train on the train rows, score the val rows: (run record, predictions, model).
+
+    With *output*, predictions, confusion matrix and metrics are written below it and
+    the run record, which names them, is added to its `runs`.
+    """
     spark, name = matrix.sparkSession, algorithm_name(algorithm)
     config = dict(config or {})
     run = {"algorithm": name, "feature_family": family}
@@ -188,12 +252,45 @@ def run_experiment(
         path = classifiers.model_path(models, experiment_id, name, family)
         model.save(spark, path, {"experiment_id": experiment_id, "feature_family": family, "metrics": summary})
         artifacts["model_path"] = path
+    outputs = {}
+    if output:
+        place = f"{output}/{experiment_id}_{name}_{family}"
+        outputs = {"metrics_path": f"{place}/metrics", "predictions_path": f"{place}/predictions", "confusion_path": f"{place}/confusion"}
+        tables.write_predictions_csv(scored, outputs["predictions_path"])
+        square = metrics.confusion_matrix(metrics.pair_counts(scored), model.classes)
+        tables.write_confusion_csv(square, outputs["confusion_path"])
+        numbers = spark.createDataFrame([(k, float(v)) for k, v in summary.items() if v is not None], "metric string, value double")
+        tables.write_report(numbers, outputs["metrics_path"])
     record = tables.new_run(
-        spark, experiment_id, config, status="completed", metrics=summary, artifacts=artifacts, **run
+        spark, experiment_id, config, status="completed", metrics=summary, artifacts=artifacts, outputs=outputs, **run
     )
+    if output:
+        tables.append_runs(record, f"{output}/runs")
     return record, scored, model
 
 
+def tune(
+    matrix: DataFrame, folds: DataFrame, algorithm: str, space: Mapping[str, Sequence[Any]] | None = None, metric: str = "f1_macro"
+) -> tuple[dict[str, Any], list[dict[str, Any]]]:
+    """Try the candidates of an algorithm over all folds: the best parameters, and the scores of each.
+
+    Every candidate is trained on the rows outside a fold and scored on those in it;
+    its score is the mean over the folds. Of equals the first is best.
+    """
+    numbers = sorted(r["fold"] for r in folds.select("fold").distinct().collect())
+    tried = []
+    for params in leaderboards.candidates(algorithm, space):
+        scores = []
+        for fold in numbers:
+            roles = splits.fold_members(folds, fold).withColumnRenamed("role", "split")
+            model = classifiers.train(splits.rows_of_split(matrix, roles, "train"), algorithm, params)
+            scored = predict(model, splits.rows_of_split(matrix, roles, "val"))
+            scores.append(metrics.classification_metrics(metrics.pair_counts(scored)).first()[metric])
+        tried.append({"hyperparameters": params, "scores": scores, "mean": sum(scores) / max(len(scores), 1)})
+    best = max(tried, key=lambda t: t["mean"])
+    return best["hyperparameters"], tried
+
+
 def predict(model: classifiers.Trained, rows: DataFrame, with_probability: bool = True) -> DataFrame:
     """Predictions of labelled rows: ids, both labels, confidence (and probabilities)."""
     kept = rows.select("sample_id", F.col("gesture_label").cast("string").alias("true_label"), "vector_inline")
@@ -288,10 +385,11 @@ def robustness_run(
     experiment_id: str = "EXP-03",
     config: Mapping[str, Any] | None = None,
     family: str = "hybrid",
+    output: str | None = None,
 ) -> dict[str, DataFrame]:
     """Score both domains with one model and compare them.
 
-    The in-domain test rows are scored; if none match, all in-domain rows are.
+    With *output*, all tables and the run record are written below it. The in-domain test rows are scored; if none match, all in-domain rows are.
     """
     spark = in_domain.sparkSession
     train_labels, ood_labels = domains.labels_of(in_domain), domains.labels_of(ood)
@@ -334,8 +432,16 @@ def robustness_run(
     record = tables.new_run(
         spark, experiment_id, dict(config or {}), status="completed",
         algorithm=model.algorithm, feature_family=family, metrics=numbers,
+        outputs={"metrics_path": f"{output}/metrics"} if output else {},
     )
-    return {"predictions": predictions, "schema": schema, "run": record, **result}
+    result = {"predictions": predictions, "schema": schema, **result}
+    if output:
+        tables.write_predictions_csv(predictions, f"{output}/predictions")
+        for name, table in result.items():
+            if name != "predictions":
+                tables.write_report(table, f"{output}/{name}")
+        tables.append_runs(record, f"{output}/runs")
+    return {"run": record, **result}
 
 
 def robustness_suite(

@@ -71,6 +71,13 @@ def append_matrix(matrix: DataFrame, path: str) -> None:
     matrix.write.mode("append").partitionBy(*MATRIX_KEYS).parquet(path)
 
 
+def replace_parts(matrix: DataFrame, path: str) -> None:
+    """Write rows in place of what the table holds for their (dataset, family, version); other keys stay."""
+    (
+        matrix.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*MATRIX_KEYS).parquet(path)
+    )
+
+
 def write_matrix_csv(matrix: DataFrame, path: str) -> None:
     """Matrix as CSV, nested columns as JSON."""
     nested = ("vector_inline", "quality_flags", "source_families")
@@ -225,13 +232,15 @@ def read_runs(spark: SparkSession, path: str, recursive: bool = True) -> DataFra
 
 
 def write_predictions_csv(predictions: DataFrame, path: str) -> None:
-    """Predictions as CSV, the context as JSON."""
-    predictions.withColumn("capture_context", F.to_json("capture_context")).write.csv(path, header=True)
+    """Predictions as CSV, context and probabilities as JSON."""
+    nested = ("capture_context", "probability")
+    flat = predictions.withColumns({c: F.to_json(c) for c in nested if c in predictions.columns})
+    flat.write.mode("overwrite").csv(path, header=True)
 
 
 def write_confusion_csv(matrix: DataFrame, path: str) -> None:
     """Square confusion matrix as CSV; the first column is the true label."""
-    matrix.orderBy("true_label").write.csv(path, header=True)
+    matrix.orderBy("true_label").write.mode("overwrite").csv(path, header=True)
 
 
 def read_confusion_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -247,11 +256,11 @@ def read_confusion_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(table: DataFrame, path: str, fmt: str = "json") -> None:
-    """A report table (leaderboard, summary, coverage) as JSON or CSV, in its order."""
+    """A report table (leaderboard, summary, coverage) as JSON or CSV, in its order; an earlier one is replaced."""
     if fmt == "csv":
-        table.write.csv(path, header=True)
+        table.write.mode("overwrite").csv(path, header=True)
     else:
-        table.write.json(path)
+        table.write.mode("overwrite").json(path)
 
 
 def append_events(events: DataFrame, path: str) -> None:
@@ -270,8 +279,3 @@ def session_document(events: DataFrame, summary: DataFrame, log_path: str) -> Da
         "event_count",
         F.to_json(F.struct(*[c for c in summary.columns if c != "session_id"])).alias("summary"),
     )
-
-
-def read_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    """Parquet tables `<folder>/<name>.parquet` by name."""
-    return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
