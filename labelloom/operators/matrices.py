@@ -260,13 +260,14 @@ def sidecar(matrix: DataFrame, fingerprint: str = "") -> DataFrame:
     vector_dim is the longest vector; more than one of vector_dims tells of a mixed matrix.
     """
     size = F.col("vector_inline")
+    families = F.col("source_families") if "source_families" in matrix.columns else F.lit(None).cast("array<string>")
     return (
         matrix.groupBy("dataset_name", "feature_family", "feature_version")
         .agg(
             F.count(F.lit(1)).alias("n_samples"),
             F.coalesce(F.max(F.when(F.size(size) > 0, F.size(size))), F.lit(0)).alias("vector_dim"),
             F.count_distinct(F.when(F.size(size) > 0, F.size(size))).alias("vector_dims"),
-            F.max("source_families").alias("source_families"),
+            F.max(families).alias("source_families"),
         )
         .withColumn("config_fingerprint", F.lit(fingerprint))
     )

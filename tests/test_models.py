@@ -193,3 +193,22 @@ def test_extraction_job(spark, tmp_path):
     assert result["overall"].first()["failed_extractions"] == 1
     assert [r["rule"] for r in result["violations"].collect()] == ["min_samples"]
     assert [r["sample_id"] for r in result["low_confidence"].collect()] == ["h1"]
+
+
+def test_svm_strength_follows_the_rows():
+    few, many = (classifiers.build_estimator("svm", {"C": 2.0, "max_iter": 250}, n_train=n).getClassifier() for n in (10, 1000))
+    assert few.getRegParam() == pytest.approx(1 / 20) and many.getRegParam() == pytest.approx(1 / 2000)
+    assert few.getMaxIter() == 250
+
+
+def test_unknown_hyperparameters_are_refused(spark):
+    rows = spark.createDataFrame([("a", "x", [1.0])], "sample_id string, gesture_label string, vector_inline array<double>")
+    with pytest.raises(ValueError, match="learning_rate"):
+        classifiers.train(rows, "mlp", {"learning_rate": 0.1})
+
+
+def test_tune_prefers_the_better_candidate(spark):
+    rows = [(f"s{i}", "ab"[i % 2], [float(i % 2) + (i % 7) / 100, 0.0]) for i in range(40)]
+    matrix = spark.createDataFrame(rows, "sample_id string, gesture_label string, vector_inline array<double>")
+    best, tried = jobs.tune(matrix, splits.stratified_folds(matrix, 2), "knn", {"n_neighbors": [20, 1]}, "accuracy")
+    assert best == {"n_neighbors": 1} and len(tried) == 2 and all(len(t["scores"]) == 2 for t in tried)
