@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labelloom import vocab
 from labelloom.functions.scoring import deployment_recommendation, mask_unknown, restricted_argmax
 from labelloom.operators.metrics import classification_metrics, pair_counts, per_class_accuracy
+from labelloom.session import materialize
 
 IN_DOMAIN, OOD = "in_domain", "ood"
 
@@ -190,20 +191,24 @@ def evaluation_protocols(
     ``masked_unknown``: predictions outside the second domain's vocabulary become
     `unknown`. ``masked_shared_argmax``: the best shared class by probability, on
     all rows and (`..._subset`) on rows with a shared label; needs *probabilities*.
-    Columns n_excluded and unknown_rate are null where they mean nothing.
+    Columns n_excluded, unknown_rate and n_unknown_predictions are null where they mean nothing.
     """
     shared = [str(x) for x in shared]
     vocabulary = sorted({*shared, *map(str, ood_only)})
     narrow = [predictions["true_label"].cast("string"), predictions["predicted_label"].cast("string")]
-    columns = ["domain", "true_label", "predicted_label"] + ([probabilities] if probabilities else [])
-    base = predictions.select(
-        "domain", narrow[0].alias("true_label"), narrow[1].alias("predicted_label"), *columns[3:]
+    by_probability = bool(probabilities and classes and set(shared) & set(map(str, classes)))
+    forced_label = restricted_argmax(F.col(probabilities), classes, shared) if by_probability else F.lit(None).cast("string")
+    # One row per domain and labels: every protocol is derived from this table.
+    counts = materialize(
+        predictions.select("domain", narrow[0].alias("true_label"), narrow[1].alias("predicted_label"), forced_label.alias("forced"))
+        .groupBy("domain", "true_label", "predicted_label", "forced").agg(F.count(F.lit(1)).alias("n")),
+        "label-counts",
     )
-    ood = base.filter(F.col("domain") == OOD)
     in_shared = F.col("true_label").isin(shared)
     by = ["protocol", "domain"]
 
-    pairs = pair_counts(base, ["domain"])
+    labels = ["domain", "true_label", "predicted_label"]
+    pairs = counts.groupBy(*labels).agg(F.sum("n").alias("n"))
     ood_pairs = pairs.filter(F.col("domain") == OOD)
     parts = []
     if shared:
@@ -223,16 +228,17 @@ def evaluation_protocols(
     )
     unknown = F.col("predicted_label") == vocab.UNKNOWN_LABEL
     rate = masked.groupBy(*by).agg(
-        (F.sum(F.when(unknown, F.col("n")).otherwise(F.lit(0))) / F.sum("n")).alias("unknown_rate")
+        (F.sum(F.when(unknown, F.col("n")).otherwise(F.lit(0))) / F.sum("n")).alias("unknown_rate"),
+        F.sum(F.when(unknown, F.col("n")).otherwise(F.lit(0))).cast("bigint").alias("n_unknown_predictions"),
     )
     parts.append(
         classification_metrics(masked, [*vocabulary, vocab.UNKNOWN_LABEL], by).join(rate, by, "left")
     )
 
-    if probabilities and classes and set(shared) & set(map(str, classes)):
-        forced = pair_counts(
-            ood.withColumn("predicted_label", restricted_argmax(F.col(probabilities), classes, shared)),
-            ["domain"],
+    if by_probability:
+        forced = (
+            counts.filter(F.col("domain") == OOD).drop("predicted_label").withColumnRenamed("forced", "predicted_label")
+            .groupBy(*labels).agg(F.sum("n").alias("n"))
         )
         subset = pairs.filter((F.col("domain") == IN_DOMAIN) & in_shared).unionByName(forced.filter(in_shared))
         parts.append(classification_metrics(_tagged(forced, "masked_shared_argmax"), shared, by))
@@ -241,7 +247,7 @@ def evaluation_protocols(
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part, allowMissingColumns=True)
-    for name, kind in (("n_excluded", "bigint"), ("unknown_rate", "double")):
+    for name, kind in (("n_excluded", "bigint"), ("unknown_rate", "double"), ("n_unknown_predictions", "bigint")):
         if name not in result.columns:
             result = result.withColumn(name, F.lit(None).cast(kind))
     return result
@@ -256,6 +262,12 @@ def protocol_availability(shared: Sequence[str], classes: Sequence[str] | None,
     return True, ""
 
 
+def protocol_drops(protocols: DataFrame) -> DataFrame:
+    """Drop and retention of each protocol that scores both domains."""
+    both = protocols.filter(F.col("protocol").isin("shared_subset", "masked_shared_argmax_subset"))
+    return domain_drop(both, ["protocol"])
+
+
 def with_recommendation(drop: DataFrame, compatible: bool = True) -> DataFrame:
     """Drop table plus the deployment recommendation code."""
     code = deployment_recommendation(

@@ -358,12 +358,19 @@ def robustness_tables(
     by_domain = metrics.classification_metrics(pairs, classes, ["domain"])
     drop = domains.domain_drop(by_domain)
     ood = predictions.filter(F.col("domain") == OOD)
+    protocols = domains.evaluation_protocols(predictions, shared, ood_only, classes, probabilities)
+    available, reason = domains.protocol_availability(shared, classes, probabilities is not None)
+    availability = predictions.sparkSession.createDataFrame(
+        [("masked_shared_argmax", available, reason)], "protocol string, available boolean, reason string"
+    )
     report = domains.domain_report(ood, sorted(set(shared) | set(ood_only)))
     return {
         "metrics": by_domain,
         "drop": domains.with_recommendation(drop, compatible),
         "per_class_shift": domains.per_class_shift(predictions, classes),
-        "protocols": domains.evaluation_protocols(predictions, shared, ood_only, classes, probabilities),
+        "protocols": protocols,
+        "protocol_drop": domains.protocol_drops(protocols),
+        "protocol_availability": availability,
         "ood_per_class": report["per_class"],
         "ood_pairs": report["pairs"],
         "ood_summary": report["summary"],
