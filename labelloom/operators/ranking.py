@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,7 +59,7 @@ def assign_by_quota(
     stratum: str = "stratum",
     output: str = "part",
     seed: int = 42,
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """Give each row a part number by its hash rank inside its stratum.
 
@@ -66,15 +67,17 @@ def assign_by_quota(
     begins (part 0 starts at rank 0); like a label vocabulary it is small.
 
     Rows are never sorted per stratum. Hash prefixes form 16**digits even
-    buckets; counting rows per (stratum, bucket) tells in which bucket each cut
+    buckets, by default so many that a bucket of the largest stratum has some
+    thousand rows; counting rows per (stratum, bucket) tells in which bucket each cut
     falls. Rows of all other buckets are decided by comparing bucket numbers,
     and only the rows of the buckets hit by a cut are ranked.
     """
     spark = df.sparkSession
-    hashed = df.select(
-        "*",
-        hash_order(seed, F.col(key)).alias("_h"),
-        F.conv(F.substring(hash_order(seed, F.col(key)), 1, digits), 16, 10).cast("int").alias("_b"),
+    if digits is None:
+        largest = max((int(c) for ranks in cuts.values() for c in ranks), default=0)
+        digits = min(7, max(3, math.ceil(math.log(max(largest, 1) / 4096, 16)))) if largest > 4096 else 3
+    hashed = df.withColumn("_h", hash_order(seed, F.col(key))).withColumn(
+        "_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int")
     )
     running = Window.partitionBy(stratum).orderBy("_b")
     buckets = hashed.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_n"))

@@ -180,14 +180,18 @@ def sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "config_fingerprint",
     """SELECT o_orderstatus, count(*) AS n,
-              substr(sha256('{"n":' || count(*) || ',"status":"' || o_orderstatus || '"}'), 1, 16) AS fingerprint
+              substr(sha256('{"n": ' || count(*) || ', "status": "' || o_orderstatus || '"}'), 1, 16) AS fingerprint
        FROM orders GROUP BY 1""",
 )
 def config_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint of a configuration held in columns (keys in sorted order)."""
+    """Fingerprint of one configuration per order status, by the library's function."""
     counted = given.table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-    text = F.to_json(F.struct("n", F.col("o_orderstatus").alias("status")))
-    return counted.withColumn("fingerprint", F.substring(F.sha2(text, 256), 1, 16))
+
+    @F.udf("string")
+    def fingerprint(n: int, status: str) -> str:
+        return tables.config_fingerprint({"status": status, "n": n, "_meta": "left out"})
+
+    return counted.withColumn("fingerprint", fingerprint("n", "o_orderstatus"))
 
 
 # --- ids and labels ----------------------------------------------------------
@@ -563,14 +567,15 @@ def text_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("hog_features")
+@query("hog_features", "SELECT doc_id AS sample_id, lang, 1764::BIGINT AS dim, true AS in_range, true AS blocks_normal FROM documents")
 def hog_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gradient descriptors of the text images: length, sum and block norm check."""
+    """Facts on the gradient descriptors of all text images: length, range, block norms of 0 or about 1."""
     rows = with_hog(text_images(spark, sf_dir))
-    add = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
+    v = F.col("vector_inline")
+    squares = F.transform(F.sequence(F.lit(0), F.lit(48)), lambda i: F.aggregate(F.slice(v, i * 36 + 1, 36), F.lit(0.0), lambda t, x: t + x * x))
     return rows.select(
-        "sample_id", "lang", big(F.size("vector_inline"), "dim"), r6(add(F.col("vector_inline")), "total"),
-        r6(F.array_max("vector_inline"), "largest"),
+        "sample_id", "lang", big(F.size(v), "dim"), (F.array_min(v).between(0, 1) & F.array_max(v).between(0, 1)).alias("in_range"),
+        F.forall(squares, lambda q: (q < 1e-6) | q.between(0.9, 1.0001)).alias("blocks_normal"),
     )
 
 
