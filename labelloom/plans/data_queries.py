@@ -134,7 +134,7 @@ def manifest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {MATRIX}
         SELECT 'geometric' AS feature_family, sample_id, len(vec)::BIGINT AS dim, round(list_sum(vec), 6) AS total,
                coalesce(confidence < 0.2, false) AS low_confidence FROM geo_valid
-        UNION ALL SELECT 'hog', sample_id, 16, round(list_sum(vec), 6), false FROM hog""",
+        UNION ALL SELECT 'hog', sample_id, 65, round(list_sum(vec), 6), false FROM hog""",
 )
 def matrix_append_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "matrix")
@@ -539,12 +539,12 @@ def softmax_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "hybrid_blocks",
     f"""WITH {MATRIX} SELECT h.sample_id, i AS pos, round(CASE WHEN i < 64 THEN g.v[i + 1] ELSE h.vec[i - 63] END, 6) AS value
-        FROM emb g JOIN hog h USING (sample_id), range(80) t(i)""",
+        FROM emb g JOIN hog h USING (sample_id), range(129) t(i)""",
 )
 def hybrid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered concatenation of two blocks of the same row."""
     v = F.col("vector_inline")
-    blocks = {"hog": F.transform(F.slice(v, 1, 16), lambda x: x * x), "geometric": v}
+    blocks = {"hog": F.concat(F.transform(v, lambda x: x * x), F.array(F.lit(1.0))), "geometric": v}
     rows = given.vectors(spark, sf_dir).select(
         "sample_id", vectors.concat_blocks(blocks, ("geometric", "hog")).alias("b")
     )
@@ -842,7 +842,7 @@ def hybrid_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT o.o_orderkey::VARCHAR AS sample_id,
               coalesce(CASE c.c_mktsegment WHEN 'AUTOMOBILE' THEN 'palm' ELSE lower(c.c_mktsegment) END, o.o_orderpriority) AS gesture_label,
               c.c_custkey IS NOT NULL AS updated
-       FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) c ON c.c_custkey = o.o_orderkey""",
+       FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_orderkey""",
 )
 def label_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order labels overwritten by those of customers with the same number."""
@@ -850,7 +850,7 @@ def label_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("sample_id"), F.col("o_orderpriority").alias("gesture_label")
     )
     segment = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "10_down").otherwise(F.col("c_mktsegment"))
-    manifest = given.table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(
+    manifest = given.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("sample_id"),
         F.lit(vocab.TREE_DATASET).alias("dataset_name"),
         segment.alias("gesture_label"),

@@ -190,16 +190,16 @@ def domain_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
           avg((true_label = predicted_label)::INT) FILTER (domain = 'in_domain') AS a,
           avg((true_label = predicted_label)::INT) FILTER (domain = 'ood') AS b FROM pred GROUP BY 1)
         SELECT subject_id, CASE WHEN subject_id = 'src0' THEN 'resolve_mismatch'
-          WHEN b / a >= 0.85 AND a - b <= 0.10 THEN 'deploy_and_monitor' WHEN b / a >= 0.70 THEN 'deploy_with_caution'
-          ELSE 'do_not_deploy' END AS recommendation FROM s WHERE a > 0 AND b IS NOT NULL""")
+          WHEN a > 0 AND b >= 0.85 * a AND a - b <= 0.10 THEN 'deploy_and_monitor' WHEN a > 0 AND b >= 0.70 * a THEN 'deploy_with_caution'
+          ELSE 'do_not_deploy' END AS recommendation FROM s""")
 def recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommendation per subject; one subject counts as incompatible."""
     hit = F.col("correct").cast("int")
     rows = given.predictions(spark, sf_dir).groupBy("subject_id").agg(
         F.avg(F.when(F.col("domain") == "in_domain", hit)).alias("a"),
         F.avg(F.when(F.col("domain") == "ood", hit)).alias("b"),
-    ).filter("a > 0 and b is not null")
-    code = scoring.deployment_recommendation(F.col("b") / F.col("a"), F.col("a") - F.col("b"), F.col("subject_id") != "src0")
+    )
+    code = scoring.deployment_recommendation(F.when(F.col("a") > 0, F.col("b") / F.col("a")), F.col("a") - F.col("b"), F.col("subject_id") != "src0")
     return rows.select("subject_id", code.alias("recommendation"))
 
 
@@ -280,7 +280,7 @@ def protocol_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("schema_compatibility", f"""WITH {MATRIX}
-        SELECT false AS compatible, 'vector_dim mismatch: train=64 test=16; feature_family mismatch: train=geometric test=hog' AS issues,
+        SELECT false AS compatible, 'vector_dim mismatch: train=64 test=65; feature_family mismatch: train=geometric test=hog' AS issues,
           (SELECT count(DISTINCT gesture_label) FROM geo) AS n_shared, 0::BIGINT AS n_train_only, 1::BIGINT AS n_test_only,
           (SELECT count(DISTINCT gesture_label) FROM geo) + 1 AS n_outside_test""")
 def schema_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:

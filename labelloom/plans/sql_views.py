@@ -23,7 +23,7 @@ geo_valid AS (
   SELECT * FROM geo WHERE ok AND vec IS NOT NULL AND len(list_filter(vec, lambda x: x <> 0)) > 0
 ),
 hog AS (
-  SELECT sample_id, gesture_label, v[2] < -0.2 AS failed, list_transform(v[1:16], lambda x: x * x) AS vec,
+  SELECT sample_id, gesture_label, v[2] < -0.2 AS failed, list_concat(list_transform(v, lambda x: x * x), [1.0::DOUBLE]) AS vec,
          CASE WHEN v[4] <= 0.25 THEN least(1.0::DOUBLE, abs(v[1]) * 4) END AS confidence
   FROM emb
 )"""

@@ -75,7 +75,7 @@ def matrix(spark: SparkSession, sf_dir: str, family: str = GEOMETRIC) -> DataFra
         flags = merge_flags(flag_when("detection_failed", failed), flag_when("low_confidence", confidence < 0.2))
         ok = ~failed
     else:
-        vector = F.transform(F.slice(v, 1, 16), lambda x: x * x)
+        vector = F.concat(F.transform(v, lambda x: x * x), F.array(F.lit(1.0)))
         flags = flag_when("landmark_crop_fallback", failed)
         ok = F.lit(True)
     return table(spark, sf_dir, "embeddings").select(

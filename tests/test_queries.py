@@ -9,6 +9,7 @@ from check_queries import TABLES, rows_of
 ALWAYS = [
     "annotation_scan", "coverage_by_label", "hybrid_join", "label_sync", "stratified_folds", "classification_metrics",
     "protocol_argmax", "failure_samples", "metric_profile", "actions", "runtime_summary", "knn_predict", "bayes_predict",
+    "tree_scores", "logistic_scores", "debounce", "hog_features", "config_fingerprint", "dataset_report", "extraction_job", "run_outputs", "stream_fps",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("LABELLOOM_ALL_QUERIES") else ALWAYS
 
