@@ -19,7 +19,12 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5
 TARGET_RECALL = 0.9999
 #: Buckets up to this many sets are compared in one task; larger ones are split.
-BRUTE_SETS = 1_500
+BRUTE_SETS = 6_000
+#: Sets of a large bucket that tell whether it is dense; a dense one is cut into blocks at once.
+PROBE_SETS = 32
+DENSE = 0.4
+#: Rows of a comparison worked on together.
+ROWS = 512
 #: Levels of splitting; what is still large then is compared in blocks.
 MOST_LEVELS = 3
 #: Expected shared picks of a pair at the threshold: at the first level per run, and deeper.
@@ -158,32 +163,81 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def overlap_rows(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """The same, as blocks of consecutive rows: first row and counts."""
+    m = len(sets)
+    if m <= ROWS:
+        yield 0, overlaps(sets)
+        return
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, token, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = counts > m // 8
+    column = np.cumsum(often) - 1
+    x = np.zeros((m, int(often.sum())), dtype=np.float32)
+    dense = often[token]
+    x[owner[dense], column[token[dense]]] = 1
+    some = ~dense & (counts[token] > 1)
+    rare, of = token[some], owner[some]
+    order = np.argsort(rare, kind="stable")
+    holders, ends = of[order], np.cumsum(np.bincount(rare, minlength=len(counts)))
+    first = np.searchsorted(of, np.arange(m + 1))
+    for low in range(0, m, ROWS):
+        out = x[low : low + ROWS] @ x.T
+        for i in range(len(out)):
+            tokens = rare[first[low + i] : first[low + i + 1]]
+            if len(tokens):
+                out[i] += np.bincount(np.concatenate([holders[ends[t] - counts[t] : ends[t]] for t in tokens]), minlength=m)
+        yield low, out
+
+
 def compare(bucket: int, sids: list[int], sets: list[np.ndarray], others: list[list[int]]) -> tuple[list[int], list[int], list[int]] | None:
     """Links within a bucket: for each linked set its id, the smallest id connected to it here, and its links first met here.
 
     A pair that shares several buckets is counted in the one with the smallest number.
     """
+    m = len(sids)
     size = np.array([len(s) for s in sets])
-    common = overlaps(sets)
-    linked = (NUMERATOR + DENOMINATOR) * common >= NUMERATOR * (size[:, None] + size[None, :]) - 1e-6
+    linked = np.zeros((m, m), dtype=bool)
+    for low, common in overlap_rows(sets):
+        linked[low : low + len(common)] = (NUMERATOR + DENOMINATOR) * common >= NUMERATOR * (size[low : low + len(common), None] + size[None, :]) - 1e-3
     np.fill_diagonal(linked, False)
-    if not linked.any():
-        return None
-    earlier = [[x for x in o if x < bucket] for o in others]
-    flat = np.array([x for o in earlier for x in o], dtype=np.int64)
-    new = linked
-    if len(flat):
-        _, column = np.unique(flat, return_inverse=True)
-        seen = np.zeros((len(sids), column.max() + 1), dtype=np.float32)
-        seen[np.repeat(np.arange(len(sids)), [len(o) for o in earlier]), column] = 1
-        new = linked & ~(seen @ seen.T > 0)
     at = np.flatnonzero(linked.any(axis=1))
-    within = linked[np.ix_(at, at)]
+    if not len(at):
+        return None
+    linked = linked[np.ix_(at, at)]
+    number = np.zeros(len(at), dtype=np.int64)
+    for low, shared in overlap_rows([np.array(sorted(x for x in others[i] if x < bucket), dtype=np.int64) for i in at]):
+        number[low : low + len(shared)] = (linked[low : low + len(shared)] & (shared == 0)).sum(axis=1)
     root, before = np.array(sids, dtype=np.int64)[at], None
     while before is None or (root != before).any():
         before = root
-        root = np.minimum(root, np.where(within, root[None, :], np.iinfo(np.int64).max).min(axis=1))
-    return [sids[i] for i in at], root.tolist(), new[at].sum(axis=1).tolist()
+        least = [np.where(linked[i : i + ROWS], root[None, :], np.iinfo(np.int64).max).min(axis=1) for i in range(0, len(at), ROWS)]
+        root = np.minimum(root, np.concatenate(least))
+    return [sids[i] for i in at], root.tolist(), number.tolist()
+
+
+def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mean similarity of the probed sets of each bucket; rows come bucket by bucket."""
+    held: list[np.ndarray] = []
+    now, out = None, []
+
+    def close() -> None:
+        if len(held) > 1:
+            size = np.array([len(s) for s in held])
+            common = overlaps(held)
+            share = common / (size[:, None] + size[None, :] - common)
+            np.fill_diagonal(share, 0)
+            out.append((now, float(share.sum() / (len(held) * (len(held) - 1)))))
+        held.clear()
+
+    for batch in batches:
+        for bucket, tokens in zip(batch.column("bucket").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+            if bucket != now:
+                close()
+                now = bucket
+            held.append(np.frombuffer(tokens, dtype=np.uint64))
+    close()
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([v for _, v in out], pa.float64())], names=["bucket", "alike"])
 
 
 def compare_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +272,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets at the threshold pick one in common FIRST_RATE times on average; sets that pick
     a token share a bucket. Buckets with one set are dropped, of buckets with the same
     sets one stays, larger ones than *brute_sets* are split again by tokens picked at
-    DEEP_RATE, and what doesn't get small in MOST_LEVELS levels is cut into pairs of
-    blocks. So every bucket is compared in one task of bounded size, by exact
+    DEEP_RATE. Splitting doesn't part sets that are alike: if a probe of PROBE_SETS sets
+    of a large bucket says so, or after MOST_LEVELS levels, it is cut into pairs of
+    blocks instead, which are compared each. So every bucket is compared in one task of bounded size, by exact
     similarities, no bucket is capped, and links are counted where they are met, never
     listed. Pairs at the threshold meet with probability TARGET_RECALL or more.
 
@@ -250,18 +305,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for level in range(MOST_LEVELS + 1):
         if large.isEmpty():
             break
-        if level < MOST_LEVELS:
-            children = large.select("bucket", "sid").join(tokens, "sid").mapInArrow(split_paths, "bucket long, sid long").distinct()
-            children = materialize(children, "jaccard-split")
-            kept = sizes(children).where("n > 1").groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-            children = materialize(children.join(kept, "bucket"), "jaccard-split")
-            done = done.unionByName(children.where(F.col("n") <= brute_sets).select("bucket", "sid"))
-            large = children.where(F.col("n") > brute_sets)
-        else:
-            count = F.ceil(F.col("n") * 2 / brute_sets).cast("int")
-            own = F.pmod(F.xxhash64("sid"), F.col("count")).cast("int")
-            paired = large.withColumn("count", count).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, count - 1)")))
-            done = done.unionByName(paired.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "sid"))
+        # splitting parts unlike sets; buckets of like ones, and what is left in the end, are cut into pairs of blocks
+        probed = large.where(F.pmod(F.xxhash64("sid"), F.ceil(F.col("n") / PROBE_SETS)) == 0).join(tokens, "sid")
+        alike = probed.select("bucket", "tokens").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(probe, "bucket long, alike double")
+        judged = materialize(large.join(alike, "bucket", "left").withColumn("dense", (F.coalesce("alike", F.lit(0.0)) >= DENSE) | F.lit(level == MOST_LEVELS)), "jaccard-judged")
+        count = F.ceil(F.col("n") * 2 / brute_sets).cast("int")
+        paired = (
+            judged.where("dense").withColumn("count", count).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("count")).cast("int"))
+            .withColumn("other", F.explode(F.expr("sequence(0, count - 1)")))
+        )
+        done = done.unionByName(paired.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "sid"))
+        children = judged.where("not dense").select("bucket", "sid").join(tokens, "sid").mapInArrow(split_paths, "bucket long, sid long").distinct()
+        children = materialize(children, "jaccard-split")
+        kept = sizes(children).where("n > 1").groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+        children = materialize(children.join(kept, "bucket"), "jaccard-split")
+        done = done.unionByName(children.where(F.col("n") <= brute_sets).select("bucket", "sid"))
+        large = children.where(F.col("n") > brute_sets)
     done = materialize(done.distinct(), "jaccard-done")
     buckets_of = done.groupBy("sid").agg(F.collect_list("bucket").alias("buckets"))
     ready = done.join(tokens.join(buckets_of, "sid"), "sid").repartition("bucket").sortWithinPartitions("bucket")

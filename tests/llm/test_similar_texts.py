@@ -93,6 +93,17 @@ def test_overlaps_of_many_sets():
                 assert found[i, j] == len(np.intersect1d(sets[i], sets[j]))
 
 
+def test_overlap_rows_of_large_buckets(monkeypatch):
+    draw = np.random.default_rng(5)
+    sets = [np.unique(np.concatenate([[7], draw.integers(0, 900, 60), draw.integers(0, 12, 5)]).astype(np.uint64)) for _ in range(70)] + [np.zeros(0, dtype=np.uint64)]
+    whole = jaccard_join.overlaps(sets)
+    monkeypatch.setattr(jaccard_join, "ROWS", 16)
+    found = np.concatenate([rows for _, rows in jaccard_join.overlap_rows(sets)])
+    np.fill_diagonal(whole, 0)
+    np.fill_diagonal(found, 0)
+    assert (found == whole).all()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (200, 201), (200, 202), (203, 200)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
