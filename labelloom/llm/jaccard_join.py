@@ -115,6 +115,21 @@ def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([block.column("sid"), pa.array(parts, pa.binary())], names=["sid", "tokens"])
 
 
+def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set with its tokens once for each of its buckets, and with the list of these."""
+    for batch in batches:
+        for block in blocks(batch, limit=1_000_000):
+            h, offsets = shingles(block.column("text"))
+            out: list[tuple] = []
+            for sid, buckets, a, b in zip(block.column("sid").to_pylist(), block.column("buckets").to_pylist(), offsets[:-1], offsets[1:], strict=True):
+                raw = h[a:b].tobytes()
+                out += [(bucket, sid, raw, buckets) for bucket in buckets]
+            for at in range(0, len(out), 1000):
+                columns = zip(*out[at : at + 1000], strict=True)
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "sid", "tokens", "buckets"])
+
+
 def split_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Child buckets of each set of a large bucket."""
     for batch in batches:
@@ -261,6 +276,22 @@ def compare_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield from flush()
 
 
+def merged(rows: DataFrame, brute_sets: int) -> DataFrame:
+    """Buckets (bucket, sid) with their sizes n, those of like sets merged: bucket, sid, n.
+
+    Sets that are alike meet in many buckets of nearly the same sets. Buckets with one
+    smallest set become one, then those with one largest set, unless that would make a
+    bucket too large. No pair of sets is parted by this.
+    """
+    for lead in (F.min, F.max):
+        leaders = rows.groupBy("bucket").agg(lead("sid").alias("leader"))
+        led = rows.join(leaders, "bucket")
+        together = led.select("leader", "sid").distinct().groupBy("leader").agg(F.count("*").alias("m"))
+        fits = F.col("m") <= brute_sets
+        rows = materialize(led.join(together, "leader").select(F.when(fits, F.xxhash64("leader")).otherwise(F.col("bucket")).alias("bucket"), "sid").distinct(), "jaccard-merged")
+    return materialize(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")), "bucket"), "jaccard-merged")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", brute_sets: int = BRUTE_SETS) -> DataFrame:
     """Documents joined by shingle sets of Jaccard similarity 0.8 or more.
 
@@ -270,9 +301,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets are merged first. Each run picks tokens of a set at random, so that two
     sets at the threshold pick one in common FIRST_RATE times on average; sets that pick
-    a token share a bucket. Buckets with one set are dropped, of buckets with the same
-    sets one stays, larger ones than *brute_sets* are split again by tokens picked at
-    DEEP_RATE. Splitting doesn't part sets that are alike: if a probe of PROBE_SETS sets
+    a token share a bucket. Buckets with one set are dropped, buckets of nearly the same
+    sets are merged (see `merged`), larger ones than *brute_sets* are split again by
+    tokens picked at DEEP_RATE. Splitting doesn't part sets that are alike: if a probe of PROBE_SETS sets
     of a large bucket says so, or after MOST_LEVELS levels, it is cut into pairs of
     blocks instead, which are compared each. So every bucket is compared in one task of bounded size, by exact
     similarities, no bucket is capped, and links are counted where they are met, never
@@ -290,18 +321,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     sets = materialize(sets.select("sid", "copies", "copy_id", "first.k1", "first.k2", "first.paths"), "jaccard-distinct")
     met = sets.select(F.explode("paths").alias("bucket"), "sid").distinct()
-    sizes = lambda met: met.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("who"))
-    counted = materialize(sizes(met).where("n > 1"), "jaccard-buckets")
-    # of buckets with the same sets one stays
-    buckets = counted.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    placed = materialize(met.join(buckets, "bucket"), "jaccard-met")
-    needed = placed.select("sid").distinct().join(sets.select("sid", "k1", "k2"), "sid")
-    tokens = materialize(
-        rows.select("k1", "k2", "text").join(needed, ["k1", "k2"]).select("sid", "text").mapInArrow(token_rows, "sid long, tokens binary").dropDuplicates(["sid"]),
-        "jaccard-tokens",
-    )
-
+    counted = met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    placed = merged(materialize(met.join(counted, "bucket").select("bucket", "sid"), "jaccard-met"), brute_sets)
+    source = rows.select("k1", "k2", "text")
     done, large = placed.where(F.col("n") <= brute_sets).select("bucket", "sid"), placed.where(F.col("n") > brute_sets)
+    if not large.isEmpty():
+        wanted = large.select("sid").distinct().join(sets.select("sid", "k1", "k2"), "sid")
+        # rows with one key are equal
+        texts = source.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+        tokens = materialize(texts.select("sid", "text").mapInArrow(token_rows, "sid long, tokens binary"), "jaccard-tokens")
     for level in range(MOST_LEVELS + 1):
         if large.isEmpty():
             break
@@ -317,13 +345,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         done = done.unionByName(paired.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "sid"))
         children = judged.where("not dense").select("bucket", "sid").join(tokens, "sid").mapInArrow(split_paths, "bucket long, sid long").distinct()
         children = materialize(children, "jaccard-split")
-        kept = sizes(children).where("n > 1").groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-        children = materialize(children.join(kept, "bucket"), "jaccard-split")
+        counted = children.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        children = merged(materialize(children.join(counted, "bucket").select("bucket", "sid"), "jaccard-split"), brute_sets)
         done = done.unionByName(children.where(F.col("n") <= brute_sets).select("bucket", "sid"))
         large = children.where(F.col("n") > brute_sets)
     done = materialize(done.distinct(), "jaccard-done")
-    buckets_of = done.groupBy("sid").agg(F.collect_list("bucket").alias("buckets"))
-    ready = done.join(tokens.join(buckets_of, "sid"), "sid").repartition("bucket").sortWithinPartitions("bucket")
+    buckets_of = done.groupBy("sid").agg(F.collect_list("bucket").alias("buckets")).join(sets.select("sid", "k1", "k2"), "sid")
+    ready = (
+        source.join(buckets_of, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("sid", "buckets", "text")
+        .mapInArrow(bucket_rows, "bucket long, sid long, tokens binary, buckets array<long>")
+        .repartition("bucket").sortWithinPartitions("bucket")
+    )
     links = materialize(ready.select("bucket", "sid", "tokens", "buckets").mapInArrow(compare_buckets, "a long, b long, links long"), "jaccard-links")
 
     roots = components(links.select("a", "b"))
