@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,6 +24,8 @@ BATCH = 256
 #: Entries of the word cache of a Python worker; a full cache is emptied.
 MOST_WORDS = 600_000
 
+LETTERS_SIGNS = re.compile(rb"([a-z]+)([!-/:-@\[-`{-~]+)")
+
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str):
@@ -33,16 +37,51 @@ def word_encoder(path: str):
     tokenizer.no_padding()
     size = tokenizer.get_vocab_size(with_added_tokens=True)
 
+    closing = np.zeros(size, dtype=bool)  # the last token of a piece
+    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        closing[i] = token.endswith("</w>")
+
+    def learn(words: list[bytes]) -> None:
+        for at in range(0, len(words), 50_000):
+            some = words[at : at + 50_000]
+            for word, found in zip(some, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
+                known[word] = array("I", found.ids).tobytes()
+
+    def learn_pieces(pieces: list[bytes]) -> None:
+        """Pieces are encoded many at a time, as each ends with a closing token."""
+        groups = [pieces[at : at + 500] for at in range(0, len(pieces), 500)]
+        found = tokenizer.encode_batch_fast([b" ".join(g).decode("ascii") for g in groups], add_special_tokens=False)
+        for group, ids in zip(groups, (np.array(f.ids, dtype="<u4") for f in found), strict=True):
+            ends = 4 * (np.flatnonzero(closing[ids]) + 1)
+            if len(ends) != len(group):
+                learn(group)
+                continue
+            raw, start = ids.tobytes(), 0
+            for piece, end in zip(group, ends.tolist(), strict=True):
+                known[piece] = raw[start:end]
+                start = end
+
     def encode(texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
         if len(known) >= MOST_WORDS:
             known.clear()
-        split = [text.encode("utf-8", "surrogatepass").split() for text in texts]
-        new = list(set().union(*split).difference(known))
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            for word, found in zip(some, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, dtype="<u4").tobytes()
+        raw = [text.encode("utf-8", "surrogatepass") for text in texts]
+        # the vocabulary is of lower case, but for the strings of special tokens
+        split = [(text if b"<|" in text else text.lower()).split() for text in raw]
+        pieces, parts, others = set(), [], []
+        for word in set().union(*split).difference(known):
+            if word.isalpha() and word.islower():
+                pieces.add(word)
+            elif m := LETTERS_SIGNS.fullmatch(word):
+                # letters and the signs after them are pieces of their own
+                parts.append((word, *m.groups()))
+                pieces.update(m.groups())
+            else:
+                others.append(word)
+        learn_pieces(list(pieces.difference(known)))
+        for word, letters, signs in parts:
+            known[word] = known[letters] + known[signs]
+        learn(others)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
     return encode, size
