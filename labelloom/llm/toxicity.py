@@ -1,13 +1,16 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over block-max indexes."""
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over all words of the texts."""
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,19 +19,21 @@ from labelloom.session import materialize
 
 #: The classifier is fitted on at most this many labelled rows (those first in a hashed order).
 SAMPLE_ROWS = 20_000
-#: Terms of the model: the words and word parts that tell most about the label.
-MOST_TERMS = 3_000
-#: A term must be in this many labelled rows, and this many times as often in toxic ones as overall.
-LEAST_ROWS = 8
-LEAST_LIFT = 3.0
-LEAST_CHI = 30.0
 PART = 5
 NEIGHBOURS = 31
-BLOCK = 64
+#: A term's idf is multiplied by (chi / (chi + MIDDLE_CHI))^2 + LEAST_FACTOR of its chi-square with the label.
+MIDDLE_CHI = 30.0
+LEAST_FACTOR = 0.01
+#: Terms in more than this share of the examples are multiplied as one matrix, others by their postings.
+HEAD_SHARE = 0.2
+#: Texts compared with all examples at a time.
+TEXTS = 64
 #: Weight of the base rate against the votes.
 PRIOR_VOTES = 1.0
 THRESHOLD = 0.3
 MOST_WORDS = 600_000
+#: Entries of the tables that keep the terms of chunks and the scores of vectors within a task.
+MOST_KEPT = 100_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -69,133 +74,191 @@ def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield flush()
 
 
-def choose_terms(sample: DataFrame) -> list[str]:
-    """At most MOST_TERMS terms of a labelled sample (label, text), by their chi-square with the label.
+def known_terms(sample: DataFrame) -> tuple[pa.ChunkedArray, np.ndarray]:
+    """All terms of a labelled sample (label, text), frequent ones first, and the factor of each by its label.
 
-    Copies of a text count once, as all their words would look alike.
+    The sample bounds their number. Factors are above 0, so that every term counts.
+    Copies of a text count once for them, as all their words would look alike.
     """
     sample = sample.select("label", "text").distinct()
     total = sample.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
-    if not total["n"] or not total["toxic"]:
-        return []
-    base = total["toxic"] / total["n"]
-    counted = (
-        sample.mapInArrow(count_features, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-        .where((F.col("n") >= min(LEAST_ROWS, max(2, total["n"] // 200))) & (F.col("toxic") / F.col("n") >= min(LEAST_LIFT * base, (1 + base) / 2)))
-    )
-    excess = F.col("toxic") - F.col("n") * base
-    ranked = counted.withColumn("chi", excess * excess / (F.col("n") * base * (1 - base))).where(F.col("chi") >= LEAST_CHI)
-    return [r["term"] for r in ranked.orderBy(F.desc("chi"), "term").limit(MOST_TERMS).collect()]
+    counted = sample.mapInArrow(count_features, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    counted = counted.orderBy(F.desc("n"), "term").toArrow()
+    n, toxic = (counted.column(c).to_numpy().astype(np.float64) for c in ("n", "toxic"))
+    base = (total["toxic"] or 0) / max(total["n"], 1)
+    chi = (toxic - n * base) ** 2 / np.maximum(n * base * (1 - base), 1e-300) if 0 < base < 1 else np.zeros(len(n))
+    return counted.column("term"), (chi / (chi + MIDDLE_CHI)) ** 2 + LEAST_FACTOR
 
 
-def term_vectors(rows: DataFrame, terms: list[str], extra: str = "") -> DataFrame:
-    """Terms of every text (index and count) in place of the text, the other columns kept.
+def packed(at: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending terms (as differences) and their counts, equal bytes of the numbers side by side."""
+    return np.concatenate([np.diff(at, prepend=0), counts]).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(vector: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and counts of a packed vector."""
+    both = np.ascontiguousarray(np.frombuffer(vector, dtype=np.uint8).reshape(4, -1).T).view("<i4").ravel()
+    return np.cumsum(both[: len(both) // 2], dtype=np.int64), both[len(both) // 2 :]
+
+
+def term_vectors(rows: DataFrame, place: Broadcast, extra: str = "") -> DataFrame:
+    """Packed terms of every text (by their numbers in *place*) in place of the text, the other columns kept.
 
     *extra* describes the other columns of *rows* besides text.
     """
-    place = {t: i for i, t in enumerate(terms)}
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
+        number = {t: i for i, t in enumerate(place.value.to_pylist())}
+        known: dict[str, bytes] = {}
         for batch in batches:
             for block in blocks(batch):
-                at, counts = [], []
+                vectors = []
                 for text in block.column("text").to_pylist():
                     chunks = text.split()
                     new = set(chunks).difference(known)
                     if new:
-                        if len(known) > MOST_WORDS:
+                        if len(known) > MOST_KEPT:
                             known.clear()
                             new = set(chunks)
                         for chunk in new:
-                            known[chunk] = tuple(sorted(place[f] for f in features(chunk) if f in place))
-                    found = Counter(i for hits in filter(None, map(known.__getitem__, chunks)) for i in hits)
-                    hits = sorted(found.items())
-                    at.append([i for i, _ in hits])
-                    counts.append([c for _, c in hits])
+                            known[chunk] = np.array([number[f] for f in features(chunk) if f in number], dtype=np.int32).tobytes()
+                    found = np.frombuffer(b"".join(map(known.__getitem__, chunks)), dtype=np.int32)
+                    vectors.append(packed(*np.unique(found, return_counts=True)))
                 others = [n for n in block.schema.names if n != "text"]
-                yield pa.RecordBatch.from_arrays(
-                    [*(block.column(n) for n in others), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
-                    names=[*others, "terms", "counts"],
-                )
+                yield pa.RecordBatch.from_arrays([*(block.column(n) for n in others), pa.array(vectors, pa.binary())], names=[*others, "vector"])
+
+    return rows.mapInArrow(extract, f"{extra}, vector binary")
+
+
+def smaller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed vectors compressed for the driver, empty ones left empty."""
+    for batch in batches:
+        vectors = pa.array([zlib.compress(v, 1) if v else v for v in batch.column("vector").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), vectors], names=["doc_id", "label", "vector"])
 
-    return rows.mapInArrow(extract, f"{extra}, terms array<int>, counts array<int>")
+
+def document_frequencies(vectors: DataFrame, terms: int) -> np.ndarray:
+    """Number of vectors with each term, summed within tasks first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(terms, dtype=np.int64)
+        for batch in batches:
+            for vector in batch.column("vector").to_pylist():
+                total[unpacked(vector)[0]] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["term", "n"])
+
+    counted = vectors.select("vector").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(terms)
+    out[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    return out
 
 
 class BlockMaxIndex:
-    """Inverted index of unit vectors in blocks, with the largest weight of each term in each block.
+    """Inverted index of unit vectors that scores every vector with a common term, in double precision.
 
-    `nearest` is exact: blocks are visited in the order of their bounds, the products of
-    the query's weights with the blocks' largest weights, until the next bound is below
-    the k-th best cosine found.
+    Bounds of blocks don't part whole texts, as the sums of a block's largest weights
+    are far above any cosine; so no block is skipped. Terms of many vectors form one
+    matrix, which is multiplied with several queries at a time; others have postings.
     """
 
-    def __init__(self, vectors: list[list[tuple[int, float]]], terms: int):
-        self.size = len(vectors)
-        self.blocks = -(-self.size // BLOCK)
-        self.bounds = np.zeros((terms, self.blocks), dtype=np.float32)
-        rows = np.array([t for v in vectors for t, _ in v], dtype=np.int64)
-        owner = np.repeat(np.arange(self.size), [len(v) for v in vectors]) if self.size else np.zeros(0, dtype=np.int64)
-        weights = np.array([w for v in vectors for _, w in v], dtype=np.float64)
-        order = np.lexsort((owner, rows))
-        self.postings, self.weights, key = owner[order], weights[order], rows[order] * self.blocks + owner[order] // BLOCK
-        self.pointer = np.searchsorted(key, np.arange(terms * self.blocks + 1)).reshape(-1)
-        np.maximum.at(self.bounds, (rows, owner // BLOCK), weights.astype(np.float32))
+    def __init__(self, vectors: Iterable[list[tuple[int, float]]], terms: int):
+        vectors = list(vectors)
+        rows, values = (np.array([e[i] for v in vectors for e in v], dtype=kind) for i, kind in ((0, np.int32), (1, np.float64)))
+        self._build([len(v) for v in vectors], rows, values, terms)
+
+    @classmethod
+    def of(cls, lengths: list[int], rows: np.ndarray, values: np.ndarray, terms: int) -> BlockMaxIndex:
+        """The index of vectors given as one array of terms and one of weights, and the length of each vector."""
+        index = cls.__new__(cls)
+        index._build(lengths, rows, values, terms)
+        return index
+
+    def _build(self, lengths: list[int], rows: np.ndarray, values: np.ndarray, terms: int) -> None:
+        self.size = len(lengths)
+        owner = np.repeat(np.arange(self.size, dtype=np.int32), np.array(lengths, dtype=np.int64))
+        number = np.bincount(rows, minlength=terms)
+        heads = np.flatnonzero(number > HEAD_SHARE * self.size)
+        self.head = np.full(terms, -1, dtype=np.int32)
+        self.head[heads] = np.arange(len(heads))
+        self.matrix = np.zeros((len(heads), self.size))
+        dense = self.head[rows] >= 0
+        self.matrix[self.head[rows[dense]], owner[dense]] = values[dense]
+        rare = np.flatnonzero(~dense)
+        rare = rare[np.argsort(rows[rare], kind="stable")]
+        self.postings, self.weights = owner[rare], values[rare]
+        self.pointer = np.concatenate([[0], np.cumsum(np.where(self.head < 0, number, 0))])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k vectors of highest cosine above 0, ties to the lower number, and their cosines."""
-        bounds = weights.astype(np.float32) @ self.bounds[terms]
-        visit = np.argsort(-bounds, kind="stable")
-        best_at, best = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in visit:
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[-1] - 1e-5):
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                low, high = self.pointer[t * self.blocks + b], self.pointer[t * self.blocks + b + 1]
-                if low < high:
-                    scores[self.postings[low:high] - b * BLOCK] += w * self.weights[low:high]
-            some = np.flatnonzero(scores > 0)
-            at, all_scores = np.concatenate([best_at, some + b * BLOCK]), np.concatenate([best, scores[some]])
-            top = np.lexsort((at, -np.round(all_scores, 12)))[:k]
-            best_at, best = at[top], all_scores[top]
-        return best_at, best
+        return self.nearest_of([(terms, weights)], k)[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """`nearest` for several queries."""
+        asked = np.zeros((len(queries), len(self.matrix)))
+        for i, (terms, weights) in enumerate(queries):
+            head = self.head[terms]
+            asked[i, head[head >= 0]] = weights[head >= 0]
+        scores = asked @ self.matrix
+        out = []
+        for i, (terms, weights) in enumerate(queries):
+            rare = self.head[terms] < 0
+            low, high = self.pointer[terms[rare]], self.pointer[terms[rare] + 1]
+            spans = list(zip(low.tolist(), high.tolist(), strict=True))
+            if spans:
+                at = np.concatenate([self.postings[a:b] for a, b in spans])
+                values = np.concatenate([self.weights[a:b] for a, b in spans])
+                values *= np.repeat(weights[rare], high - low)
+                scores[i] += np.bincount(at, values, self.size)
+            some = np.flatnonzero(scores[i] > 0)
+            if len(some) > k:
+                kth = np.partition(scores[i], self.size - k)[self.size - k]
+                some = np.flatnonzero((scores[i] > 0) & (scores[i] >= kth - 1e-9))
+            cosine = np.round(scores[i][some], 12)
+            top = np.lexsort((some, -cosine))[:k]
+            out.append((some[top], cosine[top]))
+        return out
 
 
 class ToxicityModel:
-    """Examples (equal vectors merged, with votes and one id as evidence) and term weights."""
+    """Examples (compressed; equal vectors merged, with votes and one id as evidence) and term weights."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]]):
-        self.terms, self.idf = terms, idf
-        merged: dict[tuple, list[int]] = {}
-        for doc, label, at, counts in sorted(examples, key=lambda e: (e[0] is None, e[0])):
-            votes = merged.setdefault(tuple(zip(at, counts, strict=True)), [0, 0, doc])
+    def __init__(self, factor: np.ndarray, examples: Iterable[tuple[int, int, bytes]]):
+        self.factor = factor
+        merged: dict[bytes, list[int]] = {}
+        for doc, label, vector in sorted(examples, key=lambda e: (e[0] is None, e[0])):
+            votes = merged.setdefault(vector, [0, 0, doc])
             votes[0] += 1
             votes[1] += label
         self.rate = (sum(v[1] for v in merged.values()) + 0.5) / (sum(v[0] for v in merged.values()) + 1)
-        plain = merged.pop((), [0, 0, None])
+        plain = merged.pop(b"", [0, 0, None])
         self.plain_rate = (plain[1] + PRIOR_VOTES * self.rate) / (plain[0] + PRIOR_VOTES)
         self.votes = np.array([v[0] for v in merged.values()], dtype=np.float64)
         self.toxic = np.array([v[1] for v in merged.values()], dtype=np.float64)
         self.evidence = [v[2] for v in merged.values()]
-        vectors = []
-        for key in merged:
-            at, weights = self.weigh([t for t, _ in key], [c for _, c in key])
-            vectors.append(list(zip(at.tolist(), weights.tolist(), strict=True)))
-        self.index = BlockMaxIndex(vectors, len(terms))
-
-    def weigh(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        # a term takes eight bytes of a packed vector
+        lengths = [len(zlib.decompress(v)) // 8 for v in merged]
+        rows, values = np.empty(sum(lengths), dtype=np.int32), np.empty(sum(lengths))
+        low = 0
+        for vector, length in zip(merged, lengths, strict=True):
+            rows[low : low + length], values[low : low + length] = self.weigh(zlib.decompress(vector))
+            low += length
+        self.index = BlockMaxIndex.of(lengths, rows, values, len(factor))
+
+    def weigh(self, vector: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Unit TF-IDF vector with logarithmic counts."""
-        at = np.array(terms, dtype=np.int64)
-        weights = (1 + np.log(np.array(counts, dtype=np.float64))) * self.idf[at]
+        at, counts = unpacked(vector)
+        weights = (1 + np.log(counts)) * self.factor[at]
         return at, weights / max(np.sqrt((weights**2).sum()), 1e-300)
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[tuple[int, float, float]]]:
-        """Score, and the nearest examples as (id, cosine, share of toxic votes)."""
-        if not terms:
-            return float(self.plain_rate), []
-        at, cosine = self.index.nearest(*self.weigh(terms, counts), NEIGHBOURS)
-        weight = cosine**2
+    def score(self, vectors: list[bytes]) -> list[tuple[float, list[tuple[int, float, float]]]]:
+        """Score of each vector, and the nearest examples as (id, cosine, share of toxic votes)."""
+        found = iter(self.index.nearest_of([self.weigh(v) for v in vectors if v], NEIGHBOURS))
+        return [self.vote(*next(found)) if v else (float(self.plain_rate), []) for v in vectors]
+
+    def vote(self, at: np.ndarray, cosine: np.ndarray) -> tuple[float, list[tuple[int, float, float]]]:
+        """Score by the nearest examples *at*."""
+        weight = (cosine / cosine[:1]) ** 2
         # merged examples fill as many of the places as they are
         before = np.cumsum(self.votes[at]) - self.votes[at]
         number = np.clip(NEIGHBOURS - before, 0, self.votes[at])
@@ -210,41 +273,46 @@ def score_toxicity(
     """Toxicity of every document: doc_id, score, predicted and evidence.
 
     *labelled* holds ids, texts and labels (1: toxic). Terms and examples come from at
-    most *sample_rows* of its rows, the bound of everything that reaches the driver;
-    document frequencies come from all documents. A score is the share of toxic votes
-    of the NEIGHBOURS nearest examples by exact cosine, weighted by its
-    square, with the base rate as a further vote; evidence lists the nearest (id,
-    cosine, share of toxic votes). A text without any term of the model (null and empty
-    ones too) gets the rate of such examples. Rows with a null label or id are not
-    learned from; repeated rows are scored each; without any toxic label all scores
-    are the base rate, and 0.5 without labels. Extra columns are ignored.
+    most *sample_rows* of its rows, the bound of everything that reaches the driver. All
+    their words and word parts count, more where they tell much about the label, and
+    document frequencies come from all documents. A score is the share of toxic votes of
+    the NEIGHBOURS nearest examples by exact cosine, weighted by its square relative to
+    the nearest one's, with the base rate as a further vote; evidence lists the nearest
+    (id, cosine, share of toxic votes). A text without any word known to the sample
+    (null and empty ones too) gets the rate of such examples, without evidence. Rows
+    with a null label or id are not learned from; repeated rows are scored each; without
+    labels all scores are 0.5. Extra columns are ignored.
     """
     rows = keyed(docs, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]
     known = keyed(labelled, id_col, text_col, F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
-    sample = materialize(known.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id", "text").limit(sample_rows), "toxic-sample")
-    terms = choose_terms(sample)
-    vectors = materialize(term_vectors(rows, terms, f"doc_id {kind}"), "toxic-vectors")
-    frequency = np.zeros(len(terms))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most MOST_TERMS rows
-        frequency[r["t"]] = r["count"]
-    idf = np.log((1 + vectors.count()) / (1 + frequency)) + 0.1
-    examples = [tuple(r) for r in term_vectors(sample.select("doc_id", "label", "text"), terms, f"doc_id {kind}, label int").collect()]
-    model = docs.sparkSession.sparkContext.broadcast(ToxicityModel(terms, idf, examples))  # at most sample_rows examples
+    context = docs.sparkSession.sparkContext
+    first = known.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id", "text").limit(sample_rows)
+    sample = materialize(first.repartition(context.defaultParallelism), "toxic-sample")
+    terms, factor = known_terms(sample)
+    place = context.broadcast(terms)  # the terms of at most sample_rows texts
+    number = len(terms)
+    vectors = materialize(term_vectors(rows, place, f"doc_id {kind}"), "toxic-vectors")
+    idf = np.log((1 + vectors.count()) / (1 + document_frequencies(vectors, number))) + 0.1
+    examples = term_vectors(sample.select("doc_id", "label", "text"), place, f"doc_id {kind}, label int")
+    examples = examples.mapInArrow(smaller, f"doc_id {kind}, label int, vector binary").toArrow()
+    examples = zip(*(examples.column(c).to_pylist() for c in ("doc_id", "label", "vector")), strict=True)
+    model = context.broadcast(ToxicityModel(idf * factor, examples))  # at most sample_rows examples
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[tuple, tuple] = {}
+        done: dict[bytes, tuple] = {}
         for batch in batches:
             scores, evidence = [], []
-            for at, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                key = (*at, *counts)
-                if key not in done:
-                    if len(done) > MOST_WORDS:
-                        done.clear()
-                    done[key] = model.value.score(at, counts)
-                value, near = done[key]
-                scores.append(value)
-                evidence.append([{"doc_id": i, "cosine": c, "toxic": s} for i, c, s in near])
+            vectors = batch.column("vector").to_pylist()
+            for low in range(0, len(vectors), TEXTS):
+                keys = [blake2b(v, digest_size=16).digest() for v in vectors[low : low + TEXTS]]
+                if len(done) > MOST_KEPT:
+                    done.clear()
+                new = {k: v for k, v in zip(keys, vectors[low : low + TEXTS], strict=True) if k not in done}
+                done.update(zip(new, model.value.score(list(new.values())), strict=True))
+                for value, near in map(done.__getitem__, keys):
+                    scores.append(value)
+                    evidence.append([{"doc_id": i, "cosine": c, "toxic": s} for i, c, s in near])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()),
                  pa.array(evidence, pa.list_(pa.struct([("doc_id", batch.schema.field("doc_id").type), ("cosine", pa.float64()), ("toxic", pa.float64())])))],

@@ -13,7 +13,7 @@ from labelloom.llm import language_id, lm_scoring
 from labelloom.llm.language_id import identify, train
 from labelloom.llm.lm_scoring import Vocabulary, expected_pieces, lattice, score_texts, word_logs
 from labelloom.llm.queries import QUERIES
-from labelloom.llm.toxicity import BlockMaxIndex, score_toxicity
+from labelloom.llm.toxicity import BlockMaxIndex, features, score_toxicity
 from tests.llm.conftest import words
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -98,6 +98,40 @@ def test_toxicity(spark, awkward, nothing):
     assert {r.score for r in score_toxicity(awkward, nothing.withColumn("label", F.lit(1))).collect()} == {0.5}
 
 
+def toxicity_terms(text):
+    return Counter(f for chunk in text.split() for f in features(chunk))
+
+
+def test_toxicity_weighs_all_words(spark):
+    texts = [(i, " ".join(words(i, 20)), i % 2) for i in range(60)]
+    # a toxic word of two labelled rows, and clean words of one
+    texts += [(100, "zzyzxvile", 1), (101, "zzyzxvile zzyzxvile", 1), (102, "quuxgentle", 0)]
+    labelled = spark.createDataFrame(texts, "doc_id long, text string, label int")
+    asked = [(1, "zzyzxvile"), (2, "quuxgentle!"), (3, texts[7][1]), (4, "qqqqqqqq"), (5, "zzyzxvile " + texts[8][1])]
+    found = {r.doc_id: r for r in score_toxicity(spark.createDataFrame(asked, "doc_id long, text string"), labelled).collect()}
+    assert found[1].evidence[0].doc_id == 100 and found[1].predicted == 1 and found[1].evidence[0].toxic == 1
+    assert found[2].evidence[0].doc_id == 102 and found[2].evidence[0].toxic == 0
+    assert found[3].evidence[0].doc_id == 7 and found[3].evidence[0].cosine == pytest.approx(1)
+    # cosines by the definition, over all terms of the texts
+    docs = [toxicity_terms(t) for _, t in asked]
+    idf = lambda f: math.log((1 + len(docs)) / (1 + sum(f in d for d in docs))) + 0.1
+    known = Counter(f for _, t, _ in texts for f in toxicity_terms(t))
+    toxic = Counter(f for _, t, label in texts if label for f in toxicity_terms(t))
+    base = sum(label for *_, label in texts) / len(texts)
+
+    def factor(f):
+        chi = (toxic[f] - known[f] * base) ** 2 / (known[f] * base * (1 - base))
+        return idf(f) * ((chi / (chi + 30)) ** 2 + 0.01)
+
+    def unit(text):
+        v = {f: (1 + math.log(c)) * factor(f) for f, c in toxicity_terms(text).items() if f in known}
+        return {f: w / math.sqrt(sum(x * x for x in v.values())) for f, w in v.items()}
+
+    mine = unit(asked[4][1])
+    every = sorted(((-round(sum(w * other.get(f, 0) for f, w in mine.items()), 9), i) for i, t, _ in texts for other in [unit(t)]))
+    assert [(e.doc_id, -round(e.cosine, 9)) for e in found[5].evidence] == [(i, c) for c, i in every[:5]]
+
+
 @pytest.fixture(scope="module")
 def vocab():
     return Vocabulary(PIECES)
