@@ -102,6 +102,26 @@ def toxicity_terms(text):
     return Counter(f for chunk in text.split() for f in features(chunk))
 
 
+def test_toxicity_has_neighbours_for_all_texts(spark, awkward, nothing):
+    draw = random.Random(4)
+    rows = []
+    for i in range(400):
+        text = words(i, 30) + ([draw.choice(["idiot", "stupid***", "Moron,"]) for _ in range(2)] if i % 4 == 0 else [])
+        rows.append((i, " ".join(text), int(i % 4 == 0)))
+    table = spark.createDataFrame([*rows, (500, "12 ...", 0), (501, None, 0)], "doc_id long, text string, label int")
+    learned = table.where("doc_id % 16 < 12")
+    found = {r.doc_id: r for r in score_toxicity(table.drop("label"), learned).collect()}
+    held = [(found[i], label) for i, _, label in rows if i % 16 >= 12]
+    assert sum(r.predicted == label for r, label in held) / len(held) > 0.97
+    assert all(len(found[i].evidence) == 5 for i, *_ in rows) and found[500].evidence == found[501].evidence == []
+    clean = [r for r, label in held if not label]
+    assert sum(e.toxic == 0 for r in clean for e in r.evidence) > 4 * len(clean)
+    odd = score_toxicity(awkward, learned).collect()
+    assert len(odd) == awkward.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in odd)
+    assert score_toxicity(nothing, learned).count() == 0
+    assert {r.score for r in score_toxicity(awkward, nothing.withColumn("label", F.lit(1))).collect()} == {0.5}
+
+
 def test_toxicity_weighs_all_words(spark):
     texts = [(i, " ".join(words(i, 20)), i % 2) for i in range(60)]
     # a toxic word of two labelled rows, and clean words of one
