@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from labelloom.session import materialize
 
-MOST_ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node of the component of each node of *edges* (a, b): node, root.
@@ -20,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

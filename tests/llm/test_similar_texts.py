@@ -104,6 +104,14 @@ def test_overlap_rows_of_large_buckets(monkeypatch):
     assert (found == whole).all()
 
 
+def test_components_have_no_bound_of_rounds(spark, monkeypatch):
+    monkeypatch.setattr("labelloom.llm.components.MOST_ROUNDS", 1, raising=False)
+    draw = random.Random(9)
+    nodes = draw.sample(range(1000), 40)
+    found = components(spark.createDataFrame(list(zip(nodes, nodes[1:], strict=False)), "a long, b long")).collect()
+    assert {r.node: r.root for r in found} == dict.fromkeys(nodes, min(nodes))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (200, 201), (200, 202), (203, 200)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
