@@ -293,11 +293,17 @@ def merged(rows: DataFrame, brute_sets: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", brute_sets: int = BRUTE_SETS) -> DataFrame:
+    """The result of `near_classes` without the numbers of the classes."""
+    return near_classes(docs, id_col, text_col, brute_sets).drop("root")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", brute_sets: int = BRUTE_SETS) -> DataFrame:
     """Documents joined by shingle sets of Jaccard similarity 0.8 or more.
 
     One row per document: doc_id, class_id (smallest id of all documents connected by
     links or equal sets), copy_id (smallest id with the same set), n_links (other sets
-    linked to the set of this document), n_shingles; and the row's key k1, k2.
+    linked to the set of this document), n_shingles; the row's key k1, k2; and root, the
+    number of the class, null for rows without shingles.
 
     Equal sets are merged first. Each run picks tokens of a set at random, so that two
     sets at the threshold pick one in common FIRST_RATE times on average; sets that pick
@@ -374,17 +380,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.col("size").alias("n_shingles"),
-        "k1", "k2",
+        "k1", "k2", "root",
     )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each class the document with the smallest id, with all its columns; see `near_duplicates`.
+    """Of each class the document with the smallest id, with all its columns; see `near_classes`.
 
-    Rows that share an id and a text come out once.
+    One row of a class stays, also where ids are null (these come last) or repeat (then
+    the hash of the text decides). Rows that share an id and a text come out once.
     """
-    stay = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    verdict = stay.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    alone = F.col("root").isNull()
+    classes = near_classes(docs, id_col, text_col).groupBy("root", F.when(alone, F.col("k1")).alias("a1"), F.when(alone, F.col("k2")).alias("a2"))
+    stay = classes.agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "k1", "k2")).alias("first"))
+    verdict = stay.select(F.col("first.k1").alias("__k1"), F.col("first.k2").alias("__k2"))
     k1, k2 = keyed_columns(id_col, text_col)
     marked = docs.withColumns({"__k1": k1, "__k2": k2})
     once = marked.join(verdict, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])

@@ -104,6 +104,17 @@ def test_overlap_rows_of_large_buckets(monkeypatch):
     assert (found == whole).all()
 
 
+def test_drop_near_duplicates_keeps_one_also_with_null_and_repeated_ids(spark):
+    base, other = words(21, 120), words(22, 120)
+    near = [base, base[:60] + ["changed"] + base[61:], base[:-1]]
+    same = [other, other[:60] + ["changed"] + other[61:], other[:-1]]
+    rows = [(None, " ".join(t)) for t in near] + [(7, " ".join(t)) for t in same] + [(8, " ".join(same[0])), (None, ""), (3, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = drop_near_duplicates(table).collect()
+    assert Counter((r.doc_id, r.text == "") for r in kept) == {(None, False): 1, (7, False): 1, (None, True): 1, (3, True): 1}
+    assert all((r.doc_id, r.text) in rows for r in kept)
+
+
 def test_components_have_no_bound_of_rounds(spark, monkeypatch):
     monkeypatch.setattr("labelloom.llm.components.MOST_ROUNDS", 1, raising=False)
     draw = random.Random(9)
