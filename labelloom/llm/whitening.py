@@ -160,6 +160,7 @@ def whiten(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     n, sums, products = moments(distinct.where(alike))
     values, shares, vectors = components(n, sums, products, most)
     some = values > 0
+    kept = int(some.sum())
     # centring by n * x - sum is exact while it fits 53 bits
     scale = vectors[:, some] / np.sqrt(values[some]) / n
     total = np.array(sums, dtype=object)
@@ -170,17 +171,17 @@ def whiten(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
         return n * x - total.astype(np.int64) if largest < 1 << 62 else n * x.astype(object) - total
 
     def spread_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crossed = np.zeros((int(some.sum()), int(some.sum())))
+        crossed = np.zeros((kept, kept))
         for batch in batches:
             if batch.num_rows:
                 w = centred(matrix_of(batch)).astype(np.float64) @ scale
                 crossed += w.T @ w
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(crossed.size, dtype=np.int32)), pa.array(crossed.ravel())], names=["at", "v"])
 
-    measured = np.zeros(int(some.sum()) ** 2)
+    measured = np.zeros(kept**2)
     for r in distinct.where(alike).mapInArrow(spread_of, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
         measured[r["at"]] = r["v"] / n
-    error = float(np.abs(measured.reshape(int(some.sum()), -1) - np.eye(int(some.sum()))).max(initial=0.0))
+    error = float(np.abs(measured.reshape(kept, kept) - np.eye(kept)).max(initial=0.0))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
