@@ -65,8 +65,9 @@ def feature_records(
     version: str = "v1",
     detection_failed: Column | None = None,
     low_confidence: Column | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows in the matrix layout, missing columns filled with defaults.
+    """Rows in the matrix layout, missing columns filled with defaults, behind the columns *keep*.
 
     Failure and confidence conditions are folded into the quality flags.
     """
@@ -91,7 +92,7 @@ def feature_records(
         "confidence": pick("confidence", none("double")).cast("double"),
         "source_families": pick("source_families", none("array<string>")),
     }
-    return df.select(*[values[c].alias(c) for c in RECORD_COLUMNS])
+    return df.select(*keep, *[values[c].alias(c) for c in RECORD_COLUMNS])
 
 
 def extracted(
@@ -104,6 +105,7 @@ def extracted(
     readable: Column | None = None,
     min_confidence: float = 0.5,
     version: str = "v1",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Extraction result of each sample with failure flags.
 
@@ -127,7 +129,7 @@ def extracted(
         .withColumn("confidence", confidence)
         .withColumn("quality_flags", flags)
     )
-    return feature_records(rows, family, version=version, low_confidence=F.col("confidence") < min_confidence)
+    return feature_records(rows, family, version=version, low_confidence=F.col("confidence") < min_confidence, keep=keep)
 
 
 # --- hybrid join -------------------------------------------------------------

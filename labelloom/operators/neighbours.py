@@ -18,6 +18,53 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.vstack(vectors.to_numpy()).astype(np.float64)
 
 
+def best_of_block(q_pdf: pd.DataFrame, t_pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The *k* rows of *t_pdf* nearest to each row of *q_pdf*, ties to the smaller id."""
+    columns = ["sample_id", "neighbour_id", "label", "distance"]
+    if not len(q_pdf) or not len(t_pdf):
+        return pd.DataFrame(columns=columns)
+    out = []
+    t_pdf = t_pdf.sort_values("neighbour_id", ignore_index=True)
+    points = _matrix(t_pdf["vector"])
+    norms = np.einsum("ij,ij->i", points, points)
+    top = min(k, len(points))
+    for start in range(0, len(q_pdf), _BATCH):
+        part = q_pdf.iloc[start : start + _BATCH]
+        x = _matrix(part["vector"])
+        square = np.einsum("ij,ij->i", x, x)[:, None] + norms[None, :] - 2.0 * (x @ points.T)
+        picks, distance = _least(square, x, points, top)
+        flat, distance = picks.ravel(), distance.ravel()
+        out.append(
+            pd.DataFrame(
+                {
+                    "sample_id": np.repeat(part["sample_id"].to_numpy(), top),
+                    "neighbour_id": t_pdf["neighbour_id"].to_numpy()[flat],
+                    "label": t_pdf["label"].to_numpy()[flat],
+                    "distance": distance,
+                }
+            )
+        )
+    return pd.concat(out)
+
+
+def _least(square: np.ndarray, x: np.ndarray, points: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and distances of the *top* points nearest to each row of *x*, the first of equally near ones.
+
+    *square* has the squared distances from a matrix product. All within its error of the
+    last place are compared again by differences, which are the same for equal points.
+    """
+    limit = np.partition(square, top - 1, axis=1)[:, top - 1]
+    error = 1e-12 * (np.einsum("ij,ij->i", x, x) + np.einsum("ij,ij->i", points, points).max()) * x.shape[1]
+    within = square <= (limit + 2 * error)[:, None]
+    picks = np.empty((len(x), top), dtype=np.int64)
+    distance = np.empty((len(x), top))
+    for i, columns in enumerate(np.split(np.nonzero(within)[1], np.cumsum(within.sum(axis=1))[:-1])):
+        exact = ((points[columns] - x[i]) ** 2).sum(axis=1)
+        order = np.argsort(exact, kind="stable")[:top]  # columns ascend
+        picks[i], distance[i] = columns[order], np.sqrt(exact[order])
+    return picks, distance
+
+
 def nearest(
     queries: DataFrame,
     train: DataFrame,
@@ -36,8 +83,9 @@ def nearest(
     per query. Nothing is broadcast, and ties go to the smaller id.
     """
     spark = queries.sparkSession
-    n_train = train.count()
-    n_queries = queries.count()
+    sides = queries.select(F.lit(1).alias("q")).unionByName(train.select(F.lit(0).alias("q")))
+    sizes = sides.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("q"), F.lit(0)).alias("queries")).first()
+    n_queries, n_train = sizes["queries"], sizes["n"] - sizes["queries"]
     blocks = max(1, math.ceil(n_train / train_block_rows))
     chunks = max(1, math.ceil(n_queries / query_chunk_rows), least_chunks or 1)
     if least_chunks is None and blocks == 1:
@@ -60,31 +108,7 @@ def nearest(
     )
 
     def best(q_pdf: pd.DataFrame, t_pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q_pdf) and len(t_pdf):
-            t_pdf = t_pdf.sort_values("neighbour_id", ignore_index=True)
-            points = _matrix(t_pdf["vector"])
-            norms = np.einsum("ij,ij->i", points, points)
-            top = min(k, len(points))
-            for start in range(0, len(q_pdf), _BATCH):
-                part = q_pdf.iloc[start : start + _BATCH]
-                x = _matrix(part["vector"])
-                square = np.einsum("ij,ij->i", x, x)[:, None] + norms[None, :] - 2.0 * (x @ points.T)
-                picks = np.argsort(square, axis=1, kind="stable")[:, :top]
-                flat = picks.ravel()
-                distance = np.sqrt(np.maximum(np.take_along_axis(square, picks, axis=1), 0.0)).ravel()
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "sample_id": np.repeat(part["sample_id"].to_numpy(), top),
-                            "neighbour_id": t_pdf["neighbour_id"].to_numpy()[flat],
-                            "label": t_pdf["label"].to_numpy()[flat],
-                            "distance": distance,
-                        }
-                    )
-                )
-        columns = ["sample_id", "neighbour_id", "label", "distance"]
-        return pd.concat(out) if out else pd.DataFrame(columns=columns)
+        return best_of_block(q_pdf, t_pdf, k)
 
     found = (
         q.groupBy("chunk", "block")

@@ -177,11 +177,12 @@ def stage_timings(frames: DataFrame) -> DataFrame:
 def _chain_ends(us: np.ndarray, wait: int) -> np.ndarray:
     """Index of the last emission of the chain that begins at each frame."""
     following = np.searchsorted(us, us + wait, side="left")
-    ends = np.arange(len(us))
-    for i in range(len(us) - 1, -1, -1):
-        if following[i] < len(us):
-            ends[i] = ends[following[i]]
-    return ends
+    ends = np.where(following < len(us), following, np.arange(len(us)))
+    while True:  # the jumps double in length
+        farther = ends[ends]
+        if (farther == ends).all():
+            return ends
+        ends = farther
 
 
 def _last_reset(us: np.ndarray, labels: np.ndarray, wait: int) -> int:
@@ -209,26 +210,47 @@ def _summarize(us: np.ndarray, labels: np.ndarray, wait: int) -> dict:
     return {**facts, "starts": us[kept].tolist(), "ends": last_emission[kept].tolist()}
 
 
-def _advance(state: tuple | None, chunk: dict, wait: int) -> tuple:
-    """Debounce state (label, time) after a chunk."""
-    if chunk["fixed"]:
-        return chunk["label"], int(chunk["ends"][0])
-    starts = np.asarray(chunk["starts"])
-    earliest = chunk["first_us"]
-    if state is not None and state[0] == chunk["first_label"]:
-        earliest = max(earliest, state[1] + wait)
-    begin = int(np.searchsorted(starts, earliest, side="left"))
-    if begin == len(starts):
-        return state
-    return chunk["label"], int(chunk["ends"][begin])
-
-
-def _replay(us: np.ndarray, labels: np.ndarray, state: tuple | None, wait: int) -> np.ndarray:
-    """Emission flag of each frame of a chunk, given the state before it."""
-    emitted = np.zeros(len(us), dtype=bool)
-    for i, (at, label) in enumerate(zip(us.tolist(), labels)):
-        if state is None or state[0] != label or at - state[1] >= wait:
-            emitted[i], state = True, (label, at)
+def _composed(first: dict, second: dict, wait: int) -> dict:
+    """What two pieces of a session do one after the other, the second not fixed and of the first's last label.
+
+    A step function of the time of the last emission, as in `_summarize`: a chain that begins
+    at a start of the first piece goes on behind its end, one that begins behind the first
+    piece begins in the second.
+    """
+    starts, ends = np.asarray(second["starts"]), np.asarray(second["ends"])
+    emitted = np.asarray(first["ends"])
+    at = np.searchsorted(starts, emitted + wait, side="left")
+    after = np.where(at < len(starts), ends[np.minimum(at, len(starts) - 1)], emitted)
+    facts = {"label": second["label"], "first_label": first["first_label"], "first_us": first["first_us"], "fixed": first["fixed"]}
+    if first["fixed"]:
+        return {**facts, "starts": [], "ends": after.tolist()}
+    starts, ends = np.append(first["starts"], starts), np.append(after, ends)
+    # the last emission before is older than the first frame, so later starts are never asked for
+    needed = int(np.searchsorted(starts, first["first_us"] + wait, side="left")) + 1
+    starts, ends = starts[:needed], ends[:needed]
+    kept = np.append(np.flatnonzero(np.diff(ends)), len(ends) - 1)
+    return {**facts, "starts": starts[kept].tolist(), "ends": ends[kept].tolist()}
+
+
+def emission_flags(us: np.ndarray, labels: np.ndarray, state: tuple | None, wait: int) -> np.ndarray:
+    """Emission flag of each frame of ordered frames, given the state (label, time) before them.
+
+    Goes from emission to emission: the next one is at the next change of label or at the
+    first frame after the debounce time.
+    """
+    n = len(us)
+    emitted = np.zeros(n, dtype=bool)
+    if n == 0:
+        return emitted
+    changes = np.append(np.flatnonzero(labels[1:] != labels[:-1]) + 1, n)
+    change = changes[np.searchsorted(changes, np.arange(n), side="right")]
+    following = np.minimum(np.maximum(np.searchsorted(us, us + wait, side="left"), np.arange(1, n + 1)), change)
+    at = 0
+    if state is not None and state[0] == labels[0]:
+        at = min(int(np.searchsorted(us, state[1] + wait, side="left")), int(change[0]))
+    while at < n:
+        emitted[at] = True
+        at = int(following[at])
     return emitted
 
 
@@ -236,7 +258,39 @@ _SUMMARY = (
     "struct<label:string,first_label:string,first_us:bigint,fixed:boolean,"
     "starts:array<bigint>,ends:array<bigint>>"
 )
-_STATES = "array<struct<chunk:bigint,label:string,us:bigint>>"
+
+
+def states_after(facts: DataFrame, wait: int) -> DataFrame:
+    """Debounce state after each chunk: (session_id, chunk, label, us).
+
+    *facts* has session_id, chunk and the summary of the chunk, one row per chunk that has
+    frames. What chunks do is composed in doubling steps: after round r a row stands for
+    2^r chunks, or for all chunks before it if the state after it is known, and joins the row
+    2^r chunks before. Only rows whose state is open are joined, on the key of one chunk, so
+    no session is gathered however many chunks it has.
+    """
+
+    @F.pandas_udf(_SUMMARY)
+    def compose(first: pd.DataFrame, second: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([_composed(a, b, wait) for a, b in zip(first.to_dict("records"), second.to_dict("records"))])
+
+    # A chunk is at least as long as the debounce time, so a chunk begins anew if the one
+    # before has no frames, and also if that ends with another label.
+    before = facts.select("session_id", (F.col("chunk") + 1).alias("chunk"), F.col("facts.label").alias("_label"))
+    f = F.col("facts")
+    anew = ~f["fixed"] & ~F.col("_label").eqNullSafe(f["first_label"])
+    fixed = f.withField("fixed", F.lit(True)).withField("starts", F.array().cast("array<bigint>")).withField("ends", F.slice(f["ends"], 1, 1))
+    rows = facts.join(before, ["session_id", "chunk"], "left").withColumn("facts", F.when(anew, fixed).otherwise(f)).drop("_label")
+    distance = 1
+    while True:
+        rows = materialize(rows, "debounce-states")
+        still_open = rows.filter(~F.col("facts.fixed"))
+        if still_open.isEmpty():
+            return rows.select("session_id", "chunk", F.col("facts.label").alias("label"), F.col("facts.ends")[0].alias("us"))
+        earlier = rows.select("session_id", (F.col("chunk") + distance).alias("chunk"), F.col("facts").alias("_first"))
+        joined = still_open.join(earlier, ["session_id", "chunk"]).select("session_id", "chunk", compose("_first", "facts").alias("facts"))
+        rows = rows.filter(F.col("facts.fixed")).unionByName(joined)
+        distance *= 2
 
 
 def debounce(
@@ -244,9 +298,9 @@ def debounce(
 ) -> DataFrame:
     """Flag `emitted` on candidate frames, with the debounce state kept per session.
 
-    Chunks of a session are summarised in parallel, the summaries (one small row
-    per chunk) are run through once per session to learn the state before each
-    chunk, and the chunks are then replayed in parallel.
+    Chunks of a session are summarised in parallel, the state before each chunk is found
+    by composing the summaries (`states_after`), and the chunks are then replayed in
+    parallel.
     """
     wait = int(round(debounce_ms * 1000))
     chunk_us = max(chunk_us, wait)  # the state before a chunk comes from at most the one before it
@@ -256,27 +310,10 @@ def debounce(
         rows = [_summarize(np.asarray(t), np.asarray(n), wait) for t, n in zip(times, names)]
         return pd.DataFrame(rows)
 
-    @F.pandas_udf(_STATES)
-    def states(chunks: pd.Series) -> pd.Series:
-        def run(rows: list) -> list:
-            state, before = None, []
-            for row in rows:
-                if state is not None:
-                    before.append({"chunk": row["chunk"], "label": state[0], "us": state[1]})
-                state = _advance(state, row["facts"], wait)
-            return before
-
-        return chunks.map(run)
-
     @F.pandas_udf("array<boolean>")
-    def replay(times: pd.Series, names: pd.Series, last_label: pd.Series, last_us: pd.Series) -> pd.Series:
-        known = last_us.notna()
-        return pd.Series(
-            [
-                _replay(np.asarray(t), np.asarray(n), (l, int(u)) if k else None, wait)
-                for t, n, l, u, k in zip(times, names, last_label, last_us, known)
-            ]
-        )
+    def replay(times: pd.Series, names: pd.Series, state: pd.DataFrame) -> pd.Series:
+        known = [None if pd.isna(u) else (l, int(u)) for l, u in zip(state["label"], state["us"])]
+        return pd.Series([emission_flags(np.asarray(t), np.asarray(n), k, wait) for t, n, k in zip(times, names, known)])
 
     columns = candidates.columns
     chunk = F.expr(f"us div {int(chunk_us)}L").alias("chunk")
@@ -285,21 +322,13 @@ def debounce(
         .groupBy("session_id", "chunk")
         .agg(F.array_sort(F.collect_list("_frame")).alias("frames"))
     )
-    narrow = (
-        candidates.select("session_id", chunk, F.struct("us", "frame_id", F.col(label).alias("name")).alias("_frame"))
-        .groupBy("session_id", "chunk")
-        .agg(F.array_sort(F.collect_list("_frame")).alias("f"))
-    )
-    before = (
-        narrow.withColumn("facts", summary(F.col("f.us"), F.col("f.name")))
-        .groupBy("session_id")
-        .agg(F.array_sort(F.collect_list(F.struct("chunk", "facts"))).alias("chunks"))
-        .select("session_id", F.inline(states("chunks")))
-        .withColumnsRenamed({"label": "_last_label", "us": "_last_us"})
-    )
-    flags = replay(
-        F.col("frames.us"), F.col(f"frames.{label}"), F.col("_last_label"), F.col("_last_us").cast("double")
+    ordered = materialize(ordered, "debounce-chunks")
+    facts = ordered.select("session_id", "chunk", summary(F.col("frames.us"), F.col(f"frames.{label}")).alias("facts"))
+    before = states_after(facts, wait).select(
+        "session_id", (F.col("chunk") + 1).alias("chunk"), F.struct("label", F.col("us").cast("string").alias("us")).alias("_state")
     )
+    nothing = F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("us"))
+    flags = replay(F.col("frames.us"), F.col(f"frames.{label}"), F.coalesce("_state", nothing))
     return (
         ordered.join(before, ["session_id", "chunk"], "left")
         .withColumn("_flags", flags)

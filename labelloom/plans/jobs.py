@@ -114,15 +114,16 @@ def extract_features(
     include_angles: bool = True,
     hog: HogSettings = HogSettings(),
     version: str = "v1",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Feature records of one family from samples with landmarks (and pixels).
+    """Feature records of one family from samples with landmarks (and pixels), behind the columns *keep*.
 
     Samples have `landmarks` in fractions of the image (null: no detection),
     `width`, `height`, `confidence`; the appearance family also needs `data` and
     `nChannels`. A null height marks an unreadable image.
     """
     detected, readable = F.col("landmarks").isNotNull(), F.col("height").isNotNull()
-    options = {"detected": detected, "readable": readable, "min_confidence": min_confidence, "version": version}
+    options = {"detected": detected, "readable": readable, "min_confidence": min_confidence, "version": version, "keep": keep}
     if family == "keypoints_raw":
         return extracted(samples, family, raw_keypoints(F.col("landmarks")), vocab.RAW_DIM, **options)
     pixels = samples.withColumn("landmarks", to_pixels(F.col("landmarks"), F.col("width"), F.col("height")))

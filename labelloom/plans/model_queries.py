@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.operators import bayes, classifiers, metrics, neighbours, scaling, splits
+from labelloom.operators import approximate, bayes, classifiers, metrics, neighbours, scaling, splits
 from labelloom.plans import jobs, stand_ins as given
 from labelloom.plans.registry import big, query, r6
 from labelloom.plans.sql_views import SCORES, rounded, split
@@ -58,6 +58,33 @@ def knn_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select(*[r6(c) for c in SCORES], big("n_samples"))
 
 
+@query("knn_approximate", f"""WITH {_KNN}, hits AS (SELECT sample_id, count(*) AS n FROM d WHERE r <= 5 GROUP BY 1)
+        SELECT sample_id, true_label, n AS neighbours, true AS label_known, true AS recall_reached, true AS complete_ones_exact FROM knn JOIN hits USING (sample_id)""")
+def knn_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test vectors by their approximate neighbours, with what must hold for these.
+
+    `recall_reached` tells whether the neighbours of all test vectors hold 0.9 of the exact
+    ones, `complete_ones_exact` whether those marked complete are the exact ones.
+    """
+    train, test = _train_test(spark, sf_dir)
+    q = test.select("sample_id", F.col("vector_inline").alias("vector"))
+    t = train.select("sample_id", F.col("gesture_label").alias("label"), F.col("vector_inline").alias("vector"))
+    q, t = materialize(q, "approximate-queries"), materialize(t, "approximate-rows")
+    # small buckets, so that small tables have several
+    buckets = approximate.fit_buckets(t, bucket_rows=64)
+    found = materialize(approximate.nearest_approximate(q, t, buckets=buckets), "approximate-neighbours")
+    exact = materialize(neighbours.nearest(q, t), "exact-neighbours")
+    recall = approximate.recall_against(found, exact)
+    wrong = found.where("complete").join(exact, ["sample_id", "neighbour_id"], "left_anti").isEmpty()
+    facts = found.groupBy("sample_id").agg(F.count(F.lit(1)).alias("neighbours"))
+    labels = [r[0] for r in t.select("label").distinct().collect()]
+    voted = neighbours.vote(found).select("sample_id", F.col("predicted_label").isin(labels).alias("label_known"))
+    truth = test.select("sample_id", F.col("gesture_label").alias("true_label"))
+    return truth.join(facts, "sample_id").join(voted, "sample_id").select(
+        "sample_id", "true_label", "neighbours", "label_known", F.lit(recall >= 0.9).alias("recall_reached"), F.lit(wrong).alias("complete_ones_exact")
+    )
+
+
 @query("scaler_stats", """SELECT i AS dim, round(avg(embedding[i + 1]::DOUBLE), 6) AS mean,
         round(stddev_pop(embedding[i + 1]::DOUBLE), 6) AS scale FROM embeddings, range(64) t(i) GROUP BY 1""")
 def scaler_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

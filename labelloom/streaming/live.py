@@ -1,17 +1,18 @@
 """Structured Streaming twins of the session operators.
 
-One session's frames meet in one task per micro-batch (a camera delivers a few
-dozen a second); sessions are spread over the cluster by key. State per session
-is the last few frames, the last emission and the last stable label.
+Sessions are spread over the cluster by key. State per session is the last few frames, the
+last emission and the last stable label. `live_sessions` takes the frames of a session in
+the order of their arrival, sorted within a micro-batch; `ordered_sessions` holds them back
+until the watermark has passed, so that frames may arrive in any order within the delay.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from labelloom import vocab
 from labelloom.operators.classifiers import Trained
+from labelloom.operators.sessions import emission_flags
 from labelloom.operators.telemetry import tumbling_fps
 from labelloom.plans.jobs import extract_features
 from labelloom.session import RECOMMENDED_CONF, STATE_STORE, scratch_path
@@ -52,8 +54,78 @@ class LiveSettings:
     idle_ms: int | None = None
 
 
+#: Length of the pieces of time in which frames wait for the watermark.
+SLICE_US = 60_000_000
+#: Frames whose windows are compared at a time.
+_FRAMES = 50_000
+
+
+def _votes(codes: np.ndarray, confidences: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Winner, its votes, number of frames and mean confidence of each window of *size* frames.
+
+    Missing frames in front are -1. Of equal counts the label that comes first in the window wins.
+    """
+    out = []
+    for low in range(0, len(codes) - size + 1, _FRAMES):
+        part = slice(low, min(low + _FRAMES + size - 1, len(codes)))
+        window = np.lib.stride_tricks.sliding_window_view(codes[part], size)
+        sums = np.lib.stride_tricks.sliding_window_view(confidences[part], size).sum(axis=1)
+        counts = (window[:, :, None] == window[:, None, :]).sum(axis=2)
+        counts[window < 0] = 0
+        best = counts.argmax(axis=1)
+        frames = (window >= 0).sum(axis=1)
+        rows = np.arange(len(window))
+        out.append((window[rows, best], counts[rows, best], frames, sums / frames))
+    return tuple(np.concatenate(parts) for parts in zip(*out))
+
+
+def act_on_frames(session: str, frames: pd.DataFrame, state: tuple, s: LiveSettings) -> tuple[pd.DataFrame, tuple]:
+    """Action rows of ordered frames (frame_id, us, label, confidence) of a session, and its new state."""
+    past_labels, past_confidences, last_label, last_us, stable = state
+    keep = s.window_size - 1
+    past_labels, past_confidences = list(past_labels)[len(past_labels) - min(keep, len(past_labels)) :], list(past_confidences)[len(past_confidences) - min(keep, len(past_confidences)) :]
+    labels = frames["label"].fillna("").to_numpy(dtype=object)
+    confidences = frames["confidence"].fillna(0.0).to_numpy(dtype=np.float64)
+    us = frames["us"].to_numpy(dtype=np.int64)
+    codes, names = pd.factorize(np.concatenate([np.array(past_labels, dtype=object), labels]))
+    missing = keep - len(past_labels)
+    codes = np.concatenate([np.full(missing, -1), codes])
+    known = np.concatenate([np.zeros(missing), np.array(past_confidences, dtype=np.float64), confidences])
+    winner, votes, size, mean = _votes(codes, known, s.window_size)
+    ratio = votes / size
+
+    keys = [n.strip().lower().replace("-", "_").replace(" ", "_") for n in names]
+    normalized = np.array([s.aliases.get(k, k) for k in keys], dtype=object)
+    mapped = np.array([s.keymap.get(n) or s.keymap.get(w) for n, w in zip(normalized, names)], dtype=object)
+    has_key = np.array([m is not None for m in mapped], dtype=bool)
+    eligible = (mean >= s.confidence_threshold) & (ratio >= s.min_consensus_ratio) & (np.asarray(names, dtype=object)[winner] != "")
+    candidate = np.flatnonzero(eligible & has_key[winner])
+    winners = np.asarray(names, dtype=object)[winner]
+    fires = np.zeros(len(us), dtype=bool)
+    last = None if last_us is None else (last_label, last_us)
+    fires[candidate] = emission_flags(us[candidate], winners[candidate], last, int(round(s.debounce_ms * 1000)))
+    if fires.any():
+        at = np.flatnonzero(fires)[-1]
+        last_label, last_us = winners[at], int(us[at])
+
+    live = s.enable_dispatch and not s.dry_run
+    sent = "dispatched" if live else ("dry_run" if s.dry_run else "dispatch_disabled")
+    before = np.concatenate([[stable], winners[:-1]])
+    out = pd.DataFrame(
+        {
+            "session_id": session, "frame_id": frames["frame_id"].to_numpy(), "us": us, "label": labels, "confidence": confidences,
+            "stable_label": winners, "consensus_ratio": ratio, "avg_confidence": mean, "window_size": size,
+            "label_changed": winners != before, "normalized_gesture_label": normalized[winner],
+            "mapped_key": np.where(fires, mapped[winner], None), "would_emit": fires, "emitted": fires & live,
+            "reason": np.where(fires, sent, np.where(eligible & ~has_key[winner], "unmapped_gesture", "not_eligible")),
+        }
+    )
+    labels, known = [*past_labels, *labels][-s.window_size :], known[-min(s.window_size, len(known) - missing) :]
+    return out, (list(labels), known.tolist(), last_label, last_us, winners[-1])
+
+
 class SessionProcessor(StatefulProcessor):
-    """Votes, debounces and maps the frames of one session."""
+    """Votes, debounces and maps the frames of one session in the order of their arrival."""
 
     def __init__(self, settings: LiveSettings) -> None:
         self.settings = settings
@@ -63,46 +135,88 @@ class SessionProcessor(StatefulProcessor):
         self.state = handle.getValueState("session", STATE, self.settings.idle_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        s = self.settings
         frames = pd.concat(list(rows), ignore_index=True).sort_values(["us", "frame_id"], kind="stable")
-        labels, confidences, last_label, last_us, stable = self.state.get() or ([], [], None, None, None)
-        recent = list(zip(labels, confidences))
-        last = None if last_us is None else (last_label, last_us)
-        live = s.enable_dispatch and not s.dry_run
-        sent = "dispatched" if live else ("dry_run" if s.dry_run else "dispatch_disabled")
-        out = []
-        for frame_id, us, label, confidence in zip(
-            frames["frame_id"], frames["us"], frames["label"].fillna(""), frames["confidence"].fillna(0.0)
-        ):
-            recent = [*recent, (label, float(confidence))][-s.window_size :]
-            # Counters keep first-seen order, so ties go to the earliest label.
-            winner, votes = Counter(name for name, _ in recent).most_common(1)[0]
-            ratio = votes / len(recent)
-            mean = sum(c for _, c in recent) / len(recent)
-            eligible = mean >= s.confidence_threshold and ratio >= s.min_consensus_ratio and winner != ""
-            key_name = winner.strip().lower().replace("-", "_").replace(" ", "_")
-            normalized = s.aliases.get(key_name, key_name)
-            mapped = s.keymap.get(normalized) or s.keymap.get(winner)
-            held = last is not None and last[0] == winner and us - last[1] < s.debounce_ms * 1000
-            fires = eligible and mapped is not None and not held
-            if fires:
-                last = (winner, int(us))
-            reason = sent if fires else ("unmapped_gesture" if eligible and mapped is None else "not_eligible")
-            out.append(
-                (
-                    key[0], frame_id, us, label, confidence, winner, ratio, mean, len(recent), winner != stable,
-                    normalized, mapped if fires else None, fires, fires and live, reason,
-                )
-            )
-            stable = winner
-        self.state.update(([r[0] for r in recent], [r[1] for r in recent], *(last or (None, None)), stable))
-        names = [part.split()[0] for part in OUTPUT.split(", ")]
-        yield pd.DataFrame(out, columns=names)
+        out, state = act_on_frames(key[0], frames, self.state.get() or ([], [], None, None, None), self.settings)
+        self.state.update(state)
+        yield out
 
     def close(self) -> None:
         pass
 
 
+class OrderedProcessor(StatefulProcessor):
+    """Votes, debounces and maps the frames of one session in the order of their times.
+
+    Frames wait in a map from pieces of time to their frames. An event-time timer at the first
+    waiting frame calls when the watermark has passed it; all frames up to the watermark
+    then go through the same step as in `SessionProcessor`. A frame that comes before one
+    that has gone through is put out with the reason `late` and changes nothing.
+    """
+
+    def __init__(self, settings: LiveSettings) -> None:
+        self.settings = settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("session", f"{STATE}, done_us bigint, done_id bigint")
+        self.waiting = handle.getMapState(
+            "waiting", "slice bigint", "frame_id array<bigint>, us array<bigint>, label array<string>, confidence array<double>"
+        )
+
+    def _put(self, slice_: int, frames: pd.DataFrame) -> None:
+        self.waiting.updateValue((slice_,), tuple(frames[c].tolist() for c in ("frame_id", "us", "label", "confidence")))
+
+    def _pass(self, key: Any, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        """Let through the frames up to the watermark and set the timer for the next ones."""
+        limit, ready, first = watermark_ms * 1000, [], None
+        for slice_ in sorted(k[0] for k in list(self.waiting.keys())):
+            if slice_ * SLICE_US > limit and first is not None:
+                break
+            frames = pd.DataFrame(dict(zip(("frame_id", "us", "label", "confidence"), self.waiting.getValue((slice_,)))))
+            over = frames["us"] > limit
+            if not over.all():
+                ready.append(frames[~over])
+                if over.any():
+                    self._put(slice_, frames[over])
+                else:
+                    self.waiting.removeKey((slice_,))
+            if over.any() and first is None:
+                first = int(frames.loc[over, "us"].min())
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        if ready:
+            frames = pd.concat(ready, ignore_index=True).sort_values(["us", "frame_id"], kind="stable")
+            out, state = act_on_frames(key[0], frames, self.state.get()[:5] if self.state.exists() else ([], [], None, None, None), self.settings)
+            self.state.update((*state, int(frames["us"].iloc[-1]), int(frames["frame_id"].iloc[-1])))
+            yield out
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        frames = pd.concat(list(rows), ignore_index=True)
+        frames["label"], frames["confidence"] = frames["label"].fillna(""), frames["confidence"].fillna(0.0)
+        if self.state.exists():
+            done_us, done_id = self.state.get()[5:7]
+            late = (frames["us"] < done_us) | ((frames["us"] == done_us) & (frames["frame_id"] <= done_id))
+            if late.any():
+                out = frames.loc[late, ["frame_id", "us", "label", "confidence"]].assign(session_id=key[0], reason="late", would_emit=False, emitted=False)
+                yield out.reindex(columns=COLUMNS)
+            frames = frames[~late]
+        for slice_, part in frames.groupby(frames["us"] // SLICE_US):
+            known = self.waiting.getValue((int(slice_),)) if self.waiting.containsKey((int(slice_),)) else None
+            if known is not None:
+                part = pd.concat([pd.DataFrame(dict(zip(("frame_id", "us", "label", "confidence"), known))), part])
+            self._put(int(slice_), part)
+        yield from self._pass(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        yield from self._pass(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+COLUMNS = [part.split()[0] for part in OUTPUT.split(", ")]
+
+
 def live_sessions(frames: DataFrame, settings: LiveSettings = LiveSettings()) -> DataFrame:
     """Smoothed, debounced action rows of a stream of classified frames.
 
@@ -119,6 +233,41 @@ def live_sessions(frames: DataFrame, settings: LiveSettings = LiveSettings()) ->
     )
 
 
+def ordered_sessions(frames: DataFrame, settings: LiveSettings = LiveSettings(), delay: str = "10 seconds") -> DataFrame:
+    """`live_sessions` for frames that arrive out of order by less than *delay*.
+
+    A frame is put out once the watermark, *delay* behind the latest time of all sessions,
+    has passed it. Frames behind the watermark on arrival are dropped before they reach
+    a session and counted by the query (`dropped_frames`). Frames without a session only move
+    the watermark, as `closing_frame` does.
+    """
+    frames.sparkSession.conf.set(STATE_STORE, RECOMMENDED_CONF[STATE_STORE])
+    timed = frames.select("session_id", "frame_id", "us", "label", "confidence", F.timestamp_micros("us").alias("ts"))
+    # the condition names ts, else it would be moved in front of the watermark
+    timed = timed.withWatermark("ts", delay).filter(F.col("session_id").isNotNull() | F.col("ts").isNull())
+    return timed.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=OrderedProcessor(settings), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime",
+    )
+
+
+def closing_frame(frames: DataFrame, us: int) -> DataFrame:
+    """One row in the layout of *frames* without a session, at a time that closes all before it."""
+    kinds = dict(frames.dtypes)
+    empty = [F.lit(us).cast(kinds[c]) if c == "us" else F.lit(None).cast(kinds[c]) for c in frames.columns]
+    return frames.sparkSession.range(1).select(*[e.alias(c) for e, c in zip(empty, frames.columns)])
+
+
+def dropped_frames(query: StreamingQuery) -> DataFrame:
+    """Frames that a query dropped behind the watermark: (batch_id, dropped) of each micro-batch that did."""
+    spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active()
+    counts: dict[int, int] = {}
+    for progress in query.recentProgress:
+        dropped = sum(op["numRowsDroppedByWatermark"] for op in progress["stateOperators"])
+        if dropped:
+            counts[progress["batchId"]] = dropped
+    return spark.createDataFrame(sorted(counts.items()), "batch_id bigint, dropped bigint")
+
+
 def frame_stream(spark: SparkSession, path: str, schema: Any, fmt: str = "parquet", **options: Any) -> DataFrame:
     """Frames arriving as files of a folder (or image files with `binaryFile`).
 
@@ -138,19 +287,16 @@ def fps_stream(frames: DataFrame, seconds: int = 5, late: str = "10 seconds", ts
 def score_stream(samples: DataFrame, model: Trained, family: str, **options: Any) -> DataFrame:
     """Features and prediction of each arriving sample, flags kept alongside.
 
-    The same column functions as in batch. Nearest neighbours need a join with
-    the whole training table and are for batch scoring only.
+    The same column functions as in batch. session_id, frame_id and us are passed through
+    if there. Nearest neighbours need a join with the whole training table and are for
+    batch scoring only.
     """
     if model.algorithm == "knn":
         raise ValueError("nearest-neighbour models score in batch only")
-    passed = [c for c in ("session_id", "frame_id", "us") if c in samples.columns]
-    tagged = samples.withColumn("dataset_name", F.to_json(F.struct(*passed))) if passed else samples
-    scored = model.transform(extract_features(tagged, family, **options))
-    kinds = {"session_id": "string", "frame_id": "bigint", "us": "bigint"}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in passed)
-    keys = [F.from_json("dataset_name", schema)[c].alias(c) for c in passed]
+    passed = tuple(c for c in ("session_id", "frame_id", "us") if c in samples.columns)
+    scored = model.transform(extract_features(samples, family, keep=passed, **options))
     return scored.select(
-        *keys,
+        *passed,
         "sample_id",
         F.col("predicted_label").alias("label"),
         F.array_max("probability").alias("confidence"),

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.operators import bayes, classifiers, neighbours, scaling, splits
+from labelloom.operators import approximate, bayes, classifiers, neighbours, scaling, splits
 from labelloom.plans import jobs
 from labelloom.streaming import live
 
@@ -212,3 +212,56 @@ def test_tune_prefers_the_better_candidate(spark):
     matrix = spark.createDataFrame(rows, "sample_id string, gesture_label string, vector_inline array<double>")
     best, tried = jobs.tune(matrix, splits.stratified_folds(matrix, 2), "knn", {"n_neighbors": [20, 1]}, "accuracy")
     assert best == {"n_neighbors": 1} and len(tried) == 2 and all(len(t["scores"]) == 2 for t in tried)
+
+
+def clustered(n: int, dims: int = 16, seed: int = 1) -> list[tuple]:
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(size=(12, dims)) * 3
+    which = draw.integers(0, 12, n)
+    return [(f"r{i:05d}", f"c{w}", (centres[w] + draw.normal(size=dims)).tolist()) for i, w in enumerate(which)]
+
+
+def test_approximate_neighbours(spark, monkeypatch):
+    rows = clustered(3000)
+    copies = [(f"z{i:05d}", "copy", rows[0][2]) for i in range(900)]  # one vector holds a quarter of all rows
+    train = spark.createDataFrame(rows + copies, "sample_id string, label string, vector array<double>").repartition(5)
+    queries = train.filter("sample_id like 'r%0'").select("sample_id", "vector")
+    monkeypatch.setattr(approximate, "PART_ROWS", 200)
+    monkeypatch.setattr(approximate, "PART_QUERIES", 40)
+    buckets = approximate.fit_buckets(train, bucket_rows=64)
+    assert 1 < buckets.probes < 1 << len(buckets.cuts) and buckets.estimated_recall >= 0.95
+    found = approximate.nearest_approximate(queries, train, 5, buckets).cache()
+    exact = neighbours.nearest(queries, train, 5).cache()
+    assert approximate.recall_against(found, exact) >= 0.9
+    assert {r["n"] for r in found.groupBy("sample_id").agg(F.count("*").alias("n")).collect()} == {5}
+    # distances are exact, complete results too
+    true = {(r["sample_id"], r["neighbour_id"]): r["distance"] for r in exact.collect()}
+    whole = found.filter("complete").collect()
+    assert whole and all((r["sample_id"], r["neighbour_id"]) in true for r in whole)
+    mine = {(r["sample_id"], r["neighbour_id"]): r["distance"] for r in found.collect()}
+    assert all(abs(mine[k] - true[k]) < 1e-9 for k in mine.keys() & true.keys())
+
+
+def test_approximate_neighbours_of_few_rows_are_exact(spark):
+    kind = "sample_id string, label string, vector array<double>"
+    train = spark.createDataFrame(clustered(40), kind)
+    found = approximate.nearest_approximate(train.limit(9), train, 3).collect()
+    exact = neighbours.nearest(train.limit(9), train, 3).collect()
+    assert {(r["sample_id"], r["neighbour_id"], r["rank"]) for r in found} == {(r["sample_id"], r["neighbour_id"], r["rank"]) for r in exact}
+    assert all(r["complete"] for r in found)
+    nothing = spark.createDataFrame([], kind)
+    assert approximate.nearest_approximate(train, nothing, 3).count() == 0
+    assert approximate.nearest_approximate(nothing, train, 3).count() == 0
+    assert approximate.knn_predict_approximate(train.limit(2), train, 3).count() == 2
+
+
+def test_probes_are_the_nearest_buckets():
+    draw = np.random.default_rng(4)
+    made = approximate.Buckets(np.linalg.qr(draw.normal(size=(9, 9)))[0][:, :5], draw.normal(size=5) / 3, 7, 1.0)
+    x = draw.normal(size=(50, 9))
+    looked, bound = made.probed(x)
+    margins = made.margins(x)
+    for i in range(50):
+        cost = {int(made.codes(x[i : i + 1])[0]) ^ flip: sum(margins[i, j] ** 2 for j in range(5) if flip >> j & 1) for flip in range(32)}
+        order = sorted(cost.values())
+        assert np.allclose([cost[c] for c in looked[i].tolist()], order[:7]) and np.isclose(bound[i], order[7])

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom import vocab
-from labelloom.operators import sessions, telemetry
+from labelloom.operators import sessions
 from labelloom.operators.telemetry import runtime_summary, tumbling_fps
 from labelloom.streaming import live
 
@@ -129,9 +129,7 @@ def test_action_reasons(spark):
 SAMPLES = "session_id string, end_to_end_ms double, capture_to_prediction_ms double, prediction_to_dispatch_ms double, frame_interval_ms double, fps double, action_emitted boolean, action_suppressed boolean, detection_ok boolean"
 
 
-@pytest.mark.parametrize("in_memory", [100_000, 0])
-def test_runtime_summary(spark, monkeypatch, in_memory):
-    monkeypatch.setattr(telemetry, "IN_MEMORY_ROWS", in_memory)
+def test_runtime_summary(spark):
     rows = [
         ("s", e, None, 1.0, i, f, e == 10.0, e != 10.0, True)
         for e, i, f in [(10.0, 33.0, 30.0), (20.0, 40.0, 25.0), (30.0, 50.0, 20.0), (40.0, 66.0, 15.0)]
@@ -203,3 +201,44 @@ def test_run_for_a_limited_time(spark, tmp_path):
     )
     live.run_for(query, 3)
     assert not query.isActive
+
+
+def test_debounce_state_passes_through_many_chunks(spark):
+    """Chunks as short as the debounce time, without any gap or change that would begin anew."""
+    rnd, rows = random.Random(11), []
+    for session, n in (("long", 1500), ("short", 40), ("one", 1)):
+        us = 0
+        for i in range(n):
+            us += rnd.choice([0, 50_000, 120_000, 333_000])
+            rows.append((session, i, us, "palm", 1.0))
+    rows.append(("long", 1500, 10**10, "palm", 1.0))
+    flagged = sessions.debounce(spark.createDataFrame(rows, FRAMES), 900.0, "label", chunk_us=900_000)
+    got = {(r["session_id"], r["frame_id"]): r["emitted"] for r in flagged.collect()}
+    last, want = {}, {}
+    for session, frame, us, _, _ in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        want[session, frame] = session not in last or us - last[session] >= 900_000
+        if want[session, frame]:
+            last[session] = us
+    assert got == want
+    assert sessions.debounce(spark.createDataFrame([], FRAMES), 900.0, "label").count() == 0
+
+
+def test_disordered_stream_equals_batch(spark, tmp_path):
+    rows = random_frames(12, n=240)
+    rnd = random.Random(13)
+    arrived = sorted(rows, key=lambda r: r[2] + rnd.randrange(5_000_000))
+    folder, out, check = (str(tmp_path / name) for name in ("in", "out", "check"))
+    settings = live.LiveSettings(**SETTINGS, debounce_ms=900)
+    end = max(r[2] for r in rows) + 60_000_000
+    late = [(s, -1 - f, u, label, c) for s, f, u, label, c in rows[:7]]
+    dropped = []
+    frame = lambda part: spark.createDataFrame(part, FRAMES)
+    for part in (frame(arrived[:100]), frame(arrived[100:]), live.closing_frame(frame(rows), end), frame(late)):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        acted = live.ordered_sessions(live.frame_stream(spark, folder, frame(rows).schema), settings, "5 seconds")
+        query = live.write_events(acted, out, check, "parquet")
+        live.run_to_end(query)
+        dropped.append(sum(r["dropped"] for r in live.dropped_frames(query).collect()))
+    found = spark.read.schema(live.OUTPUT).parquet(out).collect()
+    assert {r["frame_id"]: (r["stable_label"], r["reason"]) for r in found} == expected(rows, 900)
+    assert len(found) == len(rows) and dropped == [0, 0, 0, 7]
