@@ -13,7 +13,7 @@ from labelloom.llm import language_id, lm_scoring
 from labelloom.llm.language_id import identify, train
 from labelloom.llm.lm_scoring import Vocabulary, expected_pieces, lattice, score_texts, word_logs
 from labelloom.llm.queries import QUERIES
-from labelloom.llm.toxicity import BlockMaxIndex, features, score_toxicity
+from labelloom.llm.toxicity import NEIGHBOURS, BlockMaxIndex, calibration, score_toxicity, term_counts, text_vectors
 from tests.llm.conftest import words
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -70,12 +70,39 @@ def test_block_max_index_is_exact():
         some = {draw.randrange(30): draw.random() for _ in range(draw.randrange(1, 6))}
         norm = math.sqrt(sum(w * w for w in some.values()))
         vectors.append([(t, w / norm) for t, w in sorted(some.items())])
-    index = BlockMaxIndex(vectors, 30)
-    for q in vectors[:60]:
-        at, cosine = index.nearest(np.array([t for t, _ in q]), np.array([w for _, w in q]), 10)
-        every = [sum(w * dict(v).get(t, 0) for t, w in q) for v in vectors]
-        best = sorted((i for i in range(400) if every[i] > 0), key=lambda i: (-round(every[i], 12), i))[:10]
-        assert at.tolist() == best and cosine == pytest.approx([every[i] for i in best])
+    flat = lambda some, i, kind: np.array([e[i] for v in some for e in v], dtype=kind)
+    index = BlockMaxIndex([len(v) for v in vectors], flat(vectors, 0, np.int64), flat(vectors, 1, np.float64), 30)
+    asked = [*vectors[:150], []]
+    starts = np.concatenate([[0], np.cumsum([len(v) for v in asked])])
+    plain = index.nearest_of(starts, flat(asked, 0, np.int64), flat(asked, 1, np.float64), 10)
+    others = index.nearest_of(starts[:-1], flat(asked, 0, np.int64), flat(asked, 1, np.float64), 10, without=np.arange(150))
+    assert index.read < index.asked
+    for left, results in ((False, plain[:-1]), (True, others)):
+        for i, (q, (at, cosine)) in enumerate(zip(vectors, results)):
+            every = [sum(w * dict(v).get(t, 0) for t, w in q) for v in vectors]
+            best = sorted((j for j in range(400) if every[j] > 0 and not (left and i == j)), key=lambda j: (-round(every[j], 12), j))[:10]
+            assert at.tolist() == best and cosine == pytest.approx([every[j] for j in best])
+    assert len(plain[-1][0]) == 0
+    few = BlockMaxIndex([1, 1], np.array([0, 1]), np.array([1.0, 1.0]), 2)
+    assert few.nearest(np.array([0]), np.array([1.0]), 10)[0].tolist() == [0]
+
+
+def test_calibration_pools_and_rises():
+    draw = np.random.default_rng(5)
+    raw = np.round(draw.random(300), 2)
+    labels, weights = (draw.random(300) < raw).astype(float), draw.integers(1, 4, 300).astype(float)
+    knots, values = calibration(raw, labels, weights)
+    assert (np.diff(knots) > 0).all() and (np.diff(values) >= 0).all() and 0 < values[0] and values[-1] < 1
+    # of all rising maps the pooled one has the least squared error: compare with min-max of means
+    order = np.unique(raw)
+    n = np.array([weights[raw == v].sum() for v in order])
+    t = np.array([(weights * labels)[raw == v].sum() for v in order])
+    exact = [max(min(t[i : j + 1].sum() / n[i : j + 1].sum() for j in range(k, len(order))) for i in range(k + 1)) for k in range(len(order))]
+    rate = t.sum() / n.sum()
+    pools = [np.isclose(exact, want) for want in np.unique(np.round(exact, 12))]
+    smooth = [(t[p].sum() + rate) / (n[p].sum() + 1) for p in pools]
+    assert knots == pytest.approx([(order * n)[p].sum() / n[p].sum() for p in pools])
+    assert values == pytest.approx(np.maximum.accumulate(smooth))
 
 
 def test_toxicity(spark, awkward, nothing):
@@ -91,7 +118,7 @@ def test_toxicity(spark, awkward, nothing):
     found = {r.doc_id: r for r in score_toxicity(table.drop("label"), labelled).collect()}
     right = [(found[i].predicted == label) for i, _, label in rows]
     assert sum(right) / len(right) > 0.97
-    assert found[0].evidence and found[0].evidence[0].cosine > 0.5 and found[1].evidence == []
+    assert found[0].evidence[0].cosine > 0.5 and found[0].evidence[0].toxic == 1 and found[1].evidence[0].toxic == 0
     odd = score_toxicity(awkward, labelled).collect()
     assert len(odd) == awkward.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in odd)
     assert score_toxicity(nothing, labelled).count() == 0
@@ -99,7 +126,64 @@ def test_toxicity(spark, awkward, nothing):
 
 
 def toxicity_terms(text):
-    return Counter(f for chunk in text.split() for f in features(chunk))
+    """Words and their parts of five letters, each once per word."""
+    return Counter(f for w in re.findall(r"[^\W\d_]+", (text or "").lower()) for f in {"|" + w, *(w[i : i + 5] for i in range(len(w) - 4))})
+
+
+def test_terms_of_texts(awkward):
+    texts = [r.text or "" for r in awkward.collect()]
+    table = np.sort(np.unique(np.concatenate([term_counts([t])[0] for t in texts])))
+    starts, terms, counts = text_vectors(texts, table)
+    for i, text in enumerate(texts):
+        part = slice(starts[i], starts[i + 1])
+        assert (np.diff(terms[part]) > 0).all() and sorted(counts[part].tolist()) == sorted(toxicity_terms(text).values())
+    assert text_vectors(["", ""], table)[0].tolist() == [0, 0, 0] and text_vectors([], table)[0].tolist() == [0]
+
+
+def test_votes_by_brute_force(spark):
+    draw = random.Random(9)
+    rows = []
+    for i in range(90):
+        text = words(i % 70, 12) + [draw.choice(["vilezz", "foulzz", "finezz"])]
+        rows.append((i, " ".join(text), int(text[-1] != "finezz" and draw.random() < 0.8)))
+    asked = [(1000 + i, " ".join(words(200 + i, 6) + words(i, 6) + ["vilezz"] * (i % 2))) for i in range(20)]
+    found = {r.doc_id: r for r in score_toxicity(spark.createDataFrame(asked, "doc_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string, label int")).collect()}
+    docs = [toxicity_terms(t) for _, t in asked]
+    distinct = {(label, t) for _, t, label in rows}
+    known, toxic = Counter(f for _, t in distinct for f in toxicity_terms(t)), Counter(f for label, t in distinct if label for f in toxicity_terms(t))
+    base = sum(label for label, _ in distinct) / len(distinct)
+
+    def factor(f):
+        chi = (toxic[f] - known[f] * base) ** 2 / (known[f] * base * (1 - base))
+        return (math.log((1 + len(docs)) / (1 + sum(f in d for d in docs))) + 0.1) * ((chi / (chi + 30)) ** 2 + 0.01)
+
+    factors = {f: factor(f) for f in known}
+
+    def unit(text):
+        v = {f: (1 + math.log(c)) * factors[f] for f, c in toxicity_terms(text).items() if f in factors}
+        return {f: w / math.sqrt(sum(x * x for x in v.values())) for f, w in v.items()}
+
+    examples: dict = {}
+    for _, text, label in rows:
+        examples.setdefault(text, []).append(label)
+    vectors = [(unit(text), labels) for text, labels in examples.items()]
+
+    def raw(mine, others):
+        near = sorted(((round(sum(w * o.get(f, 0) for f, w in mine.items()), 12), n) for n, (o, _) in enumerate(others)), key=lambda e: (-e[0], e[1]))
+        near = [(c, others[n][1]) for c, n in near if c > 0]
+        places, above, below = NEIGHBOURS, 0.0, 0.0
+        for cosine, labels in near:
+            n = min(places, len(labels))
+            weight = (cosine / near[0][0]) ** 2 * n
+            places, above, below = places - n, above + weight * sum(labels) / len(labels), below + weight
+        return above / below
+
+    own = [raw(v, vectors[:i] + vectors[i + 1 :]) for i, (v, _) in enumerate(vectors)]
+    knots, values = calibration(np.array(own), np.array([sum(x) / len(x) for _, x in vectors]), np.array([float(len(x)) for _, x in vectors]))
+    for i, text in asked:
+        want = raw(unit(text), vectors)
+        assert found[i].raw == pytest.approx(want, abs=1e-9)
+        assert found[i].score == pytest.approx(np.interp(want, knots, values), abs=1e-6)
 
 
 def test_toxicity_has_neighbours_for_all_texts(spark, awkward, nothing):
