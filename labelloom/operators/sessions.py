@@ -165,6 +165,22 @@ def stage_timings(frames: DataFrame) -> DataFrame:
     )
 
 
+def gap_sessions(frames: DataFrame, gap: str = "10 seconds", ts: str = "ts") -> DataFrame:
+    """Runs of frames of a session with less than *gap* between neighbours, in batch or as a stream.
+
+    Columns session_id, start_us, end_us (of the first and last frame), frames,
+    avg_confidence. Spark merges runs by their borders, in each task before the shuffle,
+    so no run of frames is sorted in one place. A stream needs a watermark on *ts*; a run is put
+    out once the watermark has passed its end by the gap.
+    """
+    runs = frames.groupBy("session_id", F.session_window(ts, gap).alias("run")).agg(
+        F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("frames"), F.avg("confidence").alias("avg_confidence")
+    )
+    return runs.select(
+        "session_id", F.unix_micros("first").alias("start_us"), F.unix_micros("last").alias("end_us"), "frames", "avg_confidence"
+    )
+
+
 # --- debounce ----------------------------------------------------------------
 #
 # A frame is emitted unless the last emitted label is the same and less than the

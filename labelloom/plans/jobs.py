@@ -13,10 +13,12 @@ from labelloom import vocab
 from labelloom.functions.geometry import geometric_dim, raw_keypoints, to_pixels, with_geometric_vector
 from labelloom.functions.names import algorithm_name, primary_metric
 from labelloom.functions.pixels import HogSettings, with_hog
-from labelloom.functions.quality import apply_quality_flags
+from labelloom.functions.quality import apply_quality_flags, is_filtered_family
 from labelloom.functions.scoring import prediction_confidence
 from labelloom.operators import classifiers, coverage, domains, errors, leaderboards, metrics, sessions, splits
-from labelloom.operators.matrices import extracted, hybrid_join, repaired_labels, rows_of_family, sidecar, sync_labels
+from labelloom.operators.matrices import (
+    exclude_invalid, extracted, hybrid_join, repaired_labels, rows_of_family, sidecar, sync_labels, valid,
+)
 from labelloom.operators.telemetry import runtime_summary
 from labelloom.session import materialize
 from labelloom.sources import tables
@@ -381,6 +383,13 @@ def robustness_tables(
     }
 
 
+def left_out_rows(matrix: DataFrame, domain: str) -> DataFrame:
+    """Rows of a domain that are scored and rows left out as failed or without a vector: domain, kept, left_out."""
+    usable = (~is_filtered_family(F.col("feature_family")) | valid(matrix)) & F.col("vector_inline").isNotNull()
+    kept = F.count_if(F.coalesce(usable, F.lit(False)))
+    return matrix.agg(kept.alias("kept"), (F.count(F.lit(1)) - kept).alias("left_out")).select(F.lit(domain).alias("domain"), "kept", "left_out")
+
+
 def robustness_run(
     model: classifiers.Trained,
     in_domain: DataFrame,
@@ -397,9 +406,14 @@ def robustness_run(
 ) -> dict[str, DataFrame]:
     """Score both domains with one model and compare them.
 
-    With *output*, all tables and the run record are written below it. The in-domain test rows are scored; if none match, all in-domain rows are.
+    Rows of failed extractions or without a vector are left out and counted per domain in
+    `left_out`. The in-domain test rows are scored; if none match, all in-domain rows are.
+    The run record also has the seconds of scoring, all and per row. With *output*, all
+    tables and the run record are written below it.
     """
     spark = in_domain.sparkSession
+    left_out = left_out_rows(in_domain, IN_DOMAIN).unionByName(left_out_rows(ood, OOD))
+    in_domain, ood = (exclude_invalid(rows).filter(F.col("vector_inline").isNotNull()) for rows in (in_domain, ood))
     train_labels, ood_labels = domains.labels_of(in_domain), domains.labels_of(ood)
     schema = domains.schema_compatibility(sidecar(in_domain), sidecar(ood), train_labels, ood_labels)
     compatible = bool(schema.select("compatible").first()[0])
@@ -413,12 +427,14 @@ def robustness_run(
             return errors.with_metadata_defaults(predicted, domain, name)
         return errors.with_metadata(predicted, manifest, domain, name)
 
+    begun = time.perf_counter()
     predictions = materialize(
         errors.all_predictions(
             scored(test, in_domain_manifest, IN_DOMAIN, names[0]), scored(ood, ood_manifest, OOD, names[1])
         ),
         "domain-predictions",
     )
+    seconds = time.perf_counter() - begun
     result = robustness_tables(
         predictions,
         train_labels=train_labels,
@@ -434,6 +450,10 @@ def robustness_run(
         "robustness.absolute_accuracy_drop": drop["absolute_accuracy_drop"],
         "robustness.relative_performance_retention": drop["relative_performance_retention"],
     }
+    n_scored = predictions.count()
+    numbers["inference_seconds"] = seconds
+    numbers["per_sample_inference_ms"] = seconds * 1000.0 / max(n_scored, 1)
+    numbers["n_scored"] = float(n_scored)
     shared = result["protocols"].filter("protocol = 'shared_subset' and domain = 'ood'").first()
     if shared:
         numbers["shared_subset.ood.accuracy"] = shared["accuracy"]
@@ -442,7 +462,7 @@ def robustness_run(
         algorithm=model.algorithm, feature_family=family, metrics=numbers,
         outputs={"metrics_path": f"{output}/metrics"} if output else {},
     )
-    result = {"predictions": predictions, "schema": schema, **result}
+    result = {"predictions": predictions, "schema": schema, "left_out": left_out, **result}
     if output:
         tables.write_predictions_csv(predictions, f"{output}/predictions")
         for name, table in result.items():

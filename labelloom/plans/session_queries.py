@@ -158,3 +158,18 @@ def fps_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = given.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), "ts")
     rows = with_micros(tumbling_fps(events, 3600), "window_start", "window_us")
     return rows.select("session_id", "window_us", "frames", r6("fps"))
+
+
+GAP = "12 hours"
+GAP_SESSIONS = f"""WITH {FRAMES}, cut AS (SELECT *, coalesce(us - lag(us) OVER w >= 43200000000, true)::BIGINT AS new FROM frames
+          WINDOW w AS (PARTITION BY session_id ORDER BY us, frame_id)),
+        runs AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY us, frame_id) AS run FROM cut)
+        SELECT session_id, min(us) AS start_us, max(us) AS end_us, count(*) AS frames, round(avg(confidence), 6) AS avg_confidence
+        FROM runs GROUP BY session_id, run"""
+
+
+@query("session_gaps", GAP_SESSIONS)
+def session_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of frames without a gap of half a day."""
+    frames = given.frames(spark, sf_dir).withColumn("ts", F.timestamp_micros("us"))
+    return sessions.gap_sessions(frames, GAP).select("session_id", "start_us", "end_us", big("frames"), r6("avg_confidence"))

@@ -9,6 +9,7 @@ from labelloom.functions.clock import with_micros
 from labelloom.operators import classifiers, sessions
 from labelloom.plans import jobs, stand_ins as given
 from labelloom.plans.registry import big, query, r6
+from labelloom.plans.session_queries import GAP, GAP_SESSIONS
 from labelloom.plans.sql_views import ACTIONS
 from labelloom.session import materialize, scratch_path
 from labelloom.streaming import live
@@ -167,3 +168,16 @@ def stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
         equal = equal & (F.abs(F.col(c) - F.col(f"_{c}")) < 1e-9)
     joined = rows.join(b, ["session_id", "frame_id"], "full")
     return joined.select("session_id", "frame_id", F.coalesce(equal, F.lit(False)).alias("equals_batch"), F.col("extraction_ok").alias("detected"))
+
+
+@query("stream_gaps", GAP_SESSIONS)
+def stream_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of frames as a stream with a watermark; a closing frame lets the last ones end."""
+    frames = given.frames(spark, sf_dir)
+    last = frames.agg(F.max("us")).first()[0] or 0
+    folder = scratch_path(spark, "stream-gaps")
+    frames.write.parquet(folder)
+    live.closing_frame(frames, last + 4 * given.DAY_US).write.mode("append").parquet(folder)
+    arriving = live.frame_stream(spark, folder, frames.schema).withColumn("ts", F.timestamp_micros("us"))
+    rows = live.drained(sessions.gap_sessions(arriving.withWatermark("ts", "1 day"), GAP), "stream-gaps-rows")
+    return rows.filter("session_id is not null").select("session_id", "start_us", "end_us", big("frames"), r6("avg_confidence"))
