@@ -19,7 +19,7 @@ from labelloom.llm.prefix_trie import prefix_trie
 from labelloom.llm.quality_rules import quality_rules
 from labelloom.llm.suffix_dedup import repeated_spans
 from labelloom.llm.token_files import read_token_files, token_folder, write_token_files
-from labelloom.llm.toxicity import score_toxicity
+from labelloom.llm.toxicity import labelled_sample, score_toxicity
 from labelloom.llm.whitening import whiten
 from labelloom.session import materialize
 
@@ -75,7 +75,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from three quarters of the labels."""
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
-    known = docs.select("doc_id", "text").join(labels.where(fold(4) != 2), "doc_id")
+    known = docs.select("doc_id", "text").join(F.broadcast(labelled_sample(labels.where(fold(4) != 2))), "doc_id")  # at most SAMPLE_ROWS rows
     return score_toxicity(docs, known).select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")
 
 
@@ -130,7 +130,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op11_prefix_trie",
     r"""WITH turns AS (
             SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS token,
-                   len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words, turn
+                   len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS words, turn
             FROM conversations WHERE conv_id IS NOT NULL),
         own AS (SELECT conv_id, list({'t': token, 'w': words} ORDER BY turn NULLS FIRST, token) AS turns FROM turns GROUP BY conv_id),
         sized AS (

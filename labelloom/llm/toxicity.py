@@ -336,6 +336,15 @@ def index_of(model: Broadcast) -> dict:
     return parts
 
 
+def labelled_sample(labels: DataFrame, id_col: str = "doc_id", label_col: str = "label", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The labels (with their id) that `score_toxicity` learns from: at most *sample_rows*, first in a hashed order.
+
+    So their texts can be looked up by a join that broadcasts these few rows, without a shuffle of texts.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    return known.orderBy(F.xxhash64(F.lit(7), id_col), id_col, label_col).limit(sample_rows)
+
+
 def score_toxicity(
     docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", sample_rows: int = SAMPLE_ROWS
 ) -> DataFrame:
