@@ -56,7 +56,10 @@ OTHER = len(SCRIPTS)
 
 @lru_cache(maxsize=1)
 def letters() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: its lower-case letter (0 if it is no letter or mark), and its script."""
+    """For each code point: its lower-case letter (0 if it is no letter or mark), and its script.
+
+    Marks may go on a word but are no letters.
+    """
     lower = np.zeros(0x110000, dtype=np.uint32)
     for c in range(0x110000):
         if unicodedata.category(chr(c))[0] in "LM":
@@ -69,6 +72,12 @@ def letters() -> tuple[np.ndarray, np.ndarray]:
     return lower, script
 
 
+@lru_cache(maxsize=1)
+def marks() -> np.ndarray:
+    """Which code points are marks."""
+    return np.array([unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)], dtype=bool)
+
+
 class Words:
     """The words (runs of letters) of some texts: where they are and the hashed triples around each letter."""
 
@@ -79,6 +88,14 @@ class Words:
         self.starts = np.concatenate([[0], np.cumsum(lengths)])
         small = lower[points]
         inside = small > 0
+        mark = marks()[points]
+        if mark.any():  # a run of marks alone is no word
+            runs = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+            bare = np.flatnonzero(np.add.reduceat(inside & ~mark, runs[0::2], dtype=np.int64) == 0)
+            change = np.zeros(len(points) + 1, dtype=np.int64)
+            change[runs[0::2][bare]] += 1
+            change[runs[1::2][bare]] -= 1
+            inside &= np.cumsum(change)[:-1] == 0
         edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
         self.begins, self.ends = edges[0::2], edges[1::2]
         self.owner = np.searchsorted(self.starts, self.begins, side="right") - 1

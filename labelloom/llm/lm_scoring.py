@@ -17,7 +17,8 @@ from labelloom.session import materialize
 MOST_SHARED = 500_000
 #: Distinct words that a task holds before it passes its counts on.
 MOST_HELD = 1_000_000
-EM_STEPS = 2
+#: Training ends when a step raises the log-likelihood of a training token by less than this.
+SETTLED = 0.01
 #: Weight, in pieces, of the vocabulary's own scores against the counts.
 PRIOR_PIECES = 1000.0
 #: Words of one length that are worked on together.
@@ -120,8 +121,8 @@ def lattice(rows: np.ndarray, vocab: Vocabulary, logs: np.ndarray, edges: list |
     return forward
 
 
-def expected_pieces(rows: np.ndarray, weights: np.ndarray, vocab: Vocabulary, logs: np.ndarray) -> np.ndarray:
-    """Expected number of each piece in the words, each counted *weights* times."""
+def expected_pieces(rows: np.ndarray, weights: np.ndarray, vocab: Vocabulary, logs: np.ndarray) -> tuple[np.ndarray, float]:
+    """Expected number of each piece in the words, each counted *weights* times, and their log-likelihood."""
     edges: list = []
     forward = lattice(rows, vocab, logs, edges)
     backward = np.full(forward.shape, -np.inf)
@@ -131,7 +132,7 @@ def expected_pieces(rows: np.ndarray, weights: np.ndarray, vocab: Vocabulary, lo
         inner = logs[piece] + backward[end, at]
         out += np.bincount(piece, weights=weights[at] * np.exp(forward[start, at] + inner - total[at]), minlength=vocab.pieces)
         backward[start, at] = np.logaddexp(backward[start, at], inner)
-    return out
+    return out, float((weights * total).sum())
 
 
 def word_logs(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, vocab: Vocabulary, logs: np.ndarray) -> np.ndarray:
@@ -202,31 +203,37 @@ def learn_pieces(words: DataFrame, texts: int, path: str) -> PieceModel:
     """Piece probabilities by expectation-maximisation over all training words (word, train).
 
     The start is the prior of the vocabulary. A step sends one number per piece of the
-    vocabulary to the driver.
+    vocabulary to the driver. Steps end when the likelihood has settled; it never falls but
+    for the prior's part, so they do end.
     """
     vocab = vocabulary(path)
-    logs, end = vocab.prior, 0.0
-    for _ in range(EM_STEPS):
+    logs, end, before = vocab.prior, 0.0, -np.inf
+    while True:
         shared = words.sparkSession.sparkContext.broadcast(logs)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known, total = vocabulary(path), 0.0
+            # behind the pieces: the log-likelihood and the number of words
+            known = vocabulary(path)
+            total = np.zeros(known.pieces + 2)
             for batch in batches:
                 data, begins, ends = packed_words(batch.column("word"))
                 weights = batch.column("train").to_numpy(zero_copy_only=False).astype(np.float64)
                 for some, rows in word_matrices(data, begins, ends):
-                    total = total + expected_pieces(rows, weights[some], known, shared.value)
-            if isinstance(total, np.ndarray):
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
+                    pieces, likelihood = expected_pieces(rows, weights[some], known, shared.value)
+                    total[:-2] += pieces
+                    total[-2:] += likelihood, weights[some].sum()
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
 
-        counts = np.zeros(vocab.pieces)
+        counts = np.zeros(vocab.pieces + 2)
         for row in words.where("train > 0").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
             counts[row["piece"]] = row["n"]
-        counts += PRIOR_PIECES * np.exp(vocab.prior)
+        (likelihood, seen), counts = counts[-2:], counts[:-2] + PRIOR_PIECES * np.exp(vocab.prior)
         total = counts.sum() + texts + 0.5
         logs, end = np.log(counts / total), float(np.log((texts + 0.5) / total))
-    return PieceModel(logs, end)
+        if likelihood - before < SETTLED * max(seen, 1.0):
+            return PieceModel(logs, end)
+        before = likelihood
 
 
 def score_texts(docs: DataFrame, learned, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

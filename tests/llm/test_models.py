@@ -46,10 +46,11 @@ def test_languages_and_spans(spark, awkward, nothing):
     model = train(spark.createDataFrame(known, "doc_id long, text string, lang string"))
     assert model.langs == ["de", "en", "ru"]
     mixed_text = english[0] + german[0] + russian[0]
-    tests = [(1, english[0]), (2, german[0]), (3, "Собака!"), (4, mixed_text), (5, "123 ..."), (6, None), (7, "漢字"), (8, "")]
+    tests = [(1, english[0]), (2, german[0]), (3, "Собака!"), (4, mixed_text), (5, "123 ..."), (6, None), (7, "漢字"), (8, ""), (10, "\u0301 \u0308\u0301!"), (11, "e\u0301 \u0301 the dog")]
     found = {r.doc_id: r for r in identify(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()}
     assert [found[i].lang_pred for i in (1, 2, 3, 5, 6, 8)] == ["en", "de", "ru", "und", "und", "und"]
     assert [s.lang for s in found[4].spans] == ["en", "de", "ru"] and found[4].spans[1].start == len(english[0])
+    assert (found[10].lang_pred, found[10].score, found[10].spans) == ("und", 0, []) and found[11].lang_pred == "en"
     assert found[5].score == 0 and found[6].spans == [] and found[7].lang_pred in model.langs and found[7].score == 0
     everything = identify(awkward, model).collect()
     assert len(everything) == awkward.count() and all(0 <= r.score <= 1 for r in everything)
@@ -271,7 +272,9 @@ def test_lattice_equals_recursion(vocab):
 
 def test_expected_pieces_cover_the_bytes(vocab):
     rows = np.array([list(b" running"), list(b" bananas")], dtype=np.uint8)
-    counts = expected_pieces(rows, np.array([2.0, 1.0]), vocab, vocab.prior)
+    counts, likelihood = expected_pieces(rows, np.array([2.0, 1.0]), vocab, vocab.prior)
+    forward = lattice(rows, vocab, vocab.prior)[-1]
+    assert likelihood == pytest.approx(2 * forward[0] + forward[1])
     lengths = np.zeros(vocab.pieces)
     stack = [(0, 0)]
     while stack:
