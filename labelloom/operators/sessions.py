@@ -49,7 +49,56 @@ def fit_chunk(
     return int(chunk_us)
 
 
-def with_carried_frames(frames: DataFrame, depth: int, chunk_us: int = 24 * HOUR_US) -> DataFrame:
+#: Frames of a session that form a chunk, and length of the slots by which they are counted.
+MOST_FRAMES = 100_000
+SLOT_US = 1_000_000
+
+
+def even_chunks(frames: DataFrame, max_frames: int = MOST_FRAMES, slot_us: int = SLOT_US) -> DataFrame:
+    """Frames with `chunk`: each session cut for itself where its frames reach the next *max_frames*.
+
+    Chunks of a session are numbered from 0 without gaps. Cuts are between slots, so a chunk
+    may exceed the number by the frames of one slot. Frames per slot are added up along each
+    session: slots are sorted by ranges, summed within a range, and the sums of the ranges are
+    added up per session, so no session is gathered. Frames find their chunk by session and
+    slot. If no session is larger than a chunk, all is chunk 0 after one count.
+    """
+    most = frames.groupBy("session_id").count().agg(F.max("count")).first()[0]
+    if most is None or most <= max_frames:
+        return frames.withColumn("chunk", F.lit(0).cast("bigint"))
+    slot = F.expr(f"us div {int(slot_us)}L - CAST(us < 0 AND us % {int(slot_us)}L <> 0 AS BIGINT)")
+    counts = frames.groupBy("session_id", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    ranged = materialize(
+        counts.repartitionByRange("session_id", "slot").withColumn("part", F.spark_partition_id()), "slot-counts"
+    )
+    inside = Window.partitionBy("part", "session_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per session and range that it crosses
+    earlier = Window.partitionBy("session_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("session_id", "part").agg(F.sum("n").alias("n")).select(
+        "session_id", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    )
+    slots = (
+        ranged.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+        .join(sums, ["session_id", "part"])
+        .select("session_id", "slot", F.expr(f"(before + within) div {int(max_frames)}").alias("_number"))
+    )
+    slots = materialize(slots, "slot-chunks")
+    # one row per chunk; a slot with more frames than a chunk leaves numbers out
+    dense = slots.groupBy("session_id", "_number").agg(F.lit(1).alias("one")).select(
+        "session_id", "_number", (F.row_number().over(Window.partitionBy("session_id").orderBy("_number")) - 1).cast("bigint").alias("chunk")
+    )
+    chunks = slots.join(dense, ["session_id", "_number"]).select("session_id", "slot", "chunk")
+    return frames.withColumn("slot", slot).join(chunks, ["session_id", "slot"]).select(*frames.columns, "chunk")
+
+
+def chunked(frames: DataFrame, chunk_us: int | None) -> DataFrame:
+    """Frames with `chunk`, by time or, without a length, by `even_chunks`."""
+    if chunk_us is None:
+        return even_chunks(frames)
+    return frames.withColumn("chunk", F.expr(f"us div {int(chunk_us)}L"))
+
+
+def with_carried_frames(frames: DataFrame, depth: int, chunk_us: int | None = 24 * HOUR_US) -> DataFrame:
     """Frames with `chunk`, plus copies of the *depth* frames before each chunk.
 
     Copies have `carried = true` and belong to the chunk they are carried into.
@@ -57,12 +106,12 @@ def with_carried_frames(frames: DataFrame, depth: int, chunk_us: int = 24 * HOUR
     the number of frames.
     """
     columns = frames.columns
-    chunked = frames.withColumn("chunk", F.expr(f"us div {int(chunk_us)}L"))
+    parts = chunked(frames, chunk_us)
     # Chunks are of bounded size, and Spark keeps *depth* frames of each per task
     # before it shuffles them.
     latest = Window.partitionBy("session_id", "chunk").orderBy(F.desc("us"), F.desc("frame_id"))
     tails = (
-        chunked.withColumn("_rank", F.row_number().over(latest))
+        parts.withColumn("_rank", F.row_number().over(latest))
         .filter(F.col("_rank") <= depth)
         .groupBy("session_id", "chunk")
         .agg(F.array_sort(F.collect_list(F.struct("us", "frame_id", *_rest(columns)))).alias("tail"))
@@ -76,7 +125,7 @@ def with_carried_frames(frames: DataFrame, depth: int, chunk_us: int = 24 * HOUR
         .select("session_id", "chunk", F.inline("past"))
         .select(*columns, "chunk", F.lit(True).alias("carried"))
     )
-    return chunked.select(*columns, "chunk", F.lit(False).alias("carried")).unionByName(carried)
+    return parts.select(*columns, "chunk", F.lit(False).alias("carried")).unionByName(carried)
 
 
 def _rest(columns: list[str]) -> list[str]:
@@ -101,7 +150,7 @@ def rolling_vote(
     window_size: int = 5,
     min_consensus_ratio: float = 0.6,
     confidence_threshold: float = 0.6,
-    chunk_us: int = 24 * HOUR_US,
+    chunk_us: int | None = 24 * HOUR_US,
 ) -> DataFrame:
     """Smoothed state of each frame over the last *window_size* frames.
 
@@ -135,7 +184,7 @@ def label_changes(voted: DataFrame) -> DataFrame:
     return voted.filter(~F.col("stable_label").eqNullSafe(F.col("previous_stable_label")))
 
 
-def frame_intervals(frames: DataFrame, chunk_us: int = 24 * HOUR_US) -> DataFrame:
+def frame_intervals(frames: DataFrame, chunk_us: int | None = 24 * HOUR_US) -> DataFrame:
     """Milliseconds since the frame before and the frame rate they imply.
 
     The first frame of a session has neither; equal times have no rate.
@@ -280,7 +329,8 @@ def states_after(facts: DataFrame, wait: int) -> DataFrame:
     """Debounce state after each chunk: (session_id, chunk, label, us).
 
     *facts* has session_id, chunk and the summary of the chunk, one row per chunk that has
-    frames. What chunks do is composed in doubling steps: after round r a row stands for
+    frames. A chunk whose number is not preceded begins anew, so numbers may only be missing
+    where no frame lies within the debounce time. What chunks do is composed in doubling steps: after round r a row stands for
     2^r chunks, or for all chunks before it if the state after it is known, and joins the row
     2^r chunks before. Only rows whose state is open are joined, on the key of one chunk, so
     no session is gathered however many chunks it has.
@@ -290,8 +340,7 @@ def states_after(facts: DataFrame, wait: int) -> DataFrame:
     def compose(first: pd.DataFrame, second: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([_composed(a, b, wait) for a, b in zip(first.to_dict("records"), second.to_dict("records"))])
 
-    # A chunk is at least as long as the debounce time, so a chunk begins anew if the one
-    # before has no frames, and also if that ends with another label.
+    # A chunk begins anew if there is none before it or that ends with another label.
     before = facts.select("session_id", (F.col("chunk") + 1).alias("chunk"), F.col("facts.label").alias("_label"))
     f = F.col("facts")
     anew = ~f["fixed"] & ~F.col("_label").eqNullSafe(f["first_label"])
@@ -310,7 +359,7 @@ def states_after(facts: DataFrame, wait: int) -> DataFrame:
 
 
 def debounce(
-    candidates: DataFrame, debounce_ms: float = 300.0, label: str = "stable_label", chunk_us: int = HOUR_US
+    candidates: DataFrame, debounce_ms: float = 300.0, label: str = "stable_label", chunk_us: int | None = HOUR_US
 ) -> DataFrame:
     """Flag `emitted` on candidate frames, with the debounce state kept per session.
 
@@ -319,7 +368,9 @@ def debounce(
     parallel.
     """
     wait = int(round(debounce_ms * 1000))
-    chunk_us = max(chunk_us, wait)  # the state before a chunk comes from at most the one before it
+    # chunks by time are at least as long as the debounce time, so that one without frames
+    # makes the next begin anew; even chunks have no gaps
+    chunk_us = chunk_us and max(chunk_us, wait)
 
     @F.pandas_udf(_SUMMARY)
     def summary(times: pd.Series, names: pd.Series) -> pd.DataFrame:
@@ -332,9 +383,8 @@ def debounce(
         return pd.Series([emission_flags(np.asarray(t), np.asarray(n), k, wait) for t, n, k in zip(times, names, known)])
 
     columns = candidates.columns
-    chunk = F.expr(f"us div {int(chunk_us)}L").alias("chunk")
     ordered = (
-        candidates.select("session_id", chunk, F.struct("us", "frame_id", *_rest(columns)).alias("_frame"))
+        chunked(candidates, chunk_us).select("session_id", "chunk", F.struct("us", "frame_id", *_rest(columns)).alias("_frame"))
         .groupBy("session_id", "chunk")
         .agg(F.array_sort(F.collect_list("_frame")).alias("frames"))
     )
@@ -379,7 +429,7 @@ def actions(
     debounce_ms: float = 300.0,
     dry_run: bool = True,
     enable_dispatch: bool = False,
-    chunk_us: int = HOUR_US,
+    chunk_us: int | None = HOUR_US,
 ) -> DataFrame:
     """Action row of each voted frame: what would be sent, and why not.
 

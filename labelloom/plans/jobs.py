@@ -6,7 +6,7 @@ import time
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom import vocab
@@ -17,7 +17,7 @@ from labelloom.functions.quality import apply_quality_flags, is_filtered_family
 from labelloom.functions.scoring import prediction_confidence
 from labelloom.operators import classifiers, coverage, domains, errors, leaderboards, metrics, sessions, splits
 from labelloom.operators.matrices import (
-    exclude_invalid, extracted, hybrid_join, repaired_labels, rows_of_family, sidecar, sync_labels, valid,
+    extracted, hybrid_join, repaired_labels, rows_of_family, sidecar, sync_labels, valid,
 )
 from labelloom.operators.telemetry import runtime_summary
 from labelloom.session import materialize
@@ -383,10 +383,17 @@ def robustness_tables(
     }
 
 
+def usable(matrix: DataFrame) -> Column:
+    """Rows with a vector that `exclude_invalid` keeps; a matrix without quality columns has no failed rows."""
+    there = F.col("vector_inline").isNotNull()
+    if not {"extraction_ok", "quality_flags", "feature_family"} <= set(matrix.columns):
+        return there
+    return there & F.coalesce(~is_filtered_family(F.col("feature_family")) | valid(matrix), F.lit(False))
+
+
 def left_out_rows(matrix: DataFrame, domain: str) -> DataFrame:
     """Rows of a domain that are scored and rows left out as failed or without a vector: domain, kept, left_out."""
-    usable = (~is_filtered_family(F.col("feature_family")) | valid(matrix)) & F.col("vector_inline").isNotNull()
-    kept = F.count_if(F.coalesce(usable, F.lit(False)))
+    kept = F.count_if(usable(matrix))
     return matrix.agg(kept.alias("kept"), (F.count(F.lit(1)) - kept).alias("left_out")).select(F.lit(domain).alias("domain"), "kept", "left_out")
 
 
@@ -413,7 +420,7 @@ def robustness_run(
     """
     spark = in_domain.sparkSession
     left_out = left_out_rows(in_domain, IN_DOMAIN).unionByName(left_out_rows(ood, OOD))
-    in_domain, ood = (exclude_invalid(rows).filter(F.col("vector_inline").isNotNull()) for rows in (in_domain, ood))
+    in_domain, ood = in_domain.filter(usable(in_domain)), ood.filter(usable(ood))
     train_labels, ood_labels = domains.labels_of(in_domain), domains.labels_of(ood)
     schema = domains.schema_compatibility(sidecar(in_domain), sidecar(ood), train_labels, ood_labels)
     compatible = bool(schema.select("compatible").first()[0])
@@ -503,8 +510,7 @@ def session_tables(
     enable_dispatch: bool = False,
 ) -> dict[str, DataFrame]:
     """Votes, actions and label changes of stored sessions."""
-    chunk = sessions.fit_chunk(frames, least_us=max(1_000_000, int(debounce_ms * 1000)))
-    voted = sessions.rolling_vote(frames, chunk_us=chunk, **dict(vote or {}))
+    voted = sessions.rolling_vote(frames, chunk_us=None, **dict(vote or {}))
     acted = sessions.actions(
         voted,
         dict(vocab.DEFAULT_KEYMAP if keymap is None else keymap),
@@ -512,7 +518,7 @@ def session_tables(
         debounce_ms=debounce_ms,
         dry_run=dry_run,
         enable_dispatch=enable_dispatch,
-        chunk_us=chunk,
+        chunk_us=None,
     )
     return {"votes": voted, "actions": acted, "changes": sessions.label_changes(voted)}
 

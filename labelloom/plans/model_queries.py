@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.operators import approximate, bayes, classifiers, matrices, metrics, neighbours, scaling, splits
+from labelloom.operators import approximate, bayes, classifiers, matrices, metrics, neighbours, scaling, splits, tuning
 from labelloom.plans import jobs, stand_ins as given
 from labelloom.plans.registry import big, query, r6
 from labelloom.plans.sql_views import MATRIX, SCORES, rounded, split
@@ -236,3 +236,25 @@ def robustness_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = result["protocols"].join(F.broadcast(result["left_out"]), "domain")  # two rows
     return rows.select("protocol", "domain", *[r6(c) for c in SCORES], big("n_samples"), r6("unknown_rate"), big("left_out"))
+
+
+_SMOOTHINGS = (0.0001, 0.01, 1.0)
+_TUNING = f"""WITH vecs AS (SELECT vec_id % 5 AS fold, vec_id, label::VARCHAR AS t, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+other AS (SELECT f.f AS fold, t, v FROM vecs, range(5) f(f) WHERE fold <> f.f),
+par AS (SELECT fold, t AS c, i, avg(v[i + 1]) AS m, var_pop(v[i + 1]) AS s FROM other, range(64) d(i) GROUP BY 1, 2, 3),
+prior AS (SELECT fold, t AS c, ln(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY fold)) AS lp FROM other GROUP BY 1, 2),
+ll AS (SELECT e.e, v.fold, vec_id, v.t, p.c, any_value(lp) - 0.5 * sum(ln(2 * pi() * (s + e.e)) + power(v[i + 1] - m, 2) / (s + e.e)) AS j
+       FROM vecs v JOIN par p USING (fold) JOIN prior q ON q.fold = p.fold AND q.c = p.c, (VALUES (0.0001::DOUBLE), (0.01), (1.0)) e(e) GROUP BY 1, 2, 3, 4, 5),
+best AS (SELECT e, fold, t, c AS y FROM (SELECT *, row_number() OVER (PARTITION BY e, vec_id ORDER BY j DESC, c) AS r FROM ll) WHERE r = 1),
+pc AS (SELECT e || '|' || fold AS grp, t, y, count(*) AS n FROM best GROUP BY 1, 2, 3),
+{metric_sql('pc', 'true', 'NULL')}
+SELECT split_part(grp, '|', 1)::DOUBLE AS var_smoothing, split_part(grp, '|', 2)::BIGINT AS fold, {rounded(*SCORES)}, n_samples FROM scores"""
+
+
+@query("tuning_scores", _TUNING)
+def tuning_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Naive Bayes with three smoothings over five folds, from one scan for all models."""
+    rows = given.vectors(spark, sf_dir)
+    folds = rows.select("sample_id", F.pmod(F.col("sample_id").cast("bigint"), F.lit(5)).alias("fold"))
+    scores = tuning.tuning_scores(rows, folds, _SMOOTHINGS)
+    return scores.select("var_smoothing", big("fold"), *[r6(c) for c in SCORES], big("n_samples"))

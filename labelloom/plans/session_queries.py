@@ -20,7 +20,7 @@ _INTERVALS = f"""{FRAMES}, gaps AS (
 
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = given.frames(spark, sf_dir)
-    return sessions.rolling_vote(frames, chunk_us=sessions.fit_chunk(frames), **given.VOTE)
+    return sessions.rolling_vote(frames, chunk_us=None, **given.VOTE)
 
 
 @query("rolling_vote", f"""WITH {VOTES} SELECT session_id, frame_id, stable_label, window_size, round(consensus_ratio, 6) AS consensus_ratio,
@@ -42,7 +42,7 @@ def label_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN frame_interval_ms > 0 THEN round(1000.0 / frame_interval_ms, 6) END AS fps FROM gaps""")
 def frame_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = given.frames(spark, sf_dir)
-    rows = sessions.frame_intervals(frames, sessions.fit_chunk(frames))
+    rows = sessions.frame_intervals(frames, None)
     return rows.select("session_id", "frame_id", r6("frame_interval_ms"), r6("fps"))
 
 
@@ -74,7 +74,7 @@ def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emission flags of the eligible frames with a mapped key."""
     _, key = sessions.mapped_key(F.col("stable_label"), given.KEYMAP, given.KEY_ALIASES)
     candidates = _votes(spark, sf_dir).filter(F.col("meets_confidence") & F.col("meets_consensus") & key.isNotNull())
-    rows = sessions.debounce(candidates, given.DEBOUNCE_MS, chunk_us=sessions.fit_chunk(given.frames(spark, sf_dir)))
+    rows = sessions.debounce(candidates, given.DEBOUNCE_MS, chunk_us=None)
     return rows.select("session_id", "frame_id", F.col("emitted").alias("would_emit"))
 
 

@@ -148,9 +148,9 @@ def stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     s = LIVE_SETTINGS
     voted = sessions.rolling_vote(
-        scored, s.window_size, s.min_consensus_ratio, s.confidence_threshold, sessions.fit_chunk(scored)
+        scored, s.window_size, s.min_consensus_ratio, s.confidence_threshold, None
     )
-    batch = sessions.actions(voted, dict(s.keymap), dict(s.aliases), debounce_ms=s.debounce_ms)
+    batch = sessions.actions(voted, dict(s.keymap), dict(s.aliases), debounce_ms=s.debounce_ms, chunk_us=None)
     folder, out, checkpoint = (scratch_path(spark, f"stream-live{part}") for part in ("", "-rows", "-checkpoint"))
     half = (samples.agg(F.max("frame_id")).first()[0] or 0) // 2
     for part in (samples.filter(F.col("frame_id") <= half), samples.filter(F.col("frame_id") > half)):

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.operators import approximate, bayes, classifiers, neighbours, scaling, splits
+from labelloom.operators import approximate, bayes, classifiers, matrices, neighbours, scaling, splits, tuning
 from labelloom.plans import jobs
 from labelloom.streaming import live
 
@@ -265,3 +265,42 @@ def test_probes_are_the_nearest_buckets():
         cost = {int(made.codes(x[i : i + 1])[0]) ^ flip: sum(margins[i, j] ** 2 for j in range(5) if flip >> j & 1) for flip in range(32)}
         order = sorted(cost.values())
         assert np.allclose([cost[c] for c in looked[i].tolist()], order[:7]) and np.isclose(bound[i], order[7])
+
+
+@pytest.mark.parametrize("scale", [False, True])
+def test_folds_at_once_equal_one_by_one(spark, scale):
+    rows = spark.createDataFrame(blobs(120, spread=3.0), ROWS)
+    folds = rows.select("sample_id", (F.substring("sample_id", 2, 9).cast("int") % 4).alias("fold"))
+    smoothings = [1e-9, 0.5]
+    got = {(r["var_smoothing"], r["fold"]): r for r in tuning.tuning_scores(rows, folds, smoothings, scale).collect()}
+    assert set(got) == {(s, f) for s in smoothings for f in range(4)}
+    for s in smoothings:
+        for f in range(4):
+            member = splits.fold_members(folds, f).withColumnRenamed("role", "split")
+            model = classifiers.train(splits.rows_of_split(rows, member, "train"), "naive_bayes", {"var_smoothing": s}, scale=scale)
+            scored = jobs.predict(model, splits.rows_of_split(rows, member, "val"))
+            right = scored.filter("true_label = predicted_label").count() / scored.count()
+            assert got[s, f]["accuracy"] == pytest.approx(right) and got[s, f]["n_samples"] == scored.count()
+    means = {s: sum(got[s, f]["f1_macro"] for f in range(4)) for s in smoothings}
+    assert tuning.best_candidate(tuning.tuning_scores(rows, folds, smoothings, scale)) == max(smoothings, key=lambda s: (means[s], -s))
+
+
+def test_folds_at_once_of_odd_tables(spark):
+    rows = spark.createDataFrame(blobs(9), ROWS)
+    one = rows.select("sample_id", F.lit(0).alias("fold"))
+    assert tuning.tuning_scores(rows, one, [0.1]).count() == 0  # nothing outside the only fold
+    assert tuning.best_candidate(tuning.tuning_scores(rows.limit(0), one, [0.1])) is None
+
+
+def test_failed_rows_are_left_out_and_counted(spark):
+    kind = "sample_id string, dataset_name string, gesture_label string, feature_family string, feature_version string, vector_path string, vector_inline array<double>, quality_flags map<string,boolean>, extraction_ok boolean, confidence double, source_families array<string>"
+    good = [(i, "d", label, "geometric", "v1", None, x, {}, True, 0.9, None) for i, label, x in blobs(30)]
+    bad = [("n1", "d", "A", "geometric", "v1", None, None, {}, True, 0.9, None), ("f1", "d", "B", "geometric", "v1", None, [0.0] * 6, {"detection_failed": True}, False, 0.1, None)]
+    matrix = spark.createDataFrame(good + bad, kind)
+    usable = matrices.exclude_invalid(matrix).filter("vector_inline is not null")
+    model = classifiers.train(usable, "naive_bayes")
+    result = jobs.robustness_run(model, matrix, matrix.filter("sample_id <> 'n1'"), family="geometric")
+    assert {(r["domain"], r["kept"], r["left_out"]) for r in result["left_out"].collect()} == {("in_domain", 30, 2), ("ood", 30, 1)}
+    assert result["predictions"].count() == 60
+    numbers = result["run"].first()["metrics"]
+    assert numbers["n_scored"] == 60 and numbers["inference_seconds"] > 0 and numbers["per_sample_inference_ms"] > 0

@@ -242,3 +242,44 @@ def test_disordered_stream_equals_batch(spark, tmp_path):
     found = spark.read.schema(live.OUTPUT).parquet(out).collect()
     assert {r["frame_id"]: (r["stable_label"], r["reason"]) for r in found} == expected(rows, 900)
     assert len(found) == len(rows) and dropped == [0, 0, 0, 7]
+
+
+def test_gap_sessions_in_batch_and_as_a_stream(spark, tmp_path):
+    rows = random_frames(14, n=200, step=900_000)
+    runs = {}
+    for session, _, us, _, c in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        mine = runs.setdefault(session, [])
+        if not mine or us - mine[-1][1] >= 2_000_000:
+            mine.append([us, us, 0, 0.0])
+        mine[-1][1:] = [us, mine[-1][2] + 1, mine[-1][3] + c]
+    want = {(s, a, b, n): total / n for s, mine in runs.items() for a, b, n, total in mine}
+    ts = F.timestamp_micros("us")
+    found = sessions.gap_sessions(spark.createDataFrame(rows, FRAMES).withColumn("ts", ts), "2 seconds").collect()
+    assert {tuple(r)[:4]: pytest.approx(r["avg_confidence"]) for r in found} == want
+    stream = stream_of(spark, [*rows, ("", -1, 10**10, "", 0.0)], tmp_path, 3).withColumn("ts", ts).withWatermark("ts", "5 seconds")
+    found = live.drained(sessions.gap_sessions(stream, "2 seconds"), "gaps").filter("session_id <> ''").collect()
+    assert {tuple(r)[:4]: pytest.approx(r["avg_confidence"]) for r in found} == want
+
+
+@pytest.mark.parametrize("most", [7, 40])
+def test_even_chunks_of_dense_and_sparse_sessions(spark, monkeypatch, most):
+    rows = random_frames(15, n=400, step=30_000, sticky=0.97) + [(f"sparse{i}", 1000 + i, i * 10**9, "palm", 0.9) for i in range(5)]
+    rows += [("burst", 2000 + i, -5_000_000 + i % 3, "palm", 0.9) for i in range(60)]  # a slot with more frames than a chunk
+    df = spark.createDataFrame(rows, FRAMES).repartition(4)
+    sizes = {}
+    for r in sessions.even_chunks(df, most, 100_000).collect():
+        sizes.setdefault(r["session_id"], {}).setdefault(r["chunk"], []).append((r["us"], r["frame_id"]))
+    assert sum(len(f) for chunks in sizes.values() for f in chunks.values()) == len(rows)
+    for session, chunks in sizes.items():
+        assert sorted(chunks) == list(range(len(chunks)))
+        for number in range(1, len(chunks)):
+            assert max(chunks[number - 1])[0] < min(chunks[number])[0]
+        slots = max(sum(1 for s, _, us, *_ in rows if s == session and us // 100_000 == u // 100_000) for name, _, u, *_ in rows if name == session)
+        assert all(len(f) < most + slots for f in chunks.values())
+    assert all(len(sizes[f"sparse{i}"]) == 1 for i in range(5)) and len(sizes["hot"]) > 3
+    # results don't depend on the cuts
+    monkeypatch.setattr(sessions.even_chunks, "__defaults__", (most, 100_000))
+    voted = sessions.rolling_vote(df, chunk_us=None, **SETTINGS)
+    acted = sessions.actions(voted, vocab.DEFAULT_KEYMAP, vocab.RUNTIME_LABEL_ALIASES, debounce_ms=900, chunk_us=None)
+    assert {r["frame_id"]: (r["stable_label"], r["reason"]) for r in acted.collect()} == expected(rows, 900)
+    assert sessions.even_chunks(df.limit(0)).count() == 0
