@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom import vocab
+from labelloom import schemas, vocab
 from labelloom.functions import geometry, labels, names, quality, vectors
 from labelloom.functions.pixels import prepare_frames, with_hog
 from labelloom.operators import coverage, domains, matrices, splits
@@ -14,7 +14,7 @@ from labelloom.plans import jobs, stand_ins as given
 from labelloom.plans.registry import big, query, r6
 from labelloom.plans.sql_views import LANDMARKS, MANIFEST, MATRIX, split
 from labelloom.session import scratch_path
-from labelloom.sources import images, tables
+from labelloom.sources import images, tables, versions
 
 # --- scans -------------------------------------------------------------------
 
@@ -129,6 +129,31 @@ def manifest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _manifest_facts(tables.read_manifest(spark, path))
 
 
+@query(
+    "matrix_versions",
+    f"""WITH {MATRIX}, every AS (SELECT 'geometric' AS feature_family, count(*) AS n FROM geo UNION ALL SELECT 'hog', count(*) FROM hog)
+        SELECT 'first' AS state, feature_family, n, 0::BIGINT AS relabelled FROM every
+        UNION ALL SELECT 'killed writer', feature_family, n, 0 FROM every
+        UNION ALL SELECT 'newest', feature_family, n, CASE WHEN feature_family = 'geometric' THEN n ELSE 0 END FROM every""",
+)
+def matrix_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix table in three states: committed, with a write that was never committed, with one part replaced."""
+    path = scratch_path(spark, "matrix-versions")
+    read = lambda state, number=None: versions.read_version(spark, path, schemas.FEATURE_MATRIX, number).withColumn("state", F.lit(state))
+    geometric, hog = (given.matrix(spark, sf_dir, family) for family in (given.GEOMETRIC, given.APPEARANCE))
+    first = versions.commit_parts(geometric.unionByName(hog), path)
+    states = [read("first", first)]
+    changed = geometric.withColumn("gesture_label", F.concat(F.lit("new "), "gesture_label"))
+    changed.write.partitionBy(*tables.MATRIX_KEYS).parquet(f"{path}/versions/never-committed")
+    states.append(read("killed writer", max(versions.commit_numbers(spark, path))))
+    versions.commit_parts(changed, path)
+    states.append(read("newest"))
+    rows = states[0].unionByName(states[1]).unionByName(states[2])
+    return rows.groupBy("state", "feature_family").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("gesture_label").startswith("new ")).alias("relabelled")
+    )
+
+
 @query(
     "matrix_append_read",
     f"""WITH {MATRIX}

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom import vocab
+from labelloom import schemas, vocab
 from labelloom.functions.geometry import geometric_dim, raw_keypoints, to_pixels, with_geometric_vector
 from labelloom.functions.names import algorithm_name, primary_metric
 from labelloom.functions.pixels import HogSettings, with_hog
@@ -21,7 +21,7 @@ from labelloom.operators.matrices import (
 )
 from labelloom.operators.telemetry import runtime_summary
 from labelloom.session import materialize
-from labelloom.sources import tables
+from labelloom.sources import tables, versions
 from labelloom.sources.images import index_dataset
 
 IN_DOMAIN, OOD = domains.IN_DOMAIN, domains.OOD
@@ -87,7 +87,15 @@ def write_manifest_reports(
 
 
 def sync_labels_job(spark: SparkSession, matrix_path: str, manifest: DataFrame) -> int:
-    """Bring the labels of a stored matrix up to its manifest; returns how many rows it knew."""
+    """Bring the labels of a stored matrix up to its manifest; returns how many rows it knew.
+
+    A table of versions gets a new version of all its parts in one commit.
+    """
+    if versions.commit_numbers(spark, matrix_path):
+        stored = versions.read_version(spark, matrix_path, schemas.FEATURE_MATRIX)
+        synced = materialize(sync_labels(stored, manifest), "synced-labels")
+        versions.commit_parts(synced.drop("updated"), matrix_path)
+        return synced.where("updated").count()
     synced = materialize(sync_labels(tables.read_matrix(spark, matrix_path, valid_only=False), manifest), "synced-labels")
     tables.replace_table(synced.drop("updated"), matrix_path)
     return synced.where("updated").count()

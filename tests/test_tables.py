@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from labelloom import schemas
 from labelloom.operators import coverage, matrices
-from labelloom.sources import tables
+from labelloom.plans import jobs
+from labelloom.sources import tables, versions
 
 
 def records(spark, *rows):
@@ -143,3 +144,45 @@ def test_session_document(spark):
     summary = events.groupBy("session_id").agg(F.max("frame_id").alias("last"))
     row = tables.session_document(events, summary, "/log").first()
     assert (row["event_count"], row["summary"], row["session_log"]) == (2, '{"last":2}', "/log")
+
+
+def test_versions_are_replaced_atomically(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "m")
+    read = lambda number=None: {r["sample_id"]: r["gesture_label"] for r in versions.read_version(spark, path, schemas.FEATURE_MATRIX, number).collect()}
+    ok = lambda *rows: records(spark, *[(i, label, family, [1.0], {}, True, 0.9) for i, label, family in rows])
+    assert read() == {} and versions.commit_numbers(spark, path) == []
+    assert versions.commit_parts(ok(("a", "x", "geometric"), ("b", "x", "hog")), path) == 1
+    # a writer that dies before its commit leaves the table as it was
+    with monkeypatch.context() as m:
+        m.setattr(versions, "publish", lambda *args: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            versions.commit_parts(ok(("a", "lost", "geometric")), path)
+    assert read() == {"a": "x", "b": "x"}
+    # a taken number is not overwritten; the other writer's part is kept
+    real, calls = versions.publish, []
+
+    def slow(spark_, path_, number, parts):
+        if not calls:
+            calls.append(number)
+            versions.commit_parts(ok(("b", "other", "hog")), path)
+        return real(spark_, path_, number, parts)
+
+    with monkeypatch.context() as m:
+        m.setattr(versions, "publish", slow)
+        assert versions.commit_parts(ok(("c", "y", "geometric")), path) == 3
+    assert calls == [2] and read() == {"c": "y", "b": "other"}
+    assert read(1) == {"a": "x", "b": "x"} and read(2) == {"a": "x", "b": "other"}
+    # a table may be rewritten from itself
+    stored = versions.read_version(spark, path, schemas.FEATURE_MATRIX)
+    assert versions.commit_parts(stored.withColumn("gesture_label", F.upper("gesture_label")), path) == 4
+    assert read() == {"c": "Y", "b": "OTHER"}
+    assert [tuple(r) for r in versions.commits(spark, path).orderBy("number").collect()] == [(1, 2, 1), (2, 2, 2), (3, 2, 2), (4, 2, 1)]
+
+
+def test_label_sync_of_versions(spark, tmp_path):
+    path = str(tmp_path / "m")
+    versions.commit_parts(records(spark, ("a", "old", "geometric", [1.0], {}, True, 0.9), ("b", "keep", "geometric", [1.0], {}, True, 0.9)), path)
+    manifest = spark.createDataFrame([("a", "new")], "sample_id string, gesture_label string")
+    assert jobs.sync_labels_job(spark, path, manifest) == 1
+    found = versions.read_version(spark, path, schemas.FEATURE_MATRIX)
+    assert {(r["sample_id"], r["gesture_label"]) for r in found.collect()} == {("a", "new"), ("b", "keep")}
