@@ -45,7 +45,8 @@ def test_run(spark, small):
 @pytest.mark.parametrize("name", sorted(queries.CHECKS))
 def test_query_equals_sql(spark, small, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{small}/documents.parquet')")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{small}/{table}.parquet')")
     result = con.execute(queries.CHECKS[name])
     theirs = rows_of([d[0] for d in result.description], result.fetchall())
     mine = queries.QUERIES[name](spark, small)
