@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelloom import schemas, vocab
@@ -89,6 +89,36 @@ def annotation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "annotation_documents",
+    """SELECT c_custkey // 5000 AS document, row_number() OVER (PARTITION BY c_custkey // 5000 ORDER BY c_custkey) - 1 AS position,
+              c_name || '} "' AS label, c_mktsegment AS segment, c_nationkey::VARCHAR AS nation FROM customer""",
+)
+def annotation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers written as JSON documents (lists of up to 5,000 records), read back in byte ranges."""
+    path = scratch_path(spark, "annotation-documents")
+    rows = given.table(spark, sf_dir, "customer").withColumn("document", F.floor(F.col("c_custkey") / 5000))
+    record = F.to_json(
+        F.struct(
+            F.concat("c_name", F.lit('} "')).alias("label"),
+            F.struct(F.array(F.struct("c_mktsegment")).alias("in"), F.lit("]{").alias("mark")).alias("segment"),
+            F.col("c_nationkey").alias("nation"),
+        )
+    )
+    in_order = Window.partitionBy("document").orderBy("c_custkey")
+    opening = F.when(F.row_number().over(in_order) == 1, "[").otherwise(",")
+    closing = F.when(F.lead("c_custkey").over(in_order).isNull(), "]").otherwise("")
+    rows.select("document", F.concat(opening, record, closing).alias("value")).write.partitionBy("document").text(path)
+    records = images.read_annotations(spark, [path])
+    return records.select(
+        F.regexp_extract("annotation_file", r"/document=(\d+)/", 1).cast("long").alias("document"),
+        "position",
+        F.col("record")["label"].alias("label"),
+        F.get_json_object(F.col("record")["segment"], "$.in[0].c_mktsegment").alias("segment"),
+        F.col("record")["nation"].alias("nation"),
+    )
+
+
 @query(
     "missing_files",
     f"""WITH {MANIFEST} SELECT sample_id, image_path FROM manifest WHERE n_chars >= 2000""",

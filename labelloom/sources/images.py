@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from labelloom import vocab
 from labelloom.functions.labels import sample_id
 from labelloom.operators.splits import cap_per_class, filter_labels, seeded_order
+from labelloom.sources.json_documents import split_records
 
 
 def list_images(spark: SparkSession, root: str) -> DataFrame:
@@ -148,22 +149,13 @@ _RECORD = T.MapType(T.StringType(), T.StringType())
 def read_annotations(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Records of annotation files as string maps: (record, annotation_file, position).
 
-    Each file is a JSON list of objects, an object of objects, or one object.
+    Each file is a JSON list of objects, an object of objects, or one object; files of
+    any size are read in byte ranges, see `split_records`. Records that can't be parsed
+    are left out.
     """
-    texts = spark.read.text(list(paths), wholetext=True).select(
-        _local(F.input_file_name()).alias("annotation_file"), F.trim("value").alias("text")
-    )
-    as_list = F.from_json("text", T.ArrayType(_RECORD))
-    as_map = F.from_json("text", T.MapType(T.StringType(), T.StringType()))
-    nested = F.forall(F.map_values(as_map), lambda v: F.ltrim(v).startswith("{"))
-    records = (
-        F.when(F.col("text").startswith("["), as_list)
-        .when(nested, F.transform(F.map_values(as_map), lambda v: F.from_json(v, _RECORD)))
-        .otherwise(F.array(as_map))
-    )
-    return texts.select("annotation_file", F.posexplode(records).alias("position", "record")).filter(
-        "record is not null"
-    )
+    return split_records(spark, paths).select(
+        _local(F.col("file")).alias("annotation_file"), "position", F.from_json("json", _RECORD).alias("record")
+    ).filter("record is not null")
 
 
 def _first_key(record: Column, keys: Sequence[str]) -> Column:

@@ -5,6 +5,7 @@ import pytest
 from labelloom.operators.coverage import duplicate_ids, missing_files
 from labelloom.operators.matrices import repaired_labels
 from labelloom.sources import images, tables
+from labelloom.sources.json_documents import split_records
 
 
 def touch(root, *paths):
@@ -74,6 +75,51 @@ def test_annotations(spark, tmp_path, as_object):
     assert only.count() == 1
 
 
+AWKWARD = [
+    {"file_name": "a}{.jpg", "label": 'say "hi\\\\" } ]', "nested": {"deep": [{"x": "}"}, {}]}, "n": None},
+    {"file_name": "\u00e9\u4e16 }, {", "label": "", "boxes": [[1, 2], [3]]},
+    {},
+    {"file_name": "end\\\\", "label": "}" * 300, "line": "one\ntwo"},
+]
+
+
+@pytest.mark.parametrize("block", [1500, 1 << 27])
+def test_documents_are_read_in_ranges(spark, tmp_path, block):
+    many = [{**AWKWARD[i % 4], "id": i} for i in range(60)]
+    documents = {
+        "list.json": many,
+        "pretty.json": many,
+        "members.json": {f'k"{i}': r for i, r in enumerate(many)},
+        "one.json": {"label": "a", "more": {"b": 1}, "list": [{"c": "}"}, 2]},
+        "mixed.json": {"first": {"b": 1}, "label": "z"},
+        "scalars.json": [1, "x{", {"label": "only"}, None, [2, 3]],
+        "none.json": [],
+        "nothing.json": {},
+    }
+    for name, value in documents.items():
+        text = json.dumps(value, indent=2 if name == "pretty.json" else None) + ("\n" if name in ("one.json", "list.json") else "")
+        (tmp_path / name).write_text(text)
+    (tmp_path / "blank.json").write_text(" \n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        paths = [str(tmp_path / n) for n in [*documents, "blank.json"]]
+        rows = split_records(spark, paths).collect()
+        parsed = {(r["annotation_file"].rsplit("/", 1)[1], r["position"]): r["record"] for r in images.read_annotations(spark, paths).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {}
+    for r in sorted(rows, key=lambda r: r["position"]):
+        got.setdefault(r["file"].rsplit("/", 1)[1], []).append(json.loads(r["json"]))
+    assert got == {
+        "list.json": many, "pretty.json": many, "members.json": many, "one.json": [documents["one.json"]],
+        "mixed.json": [documents["mixed.json"]], "scalars.json": [{"label": "only"}],
+    }
+    assert [r["position"] for r in sorted(rows, key=lambda r: r["position"]) if r["file"].endswith("/list.json")] == list(range(60))
+    assert parsed["list.json", 4]["label"] == AWKWARD[0]["label"] and json.loads(parsed["list.json", 4]["nested"]) == AWKWARD[0]["nested"]
+    assert parsed["members.json", 3]["id"] == "3" and parsed["scalars.json", 0] == {"label": "only"}
+
+
 def test_nested_annotation_file_is_found(spark, tmp_path):
     touch(tmp_path, "deep/a.jpg")
     (tmp_path / "deep" / "annotations_val.json").write_text(json.dumps([{"img": "deep/a.jpg", "class": "ok"}]))
