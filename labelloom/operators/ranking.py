@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.session import materialize
+
 # Broadcast hints are only given to tables proven to have at most this many rows.
 BROADCAST_ROWS = 200_000
 
@@ -105,48 +107,87 @@ def assign_by_quota(
     return clear.unionByName(ranked).select(*df.columns, passed.alias(output))
 
 
+# Distinct values of one group that one task ranks; larger groups are narrowed first.
+VALUES_IN_TASK = 100_000
+_BUCKETS = 1024
+
+
+def _kind(x: Column) -> Column:
+    """Class of a double, ascending: -inf, negative, zero, positive, inf, nan."""
+    infinite = F.abs(x) == float("inf")
+    return F.when(F.isnan(x), 3).otherwise(F.signum(x).cast("int") * F.when(infinite, 2).otherwise(1))
+
+
+def _bucket(x: Column, lo: Column, hi: Column) -> Column:
+    """Bucket of a value of the range from lo to hi (lo < hi), never falling as values rise.
+
+    Ranges that mix classes part by class, wide ones by the exponent, narrow ones evenly,
+    so a few dozen bits of sign, exponent and mantissa settle any range. The ends of a
+    range are never in one bucket.
+    """
+    wide = F.when(lo > 0, hi / lo).otherwise(lo / hi) > 4.0
+    even = (x - lo) / (hi - lo)
+    ln = lambda v: F.signum(v) * F.log(F.abs(v))
+    by_exponent = (ln(x) - ln(lo)) / (ln(hi) - ln(lo))
+    scaled = F.floor(F.when(wide, by_exponent).otherwise(even) * _BUCKETS).cast("int")
+    return F.when(_kind(lo) != _kind(hi), _kind(x)).otherwise(scaled)
+
+
 def exact_quantile(
-    df: DataFrame, keys: Sequence[str], value: str, q: float, output: str = "quantile"
+    df: DataFrame, keys: Sequence[str], value: str, q: float, output: str = "quantile", in_task: int = VALUES_IN_TASK
 ) -> DataFrame:
-    """Linearly interpolated quantile per group, exact and skew-proof.
+    """Linearly interpolated quantile per group (values as doubles), exact and skew-proof.
 
-    Equal values are counted first. Groups are then cut into order-preserving
-    value buckets; only the buckets that hold the two ranks next to the quantile
-    are looked at value by value.
+    Equal values are counted first. The range that holds the wanted rank of a group is
+    then narrowed by radix selection: its values are counted in up to 1,025 buckets
+    (combined before the shuffle), and the bucket with the rank is the next range, until
+    at most *in_task* distinct values are left, which are ranked one by one. Only counts
+    and ends of ranges are kept per group. Groups without a value have no row.
     """
-    x = F.col(value)
-    bucket = F.floor(F.signum(x) * F.log2(F.abs(x) + 1.0) * 1024).cast("bigint")
-    counted = (
-        df.filter(x.isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", bucket)
+    x = F.col("_x")
+    counted = materialize(
+        df.filter(F.col(value).isNotNull())
+        .select(*keys, (F.col(value).cast("double") + 0.0).alias("_x"))
+        .groupBy(*keys, "_x")
+        .agg(F.count(F.lit(1)).alias("_n")),
+        "quantile-counts",
     )
-    group = Window.partitionBy(*keys)
     rank = (F.col("_total") - 1) * F.lit(float(q))
-    hit = (
-        counted.groupBy(*keys, "_b")
-        .agg(F.sum("_n").alias("_in"))
-        .withColumn("_end", F.sum("_in").over(group.orderBy("_b")))
-        .withColumn("_total", F.sum("_in").over(group))
-        .withColumn("_lo", F.floor(rank).cast("bigint"))
-        .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_total") - 1))
-        .withColumn("_before", F.col("_end") - F.col("_in"))
-        .filter((F.col("_lo") < F.col("_end")) & (F.col("_hi") >= F.col("_before")))
-        .withColumn("_w", rank - F.col("_lo"))
-        .select(*keys, "_b", "_before", "_lo", "_hi", "_w")
+    columns = ["_total", "_at", "_w", "_before", "_lo", "_hi", "_above", "_values"]
+    states = (
+        counted.groupBy(*keys)
+        .agg(F.sum("_n").alias("_total"), F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(F.lit(1)).alias("_values"))
+        .withColumns({
+            "_at": F.floor(rank).cast("bigint"), "_w": rank - F.floor(rank),
+            "_before": F.lit(0).cast("bigint"), "_above": F.lit(None).cast("double"),
+        })
+        .select(*keys, *columns)
     )
-    running = Window.partitionBy(*keys, "_b").orderBy(value)
-    values = (
-        counted.join(hit, [*keys, "_b"])
+    in_range = x.between(F.col("_lo"), F.col("_hi"))
+    large = F.col("_values") > in_task
+    while not states.filter(large).isEmpty():
+        bucket = _bucket(x, F.col("_lo"), F.col("_hi"))
+        counts = (
+            counted.join(states.filter(large), list(keys)).filter(in_range)
+            .groupBy(*keys, "_total", "_at", "_w", "_before", "_above", bucket.alias("_b"))
+            .agg(F.sum("_n").alias("_in"), F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(F.lit(1)).alias("_values"))
+        )
+        in_order = Window.partitionBy(*keys).orderBy("_b")
+        narrowed = (
+            counts.withColumn("_end", F.col("_before") + F.sum("_in").over(in_order))
+            .withColumn("_above", F.coalesce(F.lead("_lo").over(in_order), F.col("_above")))
+            .withColumn("_before", F.col("_end") - F.col("_in"))
+            .filter((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_end")))
+        )
+        states = materialize(states.filter(~large).unionByName(narrowed.select(*keys, *columns)), "quantile-ranges")
+    running = Window.partitionBy(*keys).orderBy("_x")
+    ranked = (
+        counted.join(states, list(keys)).filter(in_range)
         .withColumn("_end", F.col("_before") + F.sum("_n").over(running))
         .withColumn("_start", F.col("_end") - F.col("_n"))
     )
-
-    def at(name: str) -> Column:
-        here = (F.col(name) >= F.col("_start")) & (F.col(name) < F.col("_end"))
-        return F.max(F.when(here, x))
-
-    low, high = at("_lo"), at("_hi")
-    weight = F.max("_w")
-    return values.groupBy(*keys).agg((low * (1 - weight) + high * weight).alias(output))
+    at = lambda r: F.max(F.when((r >= F.col("_start")) & (r < F.col("_end")), x))
+    low, weight = at(F.col("_at")), F.max("_w")
+    # The next rank may lie just above the range.
+    high = F.coalesce(at(F.col("_at") + 1), F.max("_above"), low)
+    return ranked.groupBy(*keys).agg(F.when(weight == 0, low).otherwise(low * (1 - weight) + high * weight).alias(output))

@@ -125,6 +125,30 @@ def test_quantile_equals_sorted_interpolation(spark, data, q):
         assert got[g] == pytest.approx(values[low] * (1 - (rank - low)) + values[high] * (rank - low), abs=1e-6)
 
 
+@pytest.mark.parametrize("q", [0.37, 1.0])
+def test_quantile_by_radix_rounds(spark, q):
+    """Ranges of all kinds narrowed down to two values at most."""
+    rnd = random.Random(4)
+    groups = {
+        "tails": [rnd.choice([-1, 1]) * 10.0 ** rnd.uniform(-300, 300) for _ in range(150)],
+        "close": [1.0 + i * 2.0**-52 for i in range(90)],
+        "negative": [-rnd.expovariate(1.0) for _ in range(120)] + [-0.5] * 40,
+        "ends": [float("-inf"), float("inf"), 0.0, -0.0, 5e-324, -5e-324, 1.0],
+        "one": [3.0],
+    }
+    rows = [(g, x) for g, values in groups.items() for x in values]
+    df = spark.createDataFrame([*rows, ("one", None), ("empty", None)], "g string, x double")
+    got = {r["g"]: r["quantile"] for r in ranking.exact_quantile(df, ["g"], "x", q, in_task=2).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        values = sorted(values)
+        rank = (len(values) - 1) * q
+        low = int(rank)
+        weight = rank - low
+        expected = values[low] if weight == 0 else values[low] * (1 - weight) + values[low + 1] * weight
+        assert got[g] == pytest.approx(expected, rel=1e-15), g
+
+
 def test_top_n_with_hot_group(spark):
     rnd = random.Random(1)
     rows = [(i, "hot" if i % 3 else "cold", rnd.random()) for i in range(500)]
