@@ -8,7 +8,7 @@ from labelloom.llm.bpe import bpe_encode
 from labelloom.llm.common import documents
 from labelloom.llm.exact_dedup import drop_exact_duplicates
 from labelloom.llm.jaccard_join import drop_near_duplicates
-from labelloom.llm.mixing import mix_sources, repeat_by_copies
+from labelloom.llm.mixing import mixed_documents
 from labelloom.llm.quality_rules import keep_good
 from labelloom.llm.queries import vocabulary
 from labelloom.session import materialize
@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents left out or repeated so that every source meets its target."""
-    return repeat_by_copies(mix_sources(docs), docs.columns)
+    return mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

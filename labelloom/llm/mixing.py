@@ -161,14 +161,17 @@ def group_copies(histogram: DataFrame, tilts: DataFrame) -> DataFrame:
     return copies
 
 
-def mix_sources(
+ADDED = ("size", "source_size", "target", "rate", "copies", "taken")
+
+
+def mixed_rows(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
     size_col: str | None = None, weights: tuple[int, ...] = (1, 2, 3),
 ) -> DataFrame:
-    """Documents with the number of copies that brings every source to its target.
+    """Documents, each as a struct `row`, with the number of copies that brings every source to its target.
 
-    All columns stay, and size, source_size, target, rate, copies and taken
-    (copies * size) are added; columns of these names are replaced. Size is the number
+    Beside the row, whose columns may have any names, there are size, source_size,
+    target, rate, copies and taken (copies * size). Size is the number
     of words, or *size_col* if given. See `source_targets` for the targets, `balance`
     for the rates and `group_copies` for the rounding. Documents of one source and
     size share a rate; who of them gets a copy more is decided by rank in a hashed
@@ -178,7 +181,6 @@ def mix_sources(
     Null texts and empty texts have size 0 and stay once. A null source is a source of
     its own, last in order. An empty table gives an empty result.
     """
-    added = ("size", "source_size", "target", "rate", "copies", "taken")
     size = F.col(size_col).cast("long") if size_col else word_count(text_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).alias("size"), F.col(id_col).alias("id"))
     part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
@@ -205,13 +207,19 @@ def mix_sources(
     place = F.col("before") + F.col("rank")
     share = lambda k: F.floor(k * F.col("copies") / F.col("n")).cast("long")
     own = share(place) - share(place - 1)
-    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added]
     return placed.select(
-        *kept, F.col("size"), F.col("source_size").cast("long").alias("source_size"), "target", "rate",
+        "row", F.col("size"), F.col("source_size").cast("long").alias("source_size"), "target", "rate",
         own.alias("copies"), (own * F.col("size")).alias("taken"),
     )
 
 
-def repeat_by_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of a mix, each as often as its copies say."""
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[f"`{c}`" for c in columns])
+def mix_sources(docs: DataFrame, *args, **options) -> DataFrame:
+    """The columns of the documents and those that `mixed_rows` adds, which replace columns of their names."""
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ADDED]
+    return mixed_rows(docs, *args, **options).select(*kept, *ADDED)
+
+
+def mixed_documents(docs: DataFrame, *args, **options) -> DataFrame:
+    """The documents of a mix, each as often as its copies say, with their own columns as they were."""
+    rows = mixed_rows(docs, *args, **options).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

@@ -173,8 +173,10 @@ def write_token_files(
     Documents are dealt out by ranges of ascending id; each range becomes one Arrow file
     of fixed-size lists: its ids in order, end_id after each document, packed without
     gaps into equal sequences, the last one padded and masked. Ids are stored as 16-bit
-    numbers if the vocabulary allows. A file appears under its name when it is whole, so
-    a repeated task replaces it. *path* is a URI that all executors reach.
+    numbers if the vocabulary allows. A file appears under its name when it is whole; a
+    repeated task writes another one, and the index names only files whose rows it holds
+    (others below *path* belong to no row). Rows of one id, and those without, are in the
+    order of a hash of their texts, so reruns agree. *path* is a URI that all executors reach.
 
     The index, itself written to the shared folder, has a row per document: doc_id, file,
     position (in the file), n_tokens (with the end), start (ids of all documents before
@@ -188,7 +190,9 @@ def write_token_files(
         encode, size = word_encoder(vocabulary)
         kind, dtype = (pa.uint16(), np.uint16) if size <= 1 << 16 else (pa.uint32(), np.uint32)
         part = TaskContext.get().partitionId()
-        name = f"{path}/ids-{part:06d}.arrow"
+        # each attempt writes a file of its own; the index names the one whose rows it holds
+        own = f"ids-{part:06d}-{TaskContext.get().taskAttemptId()}.arrow"
+        name = f"{path}/{own}"
         writer = sink = None
         position = 0
         for rows_of in batches:
@@ -196,7 +200,7 @@ def write_token_files(
                 if writer is None:
                     system, place = fs.FileSystem.from_uri(path)
                     system.create_dir(place, recursive=True)
-                    partial = f"{place}/.ids-{part:06d}-{TaskContext.get().taskAttemptId()}"
+                    partial = f"{place}/.{own}"
                     sink = system.open_output_stream(partial)
                     writer = SequenceWriter(sink, kind, sequence, batch)
                 ids = [np.append(np.frombuffer(x, dtype="<u4"), np.uint32(end_id)).astype(dtype) for x in encode(block.column("text").to_pylist())]
@@ -212,10 +216,10 @@ def write_token_files(
         if writer is not None:
             writer.close()
             sink.close()
-            system.move(partial, f"{place}/ids-{part:06d}.arrow")
+            system.move(partial, f"{place}/{own}")
 
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     index = materialize(ordered.mapInArrow(write, f"doc_id {kind_of_id}, file string, part long, position long, n_tokens long"), "token-index")
     # one row per file
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from labelloom.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
-from labelloom.llm.mixing import MOST_COPIES, mix_sources, repeat_by_copies
+from labelloom.llm.mixing import MOST_COPIES, mix_sources, mixed_documents
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -68,9 +68,11 @@ def test_mix_sources(spark, awkward, nothing):
         assert 0 <= r.copies <= MOST_COPIES and r.taken == r.copies * r.size
         taken[r.source] += r.taken
     assert sorted(map(str, mix_sources(awkward).select("doc_id", "text", "copies").collect())) == sorted(map(str, mixed.select("doc_id", "text", "copies").collect()))
-    repeated = repeat_by_copies(mixed, awkward.columns)
+    repeated = mixed_documents(awkward)
     assert repeated.columns == awkward.columns and repeated.count() == sum(r.copies for r in rows)
-    assert mix_sources(nothing).count() == 0
+    # columns named like those of the mix (here: size) come out as they were
+    assert set(map(tuple, repeated.collect())) <= set(map(tuple, awkward.collect()))
+    assert mix_sources(nothing).count() == 0 and mixed_documents(nothing).count() == 0
 
 
 def test_mix_meets_targets_with_capped_sources(spark):

@@ -36,6 +36,13 @@ def test_stages_equal_brute_force(spark, awkward):
     assert corpus_pipeline.encode(spark, mixed, "").count() == mixed.count()
 
 
+def test_stages_on_an_empty_table(spark, nothing):
+    rows = nothing
+    for _, stage in corpus_pipeline.STAGES:
+        rows = materialize(stage(spark, rows, ""), "test")
+        assert rows.count() == 0
+
+
 def test_run(spark, small):
     found = corpus_pipeline.run(spark, small)
     assert {"doc_id", "n_tokens", "ids"} <= set(found.columns)

@@ -73,3 +73,16 @@ def test_token_files(spark, awkward, nothing, sequence, batch):
         assert sum(sum(m) for m in table["mask"].to_pylist()) == sum(r.n_tokens for r in mine)
         assert file.sequence_at(0).tolist() == table["ids"][0].as_py()
     assert read_token_files(write_token_files(nothing, token_folder(spark), WORDS)).count() == 0
+
+
+def test_token_files_keep_the_order_of_one_id(spark):
+    """Rows of one id, or without, get the same places however they arrive; a second run leaves the first one's files alone."""
+    rows = [(5 if i % 3 else None, " ".join(["word"] * (i % 11)) + f" {i}") for i in range(60)]
+    folder, runs = token_folder(spark), []
+    for n, order in ((1, rows), (4, rows[::-1])):
+        index = write_token_files(spark.createDataFrame(order, "doc_id long, text string").repartition(n), folder, WORDS, sequence=16, batch=4)
+        runs.append((index, sorted((r.start, r.n_tokens, r.ids_crc32) for r in read_token_files(index).collect())))
+    assert runs[0][1] == runs[1][1]
+    assert sorted((r.start, r.n_tokens, r.ids_crc32) for r in read_token_files(runs[0][0]).collect()) == runs[0][1]
+    files = [{r.file for r in index.select("file").distinct().collect()} for index, _ in runs]
+    assert not files[0] & files[1]
