@@ -8,13 +8,15 @@ until the watermark has passed, so that frames may arrive in any order within th
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from itertools import islice
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -54,8 +56,10 @@ class LiveSettings:
     idle_ms: int | None = None
 
 
-#: Length of the pieces of time in which frames wait for the watermark.
-SLICE_US = 60_000_000
+#: Frames of a session that wait for the watermark as one value of the state store.
+PIECE_FRAMES = 2_000
+#: Arriving frames of a session that are sorted at a time.
+ARRIVING_FRAMES = 50_000
 #: Frames whose windows are compared at a time.
 _FRAMES = 50_000
 
@@ -79,18 +83,18 @@ def _votes(codes: np.ndarray, confidences: np.ndarray, size: int) -> tuple[np.nd
     return tuple(np.concatenate(parts) for parts in zip(*out))
 
 
-def act_on_frames(session: str, frames: pd.DataFrame, state: tuple, s: LiveSettings) -> tuple[pd.DataFrame, tuple]:
-    """Action rows of ordered frames (frame_id, us, label, confidence) of a session, and its new state."""
+def act_on_columns(ids: Sequence[int], times: Sequence[int], labels: Sequence[str], confidences: Sequence[float], state: tuple, s: LiveSettings) -> tuple[dict, tuple]:
+    """Columns of the action rows of ordered frames of a session (labels and confidences not null), and its new state."""
     past_labels, past_confidences, last_label, last_us, stable = state
     keep = s.window_size - 1
     past_labels, past_confidences = list(past_labels)[len(past_labels) - min(keep, len(past_labels)) :], list(past_confidences)[len(past_confidences) - min(keep, len(past_confidences)) :]
-    labels = frames["label"].fillna("").to_numpy(dtype=object)
-    confidences = frames["confidence"].fillna(0.0).to_numpy(dtype=np.float64)
-    us = frames["us"].to_numpy(dtype=np.int64)
-    codes, names = pd.factorize(np.concatenate([np.array(past_labels, dtype=object), labels]))
+    labels, us = list(labels), np.array(times, dtype=np.int64)
+    places: dict[str, int] = {}
+    codes = [places.setdefault(n, len(places)) for n in past_labels + labels]
+    names = np.array(list(places), dtype=object)
     missing = keep - len(past_labels)
-    codes = np.concatenate([np.full(missing, -1), codes])
-    known = np.concatenate([np.zeros(missing), np.array(past_confidences, dtype=np.float64), confidences])
+    codes = np.array([-1] * missing + codes)
+    known = np.concatenate([np.zeros(missing), past_confidences, confidences])
     winner, votes, size, mean = _votes(codes, known, s.window_size)
     ratio = votes / size
 
@@ -98,9 +102,9 @@ def act_on_frames(session: str, frames: pd.DataFrame, state: tuple, s: LiveSetti
     normalized = np.array([s.aliases.get(k, k) for k in keys], dtype=object)
     mapped = np.array([s.keymap.get(n) or s.keymap.get(w) for n, w in zip(normalized, names)], dtype=object)
     has_key = np.array([m is not None for m in mapped], dtype=bool)
-    eligible = (mean >= s.confidence_threshold) & (ratio >= s.min_consensus_ratio) & (np.asarray(names, dtype=object)[winner] != "")
+    winners = names[winner]
+    eligible = (mean >= s.confidence_threshold) & (ratio >= s.min_consensus_ratio) & (winners != "")
     candidate = np.flatnonzero(eligible & has_key[winner])
-    winners = np.asarray(names, dtype=object)[winner]
     fires = np.zeros(len(us), dtype=bool)
     last = None if last_us is None else (last_label, last_us)
     fires[candidate] = emission_flags(us[candidate], winners[candidate], last, int(round(s.debounce_ms * 1000)))
@@ -111,17 +115,22 @@ def act_on_frames(session: str, frames: pd.DataFrame, state: tuple, s: LiveSetti
     live = s.enable_dispatch and not s.dry_run
     sent = "dispatched" if live else ("dry_run" if s.dry_run else "dispatch_disabled")
     before = np.concatenate([[stable], winners[:-1]])
-    out = pd.DataFrame(
-        {
-            "session_id": session, "frame_id": frames["frame_id"].to_numpy(), "us": us, "label": labels, "confidence": confidences,
-            "stable_label": winners, "consensus_ratio": ratio, "avg_confidence": mean, "window_size": size,
-            "label_changed": winners != before, "normalized_gesture_label": normalized[winner],
-            "mapped_key": np.where(fires, mapped[winner], None), "would_emit": fires, "emitted": fires & live,
-            "reason": np.where(fires, sent, np.where(eligible & ~has_key[winner], "unmapped_gesture", "not_eligible")),
-        }
-    )
+    out = {
+        "frame_id": ids, "us": us, "label": labels, "confidence": confidences,
+        "stable_label": winners, "consensus_ratio": ratio, "avg_confidence": mean, "window_size": size,
+        "label_changed": winners != before, "normalized_gesture_label": normalized[winner],
+        "mapped_key": np.where(fires, mapped[winner], None), "would_emit": fires, "emitted": fires & live,
+        "reason": np.where(fires, sent, np.where(eligible & ~has_key[winner], "unmapped_gesture", "not_eligible")),
+    }
     labels, known = [*past_labels, *labels][-s.window_size :], known[-min(s.window_size, len(known) - missing) :]
-    return out, (list(labels), known.tolist(), last_label, last_us, winners[-1])
+    return out, (labels, known.tolist(), last_label, last_us, winners[-1])
+
+
+def act_on_frames(session: str, frames: pd.DataFrame, state: tuple, s: LiveSettings) -> tuple[pd.DataFrame, tuple]:
+    """Action rows of ordered frames (frame_id, us, label, confidence) of a session, and its new state."""
+    labels, confidences = frames["label"].fillna("").tolist(), frames["confidence"].fillna(0.0).to_numpy(dtype=np.float64)
+    out, state = act_on_columns(frames["frame_id"].to_numpy(), frames["us"].to_numpy(dtype=np.int64), labels, confidences, state, s)
+    return pd.DataFrame({"session_id": session, **out}), state
 
 
 class SessionProcessor(StatefulProcessor):
@@ -147,10 +156,15 @@ class SessionProcessor(StatefulProcessor):
 class OrderedProcessor(StatefulProcessor):
     """Votes, debounces and maps the frames of one session in the order of their times.
 
-    Frames wait in a map from pieces of time to their frames. An event-time timer at the first
-    waiting frame calls when the watermark has passed it; all frames up to the watermark
-    then go through the same step as in `SessionProcessor`. A frame that comes before one
-    that has gone through is put out with the reason `late` and changes nothing.
+    Frames wait in pieces of at most PIECE_FRAMES frames (more only of one time), each for a
+    range of times: the value of the session lists the times at which pieces begin, a map
+    holds their frames. A batch reads and writes the pieces that its frames fall into, so a
+    session with few frames costs a few calls of the state store however far apart they are. An
+    event-time timer at the first waiting frame calls when the watermark has passed it; all
+    frames up to the watermark then go piece by piece through the same step as in
+    `SessionProcessor`. A frame that comes before one that has gone through is put out with
+    the reason `late` and changes nothing. Frames without a time are left out. A row that is put
+    out holds the columns of a piece as arrays.
     """
 
     def __init__(self, settings: LiveSettings) -> None:
@@ -158,63 +172,89 @@ class OrderedProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("session", f"{STATE}, done_us bigint, done_id bigint")
+        self.state = handle.getValueState("session", f"{STATE}, done_us bigint, done_id bigint, starts array<bigint>, timer_ms bigint")
         self.waiting = handle.getMapState(
-            "waiting", "slice bigint", "frame_id array<bigint>, us array<bigint>, label array<string>, confidence array<double>"
+            "waiting", "start bigint", "us array<bigint>, frame_id array<bigint>, label array<string>, confidence array<double>"
         )
 
-    def _put(self, slice_: int, frames: pd.DataFrame) -> None:
-        self.waiting.updateValue((slice_,), tuple(frames[c].tolist() for c in ("frame_id", "us", "label", "confidence")))
-
-    def _pass(self, key: Any, watermark_ms: int) -> Iterator[pd.DataFrame]:
-        """Let through the frames up to the watermark and set the timer for the next ones."""
-        limit, ready, first = watermark_ms * 1000, [], None
-        for slice_ in sorted(k[0] for k in list(self.waiting.keys())):
-            if slice_ * SLICE_US > limit and first is not None:
-                break
-            frames = pd.DataFrame(dict(zip(("frame_id", "us", "label", "confidence"), self.waiting.getValue((slice_,)))))
-            over = frames["us"] > limit
-            if not over.all():
-                ready.append(frames[~over])
-                if over.any():
-                    self._put(slice_, frames[over])
-                else:
-                    self.waiting.removeKey((slice_,))
-            if over.any() and first is None:
-                first = int(frames.loc[over, "us"].min())
-        if first is not None:
-            self.handle.registerTimer(first // 1000 + 1)
-        if ready:
-            frames = pd.concat(ready, ignore_index=True).sort_values(["us", "frame_id"], kind="stable")
-            out, state = act_on_frames(key[0], frames, self.state.get()[:5] if self.state.exists() else ([], [], None, None, None), self.settings)
-            self.state.update((*state, int(frames["us"].iloc[-1]), int(frames["frame_id"].iloc[-1])))
-            yield out
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frames = pd.concat(list(rows), ignore_index=True)
-        frames["label"], frames["confidence"] = frames["label"].fillna(""), frames["confidence"].fillna(0.0)
-        if self.state.exists():
-            done_us, done_id = self.state.get()[5:7]
-            late = (frames["us"] < done_us) | ((frames["us"] == done_us) & (frames["frame_id"] <= done_id))
-            if late.any():
-                out = frames.loc[late, ["frame_id", "us", "label", "confidence"]].assign(session_id=key[0], reason="late", would_emit=False, emitted=False)
-                yield out.reindex(columns=COLUMNS)
-            frames = frames[~late]
-        for slice_, part in frames.groupby(frames["us"] // SLICE_US):
-            known = self.waiting.getValue((int(slice_),)) if self.waiting.containsKey((int(slice_),)) else None
-            if known is not None:
-                part = pd.concat([pd.DataFrame(dict(zip(("frame_id", "us", "label", "confidence"), known))), part])
-            self._put(int(slice_), part)
-        yield from self._pass(key, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield from self._pass(key, timerValues.getCurrentWatermarkInMs())
+    def _read(self, start: int) -> list[tuple]:
+        return list(zip(*self.waiting.getValue((start,))))
+
+    def _write(self, frames: list[tuple]) -> list[int]:
+        """Keep ordered frames as pieces of even size, cut between different times; where these begin."""
+        size = -(-len(frames) // -(-len(frames) // PIECE_FRAMES))
+        starts, low = [], 0
+        while low < len(frames):
+            high = min(low + size, len(frames))
+            while high < len(frames) and frames[high][0] == frames[high - 1][0]:
+                high += 1
+            starts.append(frames[low][0])
+            self.waiting.updateValue((frames[low][0],), tuple(list(c) for c in zip(*frames[low:high])))
+            low = high
+        return starts
+
+    def _put(self, starts: list[int], frames: list[tuple]) -> list[int]:
+        """Add arriving frames to the pieces of their times; where all pieces begin then."""
+        if not starts:
+            return self._write(sorted(frames))
+        parts: dict[int, list[tuple]] = {}
+        for frame in frames:
+            parts.setdefault(starts[max(bisect_right(starts, frame[0]) - 1, 0)], []).append(frame)
+        kept = set(starts)
+        for start, part in parts.items():
+            made = self._write(sorted(self._read(start) + part))
+            if start not in made:
+                self.waiting.removeKey((start,))
+                kept.remove(start)
+            kept.update(made)
+        return sorted(kept)
+
+    def _step(self, key: Any, rows: Iterator[Row], watermark_ms: int, fired_ms: int | None) -> Iterator[Row]:
+        """Take in arriving frames, let through those up to the watermark, set the timer for the next ones."""
+        *state, done_us, done_id, starts, timer_ms = self.state.get() or ([], [], None, None, None, None, None, [], None)
+        limit, starts = watermark_ms * 1000, list(starts)
+        while part := list(islice(rows, ARRIVING_FRAMES)):
+            frames = [(r.us, r.frame_id, r.label or "", r.confidence if r.confidence and r.confidence == r.confidence else 0.0) for r in part if r.us is not None]
+            late = [f for f in frames if done_us is not None and f[:2] <= (done_us, done_id)]
+            if late:
+                frames = [f for f in frames if f[:2] > (done_us, done_id)]
+                columns = {c: [None] * len(late) for c in COLUMNS[1:]} | dict(zip(("us", "frame_id", "label", "confidence"), map(list, zip(*late))))
+                never = [False] * len(late)
+                yield PIECE(key[0], *(columns | {"would_emit": never, "emitted": never, "reason": ["late"] * len(late)}).values())
+            if frames:
+                starts = self._put(starts, frames)
+        while starts and starts[0] <= limit:
+            start = starts.pop(0)
+            frames = self._read(start)
+            ready = bisect_right(frames, limit, key=lambda f: f[0])
+            self.waiting.removeKey((start,))
+            if ready < len(frames):
+                starts = self._write(frames[ready:]) + starts
+            us, ids, labels, confidences = map(list, zip(*frames[:ready]))
+            out, state = act_on_columns(ids, us, labels, confidences, state, self.settings)
+            done_us, done_id = us[-1], ids[-1]
+            yield PIECE(key[0], *(c if isinstance(c, list) else c.tolist() for c in out.values()))
+        next_ms = starts[0] // 1000 + 1 if starts else None
+        # the timer that has called is removed by Spark
+        if timer_ms not in (None, fired_ms, next_ms):
+            self.handle.deleteTimer(timer_ms)
+        if next_ms is not None and (next_ms != timer_ms or timer_ms == fired_ms):
+            self.handle.registerTimer(next_ms)
+        self.state.update((*state, done_us, done_id, starts, next_ms))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        yield from self._step(key, rows, timerValues.getCurrentWatermarkInMs(), None)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        yield from self._step(key, iter(()), timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
 
 
 COLUMNS = [part.split()[0] for part in OUTPUT.split(", ")]
+PIECE = Row(*COLUMNS)
+PIECES = ", ".join(f"{c} {t}" if c == "session_id" else f"{c} array<{t}>" for c, t in (part.split() for part in OUTPUT.split(", ")))
 
 
 def live_sessions(frames: DataFrame, settings: LiveSettings = LiveSettings()) -> DataFrame:
@@ -245,9 +285,10 @@ def ordered_sessions(frames: DataFrame, settings: LiveSettings = LiveSettings(),
     timed = frames.select("session_id", "frame_id", "us", "label", "confidence", F.timestamp_micros("us").alias("ts"))
     # the condition names ts, else it would be moved in front of the watermark
     timed = timed.withWatermark("ts", delay).filter(F.col("session_id").isNotNull() | F.col("ts").isNull())
-    return timed.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=OrderedProcessor(settings), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime",
+    pieces = timed.groupBy("session_id").transformWithState(
+        statefulProcessor=OrderedProcessor(settings), outputStructType=PIECES, outputMode="append", timeMode="eventTime",
     )
+    return pieces.select("session_id", F.inline(F.arrays_zip(*COLUMNS[1:])))
 
 
 def closing_frame(frames: DataFrame, us: int) -> DataFrame:

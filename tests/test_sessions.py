@@ -1,7 +1,9 @@
 import random
 import statistics
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from labelloom import vocab
@@ -283,3 +285,91 @@ def test_even_chunks_of_dense_and_sparse_sessions(spark, monkeypatch, most):
     acted = sessions.actions(voted, vocab.DEFAULT_KEYMAP, vocab.RUNTIME_LABEL_ALIASES, debounce_ms=900, chunk_us=None)
     assert {r["frame_id"]: (r["stable_label"], r["reason"]) for r in acted.collect()} == expected(rows, 900)
     assert sessions.even_chunks(df.limit(0)).count() == 0
+
+
+class StateInMemory:
+    """Value, map and timers of one session, with the number of calls."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.calls = None, {}, set(), 0
+
+    def getValueState(self, name, schema, ttl=None):
+        return self
+
+    def getMapState(self, name, key, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.map[key]
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
+
+    def run(self, processor, frames, watermark_ms):
+        """Rows of one micro-batch: the arriving frames, then the timers that the watermark has passed."""
+        values = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark_ms)
+        rows = list(processor.handleInputRows(("s",), iter([Row(**f) for f in frames]), values)) if frames else []
+        for ms in sorted(t for t in self.timers if t <= watermark_ms):
+            if ms in self.timers:
+                rows += processor.handleExpiredTimer(("s",), values, SimpleNamespace(getExpiryTimeInMs=lambda ms=ms: ms))
+                self.timers.remove(ms)
+        return [dict(zip(live.COLUMNS[1:], row)) for piece in rows for row in zip(*piece[1:])]
+
+
+def frames_of(rows):
+    return [dict(zip(("frame_id", "us", "label", "confidence"), r[1:])) for r in rows]
+
+
+def test_waiting_frames_far_apart_cost_few_calls_of_the_state():
+    """As many calls for frames a day apart as for those of one second."""
+    rows = [("s", i, (i + 1) * 86_400_000_000, "palm", 0.9) for i in range(300)]
+    state, processor = StateInMemory(), live.OrderedProcessor(live.LiveSettings(**SETTINGS))
+    processor.init(state)
+    assert state.run(processor, frames_of(rows), 0) == []
+    assert state.calls <= 2
+    out = state.run(processor, [], 10**12)
+    assert [r["frame_id"] for r in out] == list(range(300)) and state.calls <= 6
+    assert not state.map and not state.timers
+
+
+@pytest.mark.parametrize("size", [3, 11, 10_000])
+def test_pieces_of_waiting_frames_keep_the_order(monkeypatch, size):
+    monkeypatch.setattr(live, "PIECE_FRAMES", size)
+    monkeypatch.setattr(live, "ARRIVING_FRAMES", 2 * size)
+    rows = [("s", *r[1:]) for r in random_frames(16, n=400)]
+    rows += [("s", 1000 + i, rows[50][2], "palm", 0.9) for i in range(9)]  # one time with more frames than a piece
+    rnd = random.Random(17)
+    arrived = sorted(rows, key=lambda r: r[2] + rnd.randrange(5_000_000))
+    state, processor = StateInMemory(), live.OrderedProcessor(live.LiveSettings(**SETTINGS, debounce_ms=900))
+    processor.init(state)
+    out, watermark = [], 0
+    for low in range(0, len(arrived), 30):
+        part = arrived[low : low + 30]
+        out += state.run(processor, frames_of(part), watermark)
+        watermark = max(watermark, max(r[2] for r in part) // 1000 - 5_000)
+        out += state.run(processor, [], watermark)
+        assert len(state.timers) == bool(state.map)
+        assert all(len(set(piece[0])) == 1 or len(piece[0]) <= size + 9 for piece in state.map.values())
+    out += state.run(processor, [], 10**9)
+    assert [(r["us"], r["frame_id"]) for r in out] == sorted((r[2], r[1]) for r in rows)
+    assert {r["frame_id"]: (r["stable_label"], r["reason"]) for r in out} == expected(rows, 900)
+    late = state.run(processor, frames_of(rows[:3]), 10**9)
+    assert [r["reason"] for r in late] == ["late"] * 3 and not state.map
