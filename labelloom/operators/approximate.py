@@ -27,6 +27,8 @@ SAMPLE_ROWS = 4_096
 SAMPLE_QUERIES = 256
 #: Mean rows of a bucket, and rows of a part of a bucket that meet in one task with a part of its queries.
 BUCKET_ROWS = 1_024
+#: Rows whose comparison with a query takes as long as one more copy of the query and its results.
+PROBE_ROWS = 1_000
 PART_ROWS = 8_192
 PART_QUERIES = 5_000
 #: Cuts that a query may cross, those nearest to it; their subsets are the probes.
@@ -74,12 +76,14 @@ class Buckets:
 def fit_buckets(
     train: DataFrame, k: int = 5, *, recall: float = 0.95, bucket_rows: int = BUCKET_ROWS, sample_rows: int = SAMPLE_ROWS, seed: int = 42
 ) -> Buckets:
-    """Buckets whose probes find the *k* nearest rows with about the given recall.
-
-    Fitted on at most *sample_rows* rows (those first in a hashed order). The number of
-    probes doubles until the nearest rows within the sample, which lie farther away than
-    those among all rows, are found; if all subsets of the nearest cuts don't suffice, there
-    are fewer cuts. With few cuts all buckets are probed and the search is exact.
+    """Buckets whose probes find the *k* nearest rows with about the given recall, at the least work.
+
+    Fitted on at most *sample_rows* rows (those first in a hashed order). For each number of
+    cuts, up to buckets of *bucket_rows* rows, the number of probes doubles until the nearest
+    rows within the sample, which lie farther away than those among all rows, are found.
+    A probe costs a copy of the query as well as the rows of the bucket: of the choices that
+    reach the recall, the one with the least of both is taken. Rows that no cuts part, so that
+    nearly all buckets would be probed, stay in few buckets; with none the search is exact.
     """
     n = train.count()
     first = train.select("sample_id", F.col("vector").cast("array<double>").alias("vector")).orderBy(F.xxhash64(F.lit(seed), "sample_id"), "sample_id").limit(sample_rows)
@@ -95,21 +99,19 @@ def fit_buckets(
     square[queries, queries] = np.inf
     near = np.argsort(square, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
     cuts = min(MOST_CUTS, dims, max(0, math.ceil(math.log2(max(n, 1) / bucket_rows))))
-    while True:
-        directions = basis[:, :cuts]
+    best, least = Buckets(basis[:, :0], np.zeros(0), 1, 1.0), n + PROBE_ROWS
+    for some in range(1, cuts + 1):
+        directions = basis[:, :some]
         made = Buckets(directions, np.median(x @ directions, axis=0), 1, 1.0)
         codes = made.codes(x)
-        most = 1 << min(cuts, MOST_CROSSED)
-        probes = 1
-        while True:
+        probes, most, each = 1, 1 << min(some, MOST_CROSSED), n / (1 << some) + PROBE_ROWS
+        while probes <= most and probes * each < least:
             looked, _ = made.probed(x[queries], probes)
             found = (codes[near][:, :, None] == looked[:, None, :]).any(axis=2).mean() if near.size else 1.0
             if found >= recall:
-                return Buckets(directions, made.cuts, probes, float(found))
-            if probes == most:
-                break
-            probes = min(most, probes * 2)
-        cuts -= 1
+                best, least = Buckets(directions, made.cuts, probes, float(found)), probes * each
+            probes *= 2
+    return best
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -159,7 +161,7 @@ def nearest_approximate(queries: DataFrame, train: DataFrame, k: int = 5, bucket
     def dealt(df: DataFrame, own: str, n_own: str, other: str, n_other: str, key: str) -> DataFrame:
         """Rows in their own part of a bucket, once for each part of the other side."""
         return (
-            df.join(plan, "code")
+            df.join(F.broadcast(plan), "code")
             .withColumn(own, F.pmod(F.xxhash64(key), F.col(n_own)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
             .drop("parts", "shares")

@@ -304,3 +304,15 @@ def test_failed_rows_are_left_out_and_counted(spark):
     assert result["predictions"].count() == 60
     numbers = result["run"].first()["metrics"]
     assert numbers["n_scored"] == 60 and numbers["inference_seconds"] > 0 and numbers["per_sample_inference_ms"] > 0
+
+
+def test_rows_that_no_cuts_part_stay_in_few_buckets(spark):
+    """Where nearly all of many buckets would be probed, each query is copied to few of them."""
+    draw = np.random.default_rng(8)
+    rows = [(f"r{i:05d}", "x", v) for i, v in enumerate(draw.normal(size=(3000, 32)).tolist())]
+    train = spark.createDataFrame(rows, "sample_id string, label string, vector array<double>").repartition(4)
+    buckets = approximate.fit_buckets(train, bucket_rows=64)
+    assert buckets.probes <= 2 and buckets.estimated_recall >= 0.95
+    queries = train.filter("sample_id like 'r%00'").select("sample_id", "vector")
+    found = approximate.nearest_approximate(queries, train, 5, buckets)
+    assert approximate.recall_against(found, neighbours.nearest(queries, train, 5)) >= 0.9
