@@ -193,3 +193,19 @@ def test_hog_from_image_files(spark, tmp_path):
     row = extract_features(samples, "hog").first()
     assert row["extraction_ok"] and row["quality_flags"] == {"landmark_crop_fallback": True}
     np.testing.assert_allclose(row["vector_inline"], brute_hog(picture.astype(float)), atol=1e-9)
+
+
+def test_descriptors_of_many_images_equal_those_one_by_one_and_weights_are_kept(monkeypatch):
+    draw = np.random.default_rng(3)
+    settings, known, made = pixels.HogSettings(), {}, []
+    linear = pixels._linear_weights
+    monkeypatch.setattr(pixels, "_linear_weights", lambda *sizes: made.append(sizes) or linear(*sizes))
+    sides = (5, 17, 64, 17, 63, 5)
+    images = [draw.integers(0, 256, (side, 64, 1), dtype=np.uint8) for side in sides]
+    boxes = [(0, 0, side, side) for side in sides]
+    lumas = [pixels.luma(i, b, settings.crop, known) for i, b in zip(images, boxes)]
+    assert sorted(made) == [(5, 64), (17, 64), (63, 64)]
+    for image, box, luma in zip(images, boxes, lumas):
+        np.testing.assert_allclose(luma, pixels.grey(pixels.crop_and_resize(pixels.three_channels(image), box, settings.crop)), atol=1e-12)
+    many = pixels.hogs(np.stack(lumas), settings)
+    np.testing.assert_array_equal(many, [pixels.hog(luma, settings) for luma in lumas])
