@@ -8,12 +8,12 @@ and `probability` (array in the order of `classes`).
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import asdict, dataclass
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -26,14 +26,14 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom import vocab
 from labelloom.functions.names import algorithm_name
 from labelloom.functions.vectors import softmax
 from labelloom.operators import bayes, neighbours
-from labelloom.operators.arrow_scores import with_scores
+from labelloom.operators.arrow_scores import blocks, with_scores
 from labelloom.operators.scaling import scale_parameters, scaled
 from labelloom.session import materialize
 
@@ -55,17 +55,20 @@ class FourierKernel:
         rng = np.random.default_rng(self.seed)
         weights = rng.normal(0.0, np.sqrt(2.0 * self.gamma), (self.dim, self.width))
         shift = rng.uniform(0.0, 2.0 * np.pi, self.width)
-        return np.sqrt(2.0 / self.width) * np.cos(x @ weights + shift)
-
-    def column(self, vector: Column) -> Column:
-        """Features of an array column."""
-        kernel = self
-
-        @F.pandas_udf("array<double>")
-        def features(vectors: pd.Series) -> pd.Series:
-            return pd.Series(list(kernel.features(np.vstack(vectors.to_numpy()))))
-
-        return features(vector)
+        out = x @ weights
+        out += shift
+        np.cos(out, out=out)
+        out *= np.sqrt(2.0 / self.width)
+        return out
+
+    def batches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Labels and features of batches of labels and vectors, put out in blocks of few rows."""
+        for batch in batches:
+            for block in blocks(batch):
+                x = block.column(1).flatten().to_numpy(zero_copy_only=False).reshape(block.num_rows, -1)
+                offsets = pa.array(np.arange(len(x) + 1) * self.width, pa.int32())
+                features = pa.ListArray.from_arrays(offsets, pa.array(self.features(x).ravel()))
+                yield pa.RecordBatch.from_arrays([block.column(0), features], names=["label", "features"])
 
 
 @dataclass(frozen=True)
@@ -345,7 +348,8 @@ def _train_svm(
     if str(hp.get("kernel", "rbf")) == "rbf":
         gamma = _kernel_width(indexed, hp.get("gamma", "scale"), dim)
         kernel = FourierKernel(gamma, dim, int(hp.get("num_features", 512)), seed)
-        indexed = indexed.withColumn("features", array_to_vector(kernel.column(F.col(VECTOR))))
+        indexed = indexed.select("label", VECTOR).mapInArrow(kernel.batches, "label double, features array<double>")
+        indexed = indexed.withColumn("features", array_to_vector("features"))
     # The optimizer passes over the rows many times per class.
     rows = indexed.select("features", "label").persist()
     fitted = build_estimator("svm", hp, seed, n_train).setFeaturesCol("features").fit(rows)

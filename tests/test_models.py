@@ -1,6 +1,10 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelloom.operators import approximate, bayes, classifiers, matrices, neighbours, scaling, splits, tuning
 from labelloom.plans import jobs
@@ -316,3 +320,23 @@ def test_rows_that_no_cuts_part_stay_in_few_buckets(spark):
     queries = train.filter("sample_id like 'r%00'").select("sample_id", "vector")
     found = approximate.nearest_approximate(queries, train, 5, buckets)
     assert approximate.recall_against(found, neighbours.nearest(queries, train, 5)) >= 0.9
+
+
+def test_features_and_scores_are_made_in_small_blocks():
+    """A batch of any size gives the same rows, with few of the wide features at a time."""
+    draw = np.random.default_rng(9)
+    kernel = classifiers.FourierKernel(0.1, 6, 32)
+    x = draw.normal(size=(5000, 6))
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(5001) * 6, pa.int32()), pa.array(x.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(5000.0)), vectors], names=["label", "vector_inline"])
+    out = list(kernel.batches(iter([batch.slice(0, 0), batch.slice(7, 2500), batch.slice(2507)])))
+    assert max(b.num_rows for b in out) <= 1024
+    table = pa.Table.from_batches(out)
+    assert table.column("label").to_pylist() == list(range(7, 5000))
+    got = np.array(table.column("features").to_pylist())
+    np.testing.assert_allclose(got, kernel.features(x[7:]), atol=1e-12)
+    shown = []
+    machine = classifiers.LinearScores(("a", "b"), draw.normal(size=(2, 32)), np.zeros(2), kernel)
+    mapper = SimpleNamespace(schema=T.StructType(), mapInArrow=lambda score, schema: shown.extend(score(iter([batch]))))
+    machine.transform(mapper)
+    assert max(b.num_rows for b in shown) <= 1024 and sum(b.num_rows for b in shown) == 5000
