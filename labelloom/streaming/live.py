@@ -3,7 +3,8 @@
 Sessions are spread over the cluster by key. State per session is the last few frames, the
 last emission and the last stable label. `live_sessions` takes the frames of a session in
 the order of their arrival, sorted within a micro-batch; `ordered_sessions` holds them back
-until the watermark has passed, so that frames may arrive in any order within the delay.
+until the watermark has passed, so that frames may arrive in any order within the delay, and
+deals the sessions to lanes, whose sessions share the calls of the state store.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
-from itertools import islice
+from itertools import accumulate, groupby, islice, repeat
+from operator import itemgetter
 from typing import Any
 
 import numpy as np
@@ -56,10 +58,14 @@ class LiveSettings:
     idle_ms: int | None = None
 
 
-#: Frames of a session that wait for the watermark as one value of the state store.
+#: Keys of the state store that the sessions of a stream in event-time order are dealt to.
+LANES = 1_024
+#: Frames of a lane that wait for the watermark as one value of the state store.
 PIECE_FRAMES = 2_000
-#: Arriving frames of a session that are sorted at a time.
+#: Arriving frames of a lane that are sorted at a time.
 ARRIVING_FRAMES = 50_000
+#: Frames of a lane that go through the step at a time, and at most a piece more.
+THROUGH_FRAMES = 20_000
 #: Frames whose windows are compared at a time.
 _FRAMES = 50_000
 
@@ -83,19 +89,30 @@ def _votes(codes: np.ndarray, confidences: np.ndarray, size: int) -> tuple[np.nd
     return tuple(np.concatenate(parts) for parts in zip(*out))
 
 
-def act_on_columns(ids: Sequence[int], times: Sequence[int], labels: Sequence[str], confidences: Sequence[float], state: tuple, s: LiveSettings) -> tuple[dict, tuple]:
-    """Columns of the action rows of ordered frames of a session (labels and confidences not null), and its new state."""
-    past_labels, past_confidences, last_label, last_us, stable = state
+def act_on_sessions(sizes: Sequence[int], ids: Sequence[int], times: Sequence[int], labels: Sequence[str], confidences: Sequence[float], states: Sequence[tuple], s: LiveSettings) -> tuple[dict, list[tuple]]:
+    """Columns of the action rows of the ordered frames of some sessions (labels and confidences not null), and their new states.
+
+    The frames of a session follow those of the one before it; *sizes* has the number of each.
+    """
     keep = s.window_size - 1
-    past_labels, past_confidences = list(past_labels)[len(past_labels) - min(keep, len(past_labels)) :], list(past_confidences)[len(past_confidences) - min(keep, len(past_confidences)) :]
-    labels, us = list(labels), np.array(times, dtype=np.int64)
+    ids, labels, confidences, us = list(ids), list(labels), list(confidences), np.array(times, dtype=np.int64)
+    ends = np.cumsum(sizes)
     places: dict[str, int] = {}
-    codes = [places.setdefault(n, len(places)) for n in past_labels + labels]
+    codes: list[int] = []
+    known: list[float] = []
+    firsts: list[int] = []  # where the known frames of a session begin; those missing in front are -1
+    for low, high, (past_labels, past_confidences, *_) in zip((ends - sizes).tolist(), ends.tolist(), states, strict=True):
+        past = min(keep, len(past_labels))
+        firsts.append(len(codes) + keep - past)
+        codes += [-1] * (keep - past)
+        codes += [places.setdefault(n, len(places)) for n in [*past_labels[len(past_labels) - past :], *labels[low:high]]]
+        known += [0.0] * (keep - past)
+        known += [*past_confidences[len(past_confidences) - past :], *confidences[low:high]]
+    codes, known = np.array(codes, dtype=np.int64), np.array(known, dtype=np.float64)
     names = np.array(list(places), dtype=object)
-    missing = keep - len(past_labels)
-    codes = np.array([-1] * missing + codes)
-    known = np.concatenate([np.zeros(missing), past_confidences, confidences])
-    winner, votes, size, mean = _votes(codes, known, s.window_size)
+    # windows that reach over two sessions are left out
+    own = np.arange(len(us)) + np.repeat(np.arange(len(sizes)) * keep, sizes)
+    winner, votes, size, mean = (c[own] for c in _votes(codes, known, s.window_size))
     ratio = votes / size
 
     keys = [n.strip().lower().replace("-", "_").replace(" ", "_") for n in names]
@@ -106,15 +123,26 @@ def act_on_columns(ids: Sequence[int], times: Sequence[int], labels: Sequence[st
     eligible = (mean >= s.confidence_threshold) & (ratio >= s.min_consensus_ratio) & (winners != "")
     candidate = np.flatnonzero(eligible & has_key[winner])
     fires = np.zeros(len(us), dtype=bool)
-    last = None if last_us is None else (last_label, last_us)
-    fires[candidate] = emission_flags(us[candidate], winners[candidate], last, int(round(s.debounce_ms * 1000)))
-    if fires.any():
-        at = np.flatnonzero(fires)[-1]
-        last_label, last_us = winners[at], int(us[at])
+    before = np.concatenate([[None], winners[:-1]])
+    after = []
+    begin = 0
+    for i, (end, stop, (_, _, last_label, last_us, stable)) in enumerate(zip(ends.tolist(), np.searchsorted(candidate, ends).tolist(), states, strict=True)):
+        before[end - sizes[i]] = stable
+        if stop > begin:
+            part = candidate[begin:stop]
+            last = None if last_us is None else (last_label, last_us)
+            flags = emission_flags(us[part], winners[part], last, int(round(s.debounce_ms * 1000)))
+            fires[part] = flags
+            if flags.any():
+                at = part[np.flatnonzero(flags)[-1]]
+                last_label, last_us = winners[at], int(us[at])
+        high = end + (i + 1) * keep
+        recent = slice(max(firsts[i], high - s.window_size), high)
+        after.append((names[codes[recent]].tolist(), known[recent].tolist(), last_label, last_us, winners[end - 1]))
+        begin = stop
 
     live = s.enable_dispatch and not s.dry_run
     sent = "dispatched" if live else ("dry_run" if s.dry_run else "dispatch_disabled")
-    before = np.concatenate([[stable], winners[:-1]])
     out = {
         "frame_id": ids, "us": us, "label": labels, "confidence": confidences,
         "stable_label": winners, "consensus_ratio": ratio, "avg_confidence": mean, "window_size": size,
@@ -122,14 +150,13 @@ def act_on_columns(ids: Sequence[int], times: Sequence[int], labels: Sequence[st
         "mapped_key": np.where(fires, mapped[winner], None), "would_emit": fires, "emitted": fires & live,
         "reason": np.where(fires, sent, np.where(eligible & ~has_key[winner], "unmapped_gesture", "not_eligible")),
     }
-    labels, known = [*past_labels, *labels][-s.window_size :], known[-min(s.window_size, len(known) - missing) :]
-    return out, (labels, known.tolist(), last_label, last_us, winners[-1])
+    return out, after
 
 
 def act_on_frames(session: str, frames: pd.DataFrame, state: tuple, s: LiveSettings) -> tuple[pd.DataFrame, tuple]:
     """Action rows of ordered frames (frame_id, us, label, confidence) of a session, and its new state."""
     labels, confidences = frames["label"].fillna("").tolist(), frames["confidence"].fillna(0.0).to_numpy(dtype=np.float64)
-    out, state = act_on_columns(frames["frame_id"].to_numpy(), frames["us"].to_numpy(dtype=np.int64), labels, confidences, state, s)
+    out, (state,) = act_on_sessions([len(frames)], frames["frame_id"], frames["us"].to_numpy(dtype=np.int64), labels, confidences, [state], s)
     return pd.DataFrame({"session_id": session, **out}), state
 
 
@@ -154,17 +181,18 @@ class SessionProcessor(StatefulProcessor):
 
 
 class OrderedProcessor(StatefulProcessor):
-    """Votes, debounces and maps the frames of one session in the order of their times.
-
-    Frames wait in pieces of at most PIECE_FRAMES frames (more only of one time), each for a
-    range of times: the value of the session lists the times at which pieces begin, a map
-    holds their frames. A batch reads and writes the pieces that its frames fall into, so a
-    session with few frames costs a few calls of the state store however far apart they are. An
-    event-time timer at the first waiting frame calls when the watermark has passed it; all
-    frames up to the watermark then go piece by piece through the same step as in
-    `SessionProcessor`. A frame that comes before one that has gone through is put out with
-    the reason `late` and changes nothing. Frames without a time are left out. A row that is put
-    out holds the columns of a piece as arrays.
+    """Votes, debounces and maps the frames of the sessions of a lane in the order of their times.
+
+    The key is a lane, or a session if the rows don't name theirs. Frames wait in pieces of at
+    most PIECE_FRAMES frames (more only of one time), each for a range of times: the value of
+    the lane lists the times at which pieces begin and the states of its sessions, a map
+    holds the frames. A batch reads and writes the pieces that its frames fall into, so its
+    calls of the state store go with lanes and pieces, however many sessions there are and
+    however far apart their frames. An event-time timer at the first waiting frame calls when
+    the watermark has passed it; all frames up to the watermark then go some pieces at a time through
+    the same step as in `SessionProcessor`. A frame that comes before one of its session that
+    has gone through is put out with the reason `late` and changes nothing. Frames without a
+    time are left out. A row that is put out holds the columns of a piece as arrays.
     """
 
     def __init__(self, settings: LiveSettings) -> None:
@@ -172,9 +200,10 @@ class OrderedProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("session", f"{STATE}, done_us bigint, done_id bigint, starts array<bigint>, timer_ms bigint")
+        per_session = ", ".join(f"{c} array<{t}>" for c, t in (part.split() for part in f"session_id string, {STATE}, done_us bigint, done_id bigint".split(", ")))
+        self.state = handle.getValueState("lane", f"starts array<bigint>, timer_ms bigint, {per_session}")
         self.waiting = handle.getMapState(
-            "waiting", "start bigint", "us array<bigint>, frame_id array<bigint>, label array<string>, confidence array<double>"
+            "waiting", "start bigint", "us array<bigint>, session_id array<string>, frame_id array<bigint>, label array<string>, confidence array<double>"
         )
 
     def _read(self, start: int) -> list[tuple]:
@@ -209,52 +238,120 @@ class OrderedProcessor(StatefulProcessor):
             kept.update(made)
         return sorted(kept)
 
-    def _step(self, key: Any, rows: Iterator[Row], watermark_ms: int, fired_ms: int | None) -> Iterator[Row]:
+    def _act(self, frames: list[tuple], states: dict[str, tuple]) -> dict:
+        """Columns of the action rows of ordered frames; brings the states of their sessions up to date."""
+        us, names, ids, labels, confidences = zip(*sorted(frames, key=itemgetter(1)))
+        groups = [(name, sum(1 for _ in group)) for name, group in groupby(names)]
+        sizes = [n for _, n in groups]
+        out, after = act_on_sessions(sizes, ids, us, labels, confidences, [states.get(name, NO_STATE)[:5] for name, _ in groups], self.settings)
+        for (name, _), end, state in zip(groups, accumulate(sizes), after, strict=True):
+            states[name] = (*state, us[end - 1], ids[end - 1])
+        return {"session_id": list(names), **out}
+
+    def _step(self, arriving: Iterator[list[tuple]], watermark_ms: int, fired_ms: int | None) -> Iterator[dict]:
         """Take in arriving frames, let through those up to the watermark, set the timer for the next ones."""
-        *state, done_us, done_id, starts, timer_ms = self.state.get() or ([], [], None, None, None, None, None, [], None)
+        starts, timer_ms, *columns = self.state.get() or ([], None, *([] for _ in range(8)))
+        states = {name: state for name, *state in zip(*columns, strict=True)}
         limit, starts = watermark_ms * 1000, list(starts)
-        while part := list(islice(rows, ARRIVING_FRAMES)):
-            frames = [(r.us, r.frame_id, r.label or "", r.confidence if r.confidence and r.confidence == r.confidence else 0.0) for r in part if r.us is not None]
-            late = [f for f in frames if done_us is not None and f[:2] <= (done_us, done_id)]
+        for part in arriving:
+            frames, late = [], []
+            for frame in part:
+                *_, done_us, done_id = states.get(frame[1], NO_STATE)
+                (frames if done_us is None or (frame[0], frame[2]) > (done_us, done_id) else late).append(frame)
             if late:
-                frames = [f for f in frames if f[:2] > (done_us, done_id)]
-                columns = {c: [None] * len(late) for c in COLUMNS[1:]} | dict(zip(("us", "frame_id", "label", "confidence"), map(list, zip(*late))))
+                known = dict(zip(("us", "session_id", "frame_id", "label", "confidence"), map(list, zip(*late))))
                 never = [False] * len(late)
-                yield PIECE(key[0], *(columns | {"would_emit": never, "emitted": never, "reason": ["late"] * len(late)}).values())
+                yield {c: [None] * len(late) for c in COLUMNS} | known | {"would_emit": never, "emitted": never, "reason": ["late"] * len(late)}
             if frames:
                 starts = self._put(starts, frames)
+        through: list[tuple] = []
         while starts and starts[0] <= limit:
             start = starts.pop(0)
             frames = self._read(start)
-            ready = bisect_right(frames, limit, key=lambda f: f[0])
+            ready = bisect_right(frames, limit, key=itemgetter(0))
             self.waiting.removeKey((start,))
             if ready < len(frames):
                 starts = self._write(frames[ready:]) + starts
-            us, ids, labels, confidences = map(list, zip(*frames[:ready]))
-            out, state = act_on_columns(ids, us, labels, confidences, state, self.settings)
-            done_us, done_id = us[-1], ids[-1]
-            yield PIECE(key[0], *(c if isinstance(c, list) else c.tolist() for c in out.values()))
+            through += frames[:ready]
+            if len(through) >= THROUGH_FRAMES:
+                yield self._act(through, states)
+                through = []
+        if through:
+            yield self._act(through, states)
         next_ms = starts[0] // 1000 + 1 if starts else None
         # the timer that has called is removed by Spark
         if timer_ms not in (None, fired_ms, next_ms):
             self.handle.deleteTimer(timer_ms)
         if next_ms is not None and (next_ms != timer_ms or timer_ms == fired_ms):
             self.handle.registerTimer(next_ms)
-        self.state.update((*state, done_us, done_id, starts, next_ms))
+        columns = map(list, zip(*((name, *state) for name, state in states.items()))) if states else ([] for _ in range(8))
+        self.state.update((starts, next_ms, *columns))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        yield from self._step(key, rows, timerValues.getCurrentWatermarkInMs(), None)
+        parts = iter(lambda: list(islice(rows, ARRIVING_FRAMES)), [])
+        yield from map(piece_of_columns, self._step((frames_of_rows(part, key[0]) for part in parts), timerValues.getCurrentWatermarkInMs(), None))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        yield from self._step(key, iter(()), timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        yield from map(piece_of_columns, self._step(iter(()), timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()))
 
     def close(self) -> None:
         pass
 
 
+class LaneProcessor(OrderedProcessor):
+    """`OrderedProcessor` for data frames in and out, which are several times cheaper to move than rows.
+
+    They have no nulls in `us` and `frame_id`, since these would turn the numbers into floats:
+    `ts` and `numbered` tell where one is missing.
+    """
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        yield from map(data_of_columns, self._step(frames_of_data(rows), timerValues.getCurrentWatermarkInMs(), None))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        yield from map(data_of_columns, self._step(iter(()), timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()))
+
+
 COLUMNS = [part.split()[0] for part in OUTPUT.split(", ")]
 PIECE = Row(*COLUMNS)
-PIECES = ", ".join(f"{c} {t}" if c == "session_id" else f"{c} array<{t}>" for c, t in (part.split() for part in OUTPUT.split(", ")))
+#: State of a session without frames: as STATE, then time and number of the last frame that has gone through.
+NO_STATE = ([], [], None, None, None, None, None)
+
+
+def frames_of_rows(rows: list[Row], session: Any) -> list[tuple]:
+    """Frames with a time as (us, session, frame_id, label, confidence); rows that don't name a session are of *session*."""
+    fields, values = list(rows[0].__fields__), list(map(tuple, rows))
+    names = map(itemgetter(fields.index("session_id")), values) if "session_id" in fields else repeat(session)
+    pick = itemgetter(*(fields.index(c) for c in ("us", "frame_id", "label", "confidence")))
+    return [
+        (us, name, frame_id, label or "", confidence if confidence and confidence == confidence else 0.0)
+        for name, (us, frame_id, label, confidence) in zip(names, map(pick, values)) if us is not None
+    ]
+
+
+def frames_of_data(parts: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """Frames with a time as in `frames_of_rows`, some ARRIVING_FRAMES at a time."""
+    frames: list[tuple] = []
+    for part in parts:
+        part = part[part["ts"].notna()]
+        ids = part["frame_id"].tolist() if part["numbered"].all() else [n if known else None for n, known in zip(part["frame_id"].tolist(), part["numbered"])]
+        labels = part["label"].where(part["label"].notna(), "").tolist()
+        frames += zip(part["us"].tolist(), part["session_id"].tolist(), ids, labels, part["confidence"].astype("float64").fillna(0.0).tolist())
+        if len(frames) >= ARRIVING_FRAMES:
+            yield frames
+            frames = []
+    if frames:
+        yield frames
+
+
+def piece_of_columns(columns: dict) -> Row:
+    """Action rows as one row of arrays."""
+    return PIECE(*(columns[c] if isinstance(columns[c], list) else columns[c].tolist() for c in COLUMNS))
+
+
+def data_of_columns(columns: dict) -> pd.DataFrame:
+    """Action rows as a data frame, with missing values as None."""
+    return pd.DataFrame({c: np.array(columns[c], dtype=object) if isinstance(columns[c], list) else columns[c] for c in COLUMNS}, copy=False)
 
 
 def live_sessions(frames: DataFrame, settings: LiveSettings = LiveSettings()) -> DataFrame:
@@ -273,22 +370,30 @@ def live_sessions(frames: DataFrame, settings: LiveSettings = LiveSettings()) ->
     )
 
 
-def ordered_sessions(frames: DataFrame, settings: LiveSettings = LiveSettings(), delay: str = "10 seconds") -> DataFrame:
+def ordered_sessions(frames: DataFrame, settings: LiveSettings = LiveSettings(), delay: str = "10 seconds", lanes: int = LANES) -> DataFrame:
     """`live_sessions` for frames that arrive out of order by less than *delay*.
 
     A frame is put out once the watermark, *delay* behind the latest time of all sessions,
     has passed it. Frames behind the watermark on arrival are dropped before they reach
     a session and counted by the query (`dropped_frames`). Frames without a session only move
     the watermark, as `closing_frame` does.
+
+    Sessions are dealt to *lanes* by their hash; a checkpoint goes on with the number it began
+    with. The frames of a lane wait in pieces of bounded size. The states of its sessions are one
+    value, read and written by each batch that has frames of the lane: many millions of sessions want more lanes.
     """
     frames.sparkSession.conf.set(STATE_STORE, RECOMMENDED_CONF[STATE_STORE])
     timed = frames.select("session_id", "frame_id", "us", "label", "confidence", F.timestamp_micros("us").alias("ts"))
     # the condition names ts, else it would be moved in front of the watermark
     timed = timed.withWatermark("ts", delay).filter(F.col("session_id").isNotNull() | F.col("ts").isNull())
-    pieces = timed.groupBy("session_id").transformWithState(
-        statefulProcessor=OrderedProcessor(settings), outputStructType=PIECES, outputMode="append", timeMode="eventTime",
+    zero = F.lit(0).cast("bigint")
+    dealt = timed.withColumns({
+        "lane": F.pmod(F.xxhash64("session_id"), F.lit(lanes)), "numbered": F.col("frame_id").isNotNull(),
+        "us": F.coalesce("us", zero), "frame_id": F.coalesce("frame_id", zero),
+    })
+    return dealt.groupBy("lane").transformWithStateInPandas(
+        statefulProcessor=LaneProcessor(settings), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime",
     )
-    return pieces.select("session_id", F.inline(F.arrays_zip(*COLUMNS[1:])))
 
 
 def closing_frame(frames: DataFrame, us: int) -> DataFrame:

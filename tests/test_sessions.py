@@ -2,6 +2,7 @@ import random
 import statistics
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -373,3 +374,68 @@ def test_pieces_of_waiting_frames_keep_the_order(monkeypatch, size):
     assert {r["frame_id"]: (r["stable_label"], r["reason"]) for r in out} == expected(rows, 900)
     late = state.run(processor, frames_of(rows[:3]), 10**9)
     assert [r["reason"] for r in late] == ["late"] * 3 and not state.map
+
+
+def data_of(rows):
+    """Frames of a lane as the data frames that Spark hands over."""
+    frames = pd.DataFrame(rows, columns=["session_id", "frame_id", "us", "label", "confidence"])
+    return frames.assign(lane=0, ts=pd.to_datetime(frames["us"], unit="us"), numbered=True)
+
+
+def run_lane(processor, state, rows, watermark_ms):
+    values = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark_ms)
+    data = data_of(rows)
+    out = list(processor.handleInputRows((0,), iter([data[i : i + 500] for i in range(0, len(data), 500)]), values)) if rows else []
+    for ms in sorted(t for t in state.timers if t <= watermark_ms):
+        out += processor.handleExpiredTimer((0,), values, SimpleNamespace(getExpiryTimeInMs=lambda ms=ms: ms))
+        state.timers.remove(ms)
+    return [r for part in out for r in part.to_dict("records")]
+
+
+def test_sessions_of_a_lane_share_calls_of_the_state():
+    """Hundreds of sessions cost as many calls, timers and batches of rows as one."""
+    rows = [(f"s{i % 300}", i, (i + 1) * 1_000_000, "palm", 0.9) for i in range(1500)]
+    state, processor = StateInMemory(), live.LaneProcessor(live.LiveSettings(**SETTINGS))
+    processor.init(state)
+    assert run_lane(processor, state, rows, 0) == []
+    assert state.calls == 1 and len(state.timers) == 1
+    out = run_lane(processor, state, [], 10**9)
+    assert state.calls == 3 and not state.map and not state.timers
+    assert {r["frame_id"]: (r["stable_label"], r["reason"]) for r in out} == expected(rows, 300)
+
+
+@pytest.mark.parametrize("piece, through", [(7, 5), (50, 40), (2_000, 20_000)])
+def test_lane_keeps_the_sessions_apart(monkeypatch, piece, through):
+    """Windows, debounce, changes and lateness are those of each session, over pieces and batches."""
+    monkeypatch.setattr(live, "PIECE_FRAMES", piece)
+    monkeypatch.setattr(live, "THROUGH_FRAMES", through)
+    rows = random_frames(18, n=500, sessions_=40)
+    rnd = random.Random(19)
+    arrived = sorted(rows, key=lambda r: r[2] + rnd.randrange(5_000_000))
+    state, processor = StateInMemory(), live.LaneProcessor(live.LiveSettings(**SETTINGS, debounce_ms=900))
+    processor.init(state)
+    out, watermark = [], 0
+    for low in range(0, len(arrived), 60):
+        part = arrived[low : low + 60]
+        out += run_lane(processor, state, part, watermark)
+        watermark = max(watermark, max(r[2] for r in part) // 1000 - 5_000)
+        out += run_lane(processor, state, [], watermark)
+    out += run_lane(processor, state, [], 10**9)
+    assert {r["frame_id"]: (r["stable_label"], r["reason"]) for r in out} == expected(rows, 900) and len(out) == len(rows)
+    stable = {}
+    for r in out:
+        assert r["label_changed"] == (stable.get(r["session_id"]) != r["stable_label"])
+        stable[r["session_id"]] = r["stable_label"]
+    last = max(rows, key=lambda r: r[2])
+    late = run_lane(processor, state, [(last[0], -1, 1, "palm", 0.9), ("new", -2, 1, "palm", 0.9)], 10**9)
+    assert {r["frame_id"]: r["reason"] for r in late} == {-1: "late", -2: "dry_run"}
+
+
+def test_ordered_stream_takes_frames_without_number_or_time(spark, tmp_path):
+    rows = [("a", 2**60 + 1, 1_000_000, None, None), ("a", None, 2_000_000, "palm", 0.9), ("b", 5, None, "palm", 0.9), ("b", 6, 3_000_000, "fist", float("nan"))]
+    frames = spark.createDataFrame(rows, FRAMES)
+    folder = str(tmp_path / "in")
+    frames.union(live.closing_frame(frames, 10**9)).coalesce(1).write.parquet(folder)
+    acted = live.ordered_sessions(live.frame_stream(spark, folder, frames.schema), live.LiveSettings(**SETTINGS), "1 second")
+    found = {(r["session_id"], r["frame_id"], r["us"], r["label"], r["confidence"]) for r in live.drained(acted, "odd").collect()}
+    assert found == {("a", 2**60 + 1, 1_000_000, "", 0.0), ("a", None, 2_000_000, "palm", 0.9), ("b", 6, 3_000_000, "fist", 0.0)}
