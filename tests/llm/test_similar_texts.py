@@ -5,11 +5,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelloom.llm import jaccard_join, suffix_dedup
 from labelloom.llm.components import components
 from labelloom.llm.jaccard_join import drop_near_duplicates, near_duplicates
 from labelloom.llm.suffix_dedup import extents, repeated_spans, sampled
+from labelloom.session import materialize
 from tests.llm.conftest import words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -173,6 +175,42 @@ def test_repeated_spans_equal_brute_force_also_when_groups_split(spark, most):
     check_spans(spark.createDataFrame(texts, "doc_id long, text string"), length=40, gram=8, most=most)
 
 
+SPLIT_SMALL_JOINS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+}
+
+
+def test_rows_of_a_start_that_many_texts_share_are_joined_in_several_tasks(spark, monkeypatch):
+    draw = random.Random(6)
+    some = lambda n: "".join(draw.choice("abcdef ") for _ in range(n))
+    passage = some(36)
+    df = spark.createDataFrame([(i, some(60) + passage + some(60)) for i in range(400)], "doc_id long, text string").repartition(6)
+    first = {}
+
+    def kept(made, name):
+        out = materialize(made, name)
+        first.setdefault(name, out)
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialize", kept)
+    before = {c: spark.conf.get(c, None) for c in SPLIT_SMALL_JOINS}
+    for c, v in SPLIT_SMALL_JOINS.items():
+        spark.conf.set(c, v)
+    try:
+        check_spans(df, length=40, gram=8, most=100)
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    for name in ("suffixes-met", "suffix-halves"):
+        rows = first[name].select("h", F.input_file_name().alias("file")).groupBy("h").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files")).orderBy(F.desc("n")).first()
+        assert rows.n >= 300
+        assert rows.files > 1, name
+
+
 def test_every_window_holds_a_sampled_suffix():
     draw = np.random.default_rng(4)
     data = np.concatenate([draw.integers(97, 100, 700), [10], draw.integers(97, 100, 20), [10], np.full(300, 97), [10]]).astype(np.uint8)
